@@ -21,35 +21,69 @@ from loomline.llm.store import save
 LIMIT = 2048
 ROUNDS, STEPS, COLUMNS, RATE, SLACK = 3, 40, 128, 0.5, 0.002
 LEANS = (0.0, 0.5, 0.9)
-WORDS_KEPT = 300_000
-_SPACE = b" \t\n\r\x0b\x0c"
+WORDS_KEPT = 500_000
 
 
 def encoder(path: str, kept: int = WORDS_KEPT):
     """A function from UTF-8 text to its ids as little-endian 32-bit bytes, by the tokenizer file at path.
 
-    No token of these files spans ASCII white space, so texts are cut there and each different piece is encoded once
-    while it stays among the kept ones.
+    No token of this vocabulary spans ASCII white space, so texts are cut there and each different piece is encoded
+    once while it stays among the kept ones. Pieces of Latin letters with at most a closing mark share their
+    lower-cased word; such words are encoded many to a call and told apart by the tokens that end a word.
     """
     import numpy as np
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
+    ends = np.zeros(tokenizer.get_vocab_size(), bool)
+    ends[[i for token, i in tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
     known: dict[bytes, bytes] = {}
+    words: dict[str, bytes] = {}
+
+    def single(text: str) -> bytes:
+        return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    marks = {"": b"", ".": single("."), ",": single(",")}
+
+    def learn_words(new: list[str]) -> None:
+        groups = [new[i : i + 64] for i in range(0, len(new), 64)]
+        for at in range(0, len(groups), 64):
+            part = groups[at : at + 64]
+            for group, got in zip(part, tokenizer.encode_batch_fast([" ".join(g) for g in part], add_special_tokens=False)):
+                ids = np.array(got.ids, "<u4")
+                stops = (np.flatnonzero(ends[ids]) + 1).tolist()
+                if len(stops) == len(group):
+                    raw = ids.tobytes()
+                    words.update((w, raw[4 * x : 4 * y]) for w, x, y in zip(group, [0, *stops], stops))
+                else:
+                    words.update((w, single(w)) for w in group)
+
+    def learn(new: list[bytes]) -> None:
+        plain, odd = [], []
+        for piece in new:
+            text = piece.decode()
+            mark = text[-1] if text[-1] in ".," else ""
+            word = text[: len(text) - len(mark)]
+            if word.isalpha() and (word.isascii() or max(word) < "\u0250" and "\u0130" not in word):
+                plain.append((piece, word.lower(), mark))
+            else:
+                odd.append((piece, text))
+        learn_words(list({w for _, w, _ in plain if w not in words}))
+        known.update((piece, words[w] + marks[mark]) for piece, w, mark in plain)
+        known.update((piece, single(text)) for piece, text in odd)
 
     def encode(text: bytes) -> bytes:
-        words = text.split()
-        new = [w for w in set(words) if w not in known]
+        pieces = text.split()
+        new = [w for w in set(pieces) if w not in known]
         if new:
+            if len(words) > kept:
+                words.clear()
             if len(known) > kept:
                 known.clear()
-                new = list(set(words))
-            for at in range(0, len(new), 4096):
-                part = new[at : at + 4096]
-                got = tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-                known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, got))
-        return b"".join(map(known.__getitem__, words))
+                new = list(set(pieces))
+            learn(new)
+        return b"".join(map(known.__getitem__, pieces))
 
     return encode
 
