@@ -19,22 +19,22 @@ def statistics(text: Column) -> dict[str, Column]:
     """Statistics of a text by name; all are finite, and zero or one for an empty text."""
     t = F.coalesce(text.cast("string"), F.lit(""))
     n = F.greatest(F.length(t), F.lit(1)).cast("double")
-    words = F.filter(F.split(t, "[ \\t\\n\\x0B\\f\\r]+"), lambda w: w != "")
-    lines = F.filter(F.split(t, "\n"), lambda x: x != "")
-    n_words, n_lines = F.greatest(F.size(words), F.lit(1)).cast("double"), F.greatest(F.size(lines), F.lit(1)).cast("double")
 
     def share(mark: str) -> Column:
         return (F.length(t) - F.length(F.replace(t, F.lit(mark), F.lit("")))) / n
 
+    def distinct(mark: str) -> Column:
+        return F.get(F.transform(F.array(F.split(t, mark)), lambda p: F.size(F.array_distinct(p)) / F.size(p)), F.lit(0))
+
     return {
         "log_chars": F.log1p(F.length(t).cast("double")),
-        "mean_word": n / n_words,
-        "distinct_words": F.size(F.array_distinct(words)) / n_words,
-        "words_per_line": n_words / n_lines,
-        "distinct_lines": F.size(F.array_distinct(lines)) / n_lines,
-        "upper": F.length(F.regexp_replace(t, "[^\\p{Lu}]++", "")) / n,
-        "symbols": F.length(F.regexp_replace(t, "[\\p{L}\\p{N}\\s]++", "")) / n,
-        "digits": F.length(F.regexp_replace(t, "[^0-9]++", "")) / n,
+        "spaces": share(" "),
+        "breaks": share("\n"),
+        "distinct_words": distinct(" "),
+        "distinct_lines": distinct("\n"),
+        "upper": F.regexp_count(t, F.lit("\\p{Lu}")) / n,
+        "symbols": F.regexp_count(t, F.lit("[#$%&*@~^<>{}=_\\\\/+!|]")) / n,
+        "digits": F.regexp_count(t, F.lit("[0-9]")) / n,
         "periods": share("."),
         "commas": share(","),
         "bars": share("|"),
