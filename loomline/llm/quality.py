@@ -71,11 +71,11 @@ def fit_rules(x, y, names: list[str], lasso: float = 1e-3) -> tuple[float, list[
     return float(b - mean @ w), [(float(a), r) for a, r in zip(w, rules) if abs(a) > 1e-9]
 
 
-def compiled(model: tuple[float, list[tuple[float, Path]]]) -> Column:
-    """The model's score in 0 to 1 over columns named as the statistics."""
+def compiled(model: tuple[float, list[tuple[float, Path]]], of=F.col) -> Column:
+    """The model's score in 0 to 1; of gives a statistic's column."""
     total = F.lit(model[0])
     for weight, rule in model[1]:
-        total = total + F.when(condition(rule), weight).otherwise(0.0)
+        total = total + F.when(condition(rule, of), weight).otherwise(0.0)
     return 1 / (1 + F.exp(-total))
 
 
@@ -108,3 +108,11 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_rows:
     rows = docs.select(F.col("doc_id"), *[c.alias(k) for k, c in stats.items()])
     scored = rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), compiled(model).alias("score"))
     return scored.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
+
+
+def keep(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_rows: int = MAX_TRAIN) -> DataFrame:
+    """The rows of docs that score at least threshold, with their columns."""
+    model = fit(docs, labels, max_rows)
+    stats = F.struct(*[c.alias(k) for k, c in statistics(F.col("text")).items()])
+    # through a lambda, else the filter would hold each statistic once for every rule that uses it
+    return docs.where(F.exists(F.array(stats), lambda s: compiled(model, lambda k: s[k]) >= threshold))
