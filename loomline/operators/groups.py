@@ -1,0 +1,31 @@
+"""Connected groups of a link table."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def connected(links: DataFrame, rounds: int = 50) -> DataFrame:
+    """node, root (least node of its group) for pairs a, b: labels fall to the neighbours' least until none changes.
+
+    Each round is a grouped minimum and two joins, and also jumps to the label's own label, so rounds grow with the
+    logarithm of the longest path. checkpoint() cuts the lineage.
+    """
+    spark = links.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        import tempfile
+
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomline-"))
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
+    labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")).checkpoint()
+    for _ in range(rounds):
+        near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("m"))
+        lower = labels.join(near, labels["node"] == near["a"]).select("node", F.least("root", "m").alias("root"))
+        jump = lower.select(F.col("node").alias("root"), F.col("root").alias("further"))
+        new = lower.join(jump, "root", "left").select("node", F.least("root", F.coalesce("further", "root")).alias("root")).checkpoint()
+        moved = new.join(labels.withColumnRenamed("root", "old"), "node").where("root <> old").limit(1).count()
+        labels = new
+        if not moved:
+            break
+    return labels
