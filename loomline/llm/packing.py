@@ -11,6 +11,7 @@ sequence by its ordinal within its length, a sorted lookup in the plan: no task
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -21,36 +22,52 @@ from loomline.llm.store import save
 LIMIT = 2048
 ROUNDS, STEPS, COLUMNS, RATE, SLACK = 3, 40, 128, 0.5, 0.002
 LEANS = (0.0, 0.5, 0.9)
-WORDS_KEPT = 500_000
+WORDS_KEPT, CHUNK = 500_000, 8_000_000  # words known, bytes of text encoded at once
+
+
+#: Pieces that split into words by character class alone: ASCII without the apostrophe, and Latin letters that neither
+#: composition nor lower-casing takes out of the class; then their words, lower-cased.
+PLAIN = "^[!-&(-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]*$"
+WORD = "([a-z\u00df-\u00f6\u00f8-\u017f]+|[0-9]|[!-&(-/:-@\\[-`{-~]+)"
+
+
+def _take(flat, bounds, picked, groups):
+    """Lists (flat, cut at bounds) picked by number and joined where groups cuts the picked ones: flat and bounds."""
+    import numpy as np
+
+    n = np.diff(bounds)[picked]
+    ends = np.concatenate([[0], np.cumsum(n)])
+    return flat[np.repeat(bounds[picked] - ends[:-1], n) + np.arange(ends[-1])], ends[groups]
 
 
 def encoder(path: str, kept: int = WORDS_KEPT):
-    """A function from UTF-8 text to its ids as little-endian 32-bit bytes, by the tokenizer file at path.
+    """A function from an Arrow array of texts to all their ids and the bounds of each text's, by the tokenizer file.
 
     No token of this vocabulary spans ASCII white space, so texts are cut there and each different piece is encoded
-    once while it stays among the kept ones. Pieces of Latin letters with at most a closing mark share their
-    lower-cased word; such words are encoded many to a call and told apart by the tokens that end a word.
+    once. Plain pieces are cut into lower-cased words, the unit of the merges; different words are encoded many to a
+    call, told apart by the tokens that end a word, and known while they stay among the kept ones. Other pieces go
+    through the whole tokenizer.
     """
     import numpy as np
-    from tokenizers import Tokenizer
+    import pyarrow.compute as pc
+    from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    ends = np.zeros(tokenizer.get_vocab_size(), bool)
-    ends[[i for token, i in tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
-    known: dict[bytes, bytes] = {}
-    words: dict[str, bytes] = {}
+    whole, bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
+    whole.encode_special_tokens = bare.encode_special_tokens = True
+    bare.normalizer = normalizers.Sequence([])
+    bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    ends = np.zeros(whole.get_vocab_size(), bool)
+    ends[[i for token, i in whole.get_vocab().items() if token.endswith("</w>")]] = True
+    words: dict[str, bytes] = {"": b""}
 
     def single(text: str) -> bytes:
-        return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    marks = {"": b"", ".": single("."), ",": single(",")}
+        return np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn_words(new: list[str]) -> None:
+    def learn(new: list[str]) -> None:
         groups = [new[i : i + 64] for i in range(0, len(new), 64)]
         for at in range(0, len(groups), 64):
             part = groups[at : at + 64]
-            for group, got in zip(part, tokenizer.encode_batch_fast([" ".join(g) for g in part], add_special_tokens=False)):
+            for group, got in zip(part, bare.encode_batch_fast([" ".join(g) for g in part], add_special_tokens=False)):
                 ids = np.array(got.ids, "<u4")
                 stops = (np.flatnonzero(ends[ids]) + 1).tolist()
                 if len(stops) == len(group):
@@ -59,31 +76,30 @@ def encoder(path: str, kept: int = WORDS_KEPT):
                 else:
                     words.update((w, single(w)) for w in group)
 
-    def learn(new: list[bytes]) -> None:
-        plain, odd = [], []
-        for piece in new:
-            text = piece.decode()
-            mark = text[-1] if text[-1] in ".," else ""
-            word = text[: len(text) - len(mark)]
-            if word.isalpha() and (word.isascii() or max(word) < "\u0250" and "\u0130" not in word):
-                plain.append((piece, word.lower(), mark))
-            else:
-                odd.append((piece, text))
-        learn_words(list({w for _, w, _ in plain if w not in words}))
-        known.update((piece, words[w] + marks[mark]) for piece, w, mark in plain)
-        known.update((piece, single(text)) for piece, text in odd)
-
-    def encode(text: bytes) -> bytes:
-        pieces = text.split()
-        new = [w for w in set(pieces) if w not in known]
-        if new:
-            if len(words) > kept:
-                words.clear()
-            if len(known) > kept:
-                known.clear()
-                new = list(set(pieces))
-            learn(new)
-        return b"".join(map(known.__getitem__, pieces))
+    def joined(parts: list[bytes]):
+        bounds = np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) // 4)])
+        return np.frombuffer(b"".join(parts), "<u4"), bounds
+
+    def split(found: pa.ListArray) -> tuple[pa.Array, Any, Any]:
+        """The different items of lists, each item's number among them, and the lists' bounds."""
+        coded = found.flatten().dictionary_encode()
+        return coded.dictionary, coded.indices.to_numpy(), found.offsets.to_numpy() - found.offsets[0].as_py()
+
+    def encode(texts: pa.Array):
+        pieces, piece, of_text = split(pc.ascii_split_whitespace(texts))
+        plain = pc.match_substring_regex(pieces, PLAIN)
+        spaced = pc.replace_substring_regex(pc.utf8_lower(pieces.filter(plain)), WORD, "\\1 ")
+        found, word, of_piece = split(pc.split_pattern(spaced, " "))
+        found = found.to_pylist()
+        if len(words) > kept:
+            words.clear()
+            words[""] = b""
+        learn([w for w in found if w not in words])
+        flat, bounds = _take(*joined([words[w] for w in found]), word, of_piece)
+        other, other_bounds = joined([single(p) for p in pieces.filter(pc.invert(plain)).to_pylist()])
+        mask = plain.to_numpy(zero_copy_only=False)
+        number = np.where(mask, np.cumsum(mask) - 1, mask.sum() + np.cumsum(~mask) - 1)
+        return _take(np.concatenate([flat, other]), np.concatenate([bounds, bounds[-1] + other_bounds[1:]]), number[piece], of_text)
 
     return encode
 
@@ -95,18 +111,26 @@ def pieces(docs: DataFrame, path: str, limit: int = LIMIT, end_id: int = 0, id_c
         import os
         import zlib
 
+        import numpy as np
+        import pyarrow.compute as pc
+
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encode, end = encoder(path), end_id.to_bytes(4, "little")
+        types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = (encode(text.as_buffer().to_pybytes()) if text.is_valid else b"") + end
-                for n, at in enumerate(range(0, len(ids), 4 * limit)):
-                    part = ids[at : at + 4 * limit]
-                    for column, value in zip(out, (doc, n, at // 4, len(part) // 4, zlib.crc32(part))):
-                        column.append(value)
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            texts = pc.fill_null(batch.column(1), "")
+            chunk = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64)) // CHUNK
+            cuts = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(texts)] if len(texts) else []
+            for low, high in zip(cuts, cuts[1:]):
+                out: list[list] = [[], [], [], [], []]
+                flat, bounds = encode(texts.slice(low, high - low))
+                for doc, x, y in zip(batch.column(0).slice(low, high - low).to_pylist(), bounds.tolist(), bounds[1:].tolist()):
+                    ids = flat[x:y].tobytes() + end
+                    for n, at in enumerate(range(0, len(ids), 4 * limit)):
+                        part = ids[at : at + 4 * limit]
+                        for column, value in zip(out, (doc, n, at // 4, len(part) // 4, zlib.crc32(part))):
+                            column.append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(
         work, "doc_id long, piece int, start long, length long, ids_crc32 long"
