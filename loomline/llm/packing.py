@@ -50,14 +50,15 @@ def encoder(path: str, kept: int = WORDS_KEPT):
     """
     import numpy as np
     import pyarrow.compute as pc
-    from tokenizers import Tokenizer, normalizers, pre_tokenizers
+    from tokenizers import Tokenizer, pre_tokenizers
 
-    whole, bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
-    whole.encode_special_tokens = bare.encode_special_tokens = True
-    bare.normalizer = normalizers.Sequence([])
+    whole = Tokenizer.from_file(path)
+    whole.encode_special_tokens = True
+    bare = Tokenizer(whole.model)  # the merges alone
     bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-    ends = np.zeros(whole.get_vocab_size(), bool)
-    ends[[i for token, i in whole.get_vocab().items() if token.endswith("</w>")]] = True
+    vocabulary = whole.get_vocab()
+    ends = np.zeros(max(vocabulary.values()) + 1, bool)
+    ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
     words: dict[str, bytes] = {"": b""}
 
     def single(text: str) -> bytes:
@@ -90,7 +91,7 @@ def encoder(path: str, kept: int = WORDS_KEPT):
         plain = pc.match_substring_regex(pieces, PLAIN)
         spaced = pc.replace_substring_regex(pc.utf8_lower(pieces.filter(plain)), WORD, "\\1 ")
         found, word, of_piece = split(pc.split_pattern(spaced, " "))
-        found = found.to_pylist()
+        found = found.to_numpy(zero_copy_only=False).tolist()
         if len(words) > kept:
             words.clear()
             words[""] = b""
