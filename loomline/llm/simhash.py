@@ -25,26 +25,36 @@ MAX_TOPS = 16_384
 _CHUNK = 1 << 15
 
 
-def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
-    """64-bit SimHash (unsigned) of a text's word shingles; no words: zero."""
+def shingles(text: str | None, words: int = 3, seed: int = 42):
+    """64-bit hashes of a text's word shingles in order, repeats included; a text of fewer words is one shingle."""
     import numpy as np
     import xxhash
 
     parts = (text or "").encode().lower().split()  # bytes: A-Z and ASCII white space only
     if not parts:
-        return 0
+        return np.empty(0, "<u8")
     joined = b" ".join(parts)
     lens = np.fromiter(map(len, parts), np.int64, len(parts))
     ends = np.cumsum(lens + 1) - 1
     starts = ends - lens
     k = min(words, len(parts))
-    a, b = starts[: len(parts) - k + 1], ends[k - 1 :]
-    ones = np.zeros(64, np.int64)
     digest = xxhash.xxh64_intdigest
-    for at in range(0, len(a), _CHUNK):
-        h = np.array([digest(joined[x:y], seed) for x, y in zip(a[at : at + _CHUNK].tolist(), b[at : at + _CHUNK].tolist())], "<u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(a), bitorder="little").view("<u8")[0])
+    return np.array([digest(joined[x:y], seed) for x, y in zip(starts[: len(parts) - k + 1].tolist(), ends[k - 1 :].tolist())], "<u8")
+
+
+def fingerprint_of(hashes) -> int:
+    """64-bit SimHash (unsigned) of shingle hashes; none: zero."""
+    import numpy as np
+
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), _CHUNK):
+        ones += np.unpackbits(hashes[at : at + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
+    """64-bit SimHash (unsigned) of a text's word shingles; no words: zero."""
+    return fingerprint_of(shingles(text, words, seed))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:

@@ -32,3 +32,38 @@ def test_equals_sql(spark, name):
     want = con.execute(queries.oracle_sql()[name]).df()[list(got.columns)]
     as_rows = lambda f: sorted(map(tuple, f.astype(object).where(f.notna(), None).values.tolist()), key=str)
     assert as_rows(got) == as_rows(want)
+
+
+def test_near_copies_by_five_word_shingles(spark):
+    import random
+
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(3000)]
+    texts = []
+    for _ in range(30):
+        base = r.choices(words, k=r.randint(30, 200))
+        texts.append(base)
+        for edits in (1, 2, 3, 6):
+            copy = list(base)
+            for at in r.sample(range(len(copy)), edits):
+                copy[at] = r.choice(words)
+            texts.append(copy)
+    big = r.choices(words, k=150)
+    texts += [[*big[:at], "x", *big[at:]] for at in range(0, 150, 4)] + [["short", "one"], ["short", "one"], [], []]
+    r.shuffle(texts)
+    docs = [(i * 7 % 1009, " ".join(t)) for i, t in enumerate(texts)]
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in ((i, t.split()) for i, t in docs)}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    kept = corpus_pipeline.keep_one_of_near_copies(spark, spark.createDataFrame(docs, "doc_id long, text string"), SF)
+    assert sorted(x.doc_id for x in kept.collect()) == sorted(i for i in sets if find(i) == i)
