@@ -1,16 +1,22 @@
 """Line dedup: exact copies by 128-bit hash, near copies by a segment-partition edit join.
 
-A line is split into MAX_EDITS + 1 even segments; two lines within MAX_EDITS edits share a segment at a place that
-the lengths and the segment's number bound (multi-match-aware selection). Lines are filed under (length, segment
-number, segment) and probe the substrings that lines of their own or a slightly smaller length could be filed under.
-Candidates are verified with a banded bit-parallel edit distance; components of the verified links are line classes,
-and a class keeps its first line (least doc_id, then line number). Only hashes travel until lines have a candidate. A
-key with more than PAIRS pairs is cut into blocks whose pairs are verified in tasks of their own.
+Lines of LONG words and more are sequences of words, shorter ones of characters. Two lines are near if at most EDITS
+of these units are inserted, deleted or replaced, and their similarity in characters is MIN_SIMILARITY at least. A
+line is split into threshold + 1 even segments, so two near lines share a segment at a place that their lengths and
+the segment's number bound (multi-match-aware selection). Lines are filed under (length, segment number, segment) and
+probe the substrings that lines of their own or a slightly smaller length could be filed under. Candidates are
+verified with a banded bit-parallel edit distance; components of the verified links are line classes, and a class
+keeps its first line (least doc_id, then line number).
+
+No key's lines are paired with each other. First every line of a key is held against one of them, in the task that
+found the key and then across tasks, so a key costs its size. Keys whose lines then are in several groups hold them
+against their most copied line. Only keys that still have several groups are cut into blocks, in which lines of
+different groups are compared. Texts travel once a line and once a line and key that still matter.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -18,19 +24,19 @@ from pyspark.sql import functions as F
 
 from loomline.llm.components import components
 from loomline.llm.grouped import block_pairs, by_run
-from loomline.llm.simhash import _forest
 from loomline.llm.store import save
 
-MAX_EDITS, MIN_SIMILARITY, SHORTEST = 2, 0.8, 5
-PAIRS, BLOCK = 20_000, 256
+LONG, EDITS, MIN_SIMILARITY, SHORTEST = 16, 2, 0.8, 4
+BLANK = " \t\x0b\f\r"
+BLOCK, SEEN = 256, 300_000
 
 
-def allowed(a: int, b: int, most: int = MAX_EDITS) -> int:
-    """Edits allowed between lines of these lengths: at most most, and a similarity of MIN_SIMILARITY."""
-    return min(most, int((1 - MIN_SIMILARITY) * max(a, b) + 1e-9))
+def allowed(units: int) -> int:
+    """Edits allowed when the longer line has so many units."""
+    return min(EDITS, int((1 - MIN_SIMILARITY) * units + 1e-9))
 
 
-def distance(a: str, b: str, most: int) -> int | None:
+def distance(a: Sequence, b: Sequence, most: int) -> int | None:
     """Edit distance of a and b if at most most, else None.
 
     Bit-parallel over a band: register d holds, at bit o + most, whether the first i + o characters of a match the
@@ -39,7 +45,7 @@ def distance(a: str, b: str, most: int) -> int | None:
     if abs(len(a) - len(b)) > most:
         return None
 
-    def common(x: str, y: str) -> int:
+    def common(x: Sequence, y: Sequence) -> int:
         low, high = 0, min(len(x), len(y))
         while low < high:
             mid = (low + high + 1) // 2
@@ -76,6 +82,22 @@ def distance(a: str, b: str, most: int) -> int | None:
     return None
 
 
+def near(a: str, b: str) -> bool:
+    """Whether two different lines are near copies."""
+    x, y = a.split(" "), b.split(" ")
+    if min(len(x), len(y)) < LONG:
+        return distance(a, b, allowed(max(len(a), len(b)))) is not None
+    if abs(len(x) - len(y)) > EDITS or distance(x, y, EDITS) is None:
+        return False
+    low = next((i for i, (v, w) in enumerate(zip(x, y)) if v != w), min(len(x), len(y)))
+    high = next((i for i, (v, w) in enumerate(zip(reversed(x[low:]), reversed(y[low:]))) if v != w), min(len(x), len(y)) - low)
+    x, y = x[low : len(x) - high], y[low : len(y) - high]
+    most = int((1 - MIN_SIMILARITY) * max(len(a), len(b)) + 1e-9)
+    # what the edits at both ends change at most; they are the only ones
+    ends = max(len(x[0]), len(y[0])) + max(len(x[-1]), len(y[-1])) + 2 if x and y else sum(map(len, x + y)) + len(x + y)
+    return ends <= most or distance(a, b, most) is not None
+
+
 def segments(length: int, most: int) -> list[tuple[int, int]]:
     """Start and size of the most + 1 even segments of a line of this length, longer ones last."""
     n, size = most + 1, length // (most + 1)
@@ -83,207 +105,242 @@ def segments(length: int, most: int) -> list[tuple[int, int]]:
     return [(sum(sizes[:i]), sizes[i]) for i in range(n)]
 
 
-def selections(length: int, most: int) -> list[tuple[int, int, int, bool]]:
-    """Slices of a line of this length: start, end, seed of the key, and whether it is one of the line's segments."""
-    out = []
-    for gap in range(most + 1):
-        if length - gap < SHORTEST:
+def selections(length: int, least: int, words: bool) -> list[tuple[int, int, int, bool]]:
+    """Slices of a line of this many units: start, end, seed of the key, and whether it is one of the line's segments.
+
+    A line probes for those of no more units than its own, cut as its own threshold asks, and is filed as every line
+    that may probe for it asks.
+    """
+
+    def seed(units: int, most: int, i: int) -> int:
+        return (units * 8 + most) * 8 + 2 * i + words
+
+    filed = {most for gap in range(EDITS + 1) if (most := allowed(length + gap)) >= max(gap, 1)}
+    out = [(at, at + size, seed(length, most, i), True) for most in filed for i, (at, size) in enumerate(segments(length, most))]
+    known, most = {x[:3] for x in out}, allowed(length)
+    for gap in range(most + 1 if most else 0):
+        if length - gap < least:
             break
         for i, (at, size) in enumerate(segments(length - gap, most)):
             low, high = max(at - i, at + gap - (most - i), 0), min(at + i, at + gap + (most - i), length - size)
-            out += [(p, p + size, (length - gap) * (most + 1) + i, not gap and p == at) for p in range(low, high + 1)]
+            out += [(p, p + size, s, False) for p in range(low, high + 1) for s in [seed(length - gap, most, i)] if (p, p + size, s) not in known]
     return out
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     split = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n", -1)).alias("n", "line"))
-    return split.where(F.trim("line") != "").withColumn("ha", F.xxhash64("line")).withColumn("hb", F.xxhash64(F.lit(1), "line"))
+    return split.where(F.trim("line", F.lit(BLANK)) != "").withColumn("ha", F.xxhash64("line")).withColumn("hb", _second(F.col("line")))
+
 
+def _second(line: Column) -> Column:
+    return F.xxhash64(F.lit(1), line)
 
-def _keys(docs: DataFrame, text_col: str, most: int) -> DataFrame:
-    """key, id (the line's hash), own (whether a segment's key) of every different line of each batch."""
+
+def _stars(keys, ids, own):
+    """Of rows sorted by key: for each key its centre (a filed line if it has one) and whether any is filed, as rows'
+    numbers, and for each further line the number of its key's centre. own: 1 if filed."""
+    import numpy as np
+
+    order = np.lexsort((ids, 1 - own, keys))
+    keys, ids = keys[order], ids[order]
+    first = np.r_[True, keys[1:] != keys[:-1]] if len(keys) else np.empty(0, bool)
+    at = np.maximum.accumulate(np.where(first, np.arange(len(keys)), 0))
+    centre = order[at]
+    other = ids != ids[at]
+    return order[first], order[other], centre[other]
+
+
+def _keys(docs: DataFrame, text_col: str) -> DataFrame:
+    """key, a, b, own: for each key and task one line (a; b null), and every other line (b) beside it.
+
+    own tells whether a is filed under the key. Lines are read once a task while they stay among SEEN.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from itertools import accumulate
+
         import numpy as np
         import xxhash
 
         digest, plans = xxhash.xxh64_intdigest, {}
+        seen: set[int] = set()
+
+        def plan_of(n: int, least: int, words: bool):
+            if (n, words) not in plans:
+                plan = selections(n, least, words)
+                plans[n, words] = [p[:3] for p in plan], [p[3] for p in plan]
+            return plans[n, words]
+
+        def flush(keys, ids, counts, own):
+            keys, ids = np.array(keys, np.uint64).view(np.int64), np.repeat(np.array(ids, np.uint64).view(np.int64), counts)
+            own = np.array(own, np.int8)
+            heads, others, centres = _stars(keys, ids, own)
+            at = np.concatenate([heads, centres])
+            b = pa.array(np.concatenate([np.zeros(len(heads), np.int64), ids[others]]), mask=np.arange(len(at)) < len(heads))
+            return pa.RecordBatch.from_arrays([pa.array(keys[at]), pa.array(ids[at]), b, pa.array(own[at] > 0)], names=["key", "a", "b", "own"])
+
         for batch in batches:
-            seen: set[int] = set()
             keys, ids, counts, own = [], [], [], []
-
-            def flush():
-                columns = [
-                    pa.array(np.array(keys, np.uint64).view(np.int64)),
-                    pa.array(np.repeat(np.array(ids, np.uint64).view(np.int64), counts)),
-                    pa.array(np.concatenate([np.array(o, bool) for o in own]) if own else np.empty(0, bool)),
-                ]
-                return pa.RecordBatch.from_arrays(columns, names=["key", "id", "own"])
-
+            if len(seen) > SEEN:
+                seen.clear()
             for text in batch.column(0).to_pylist():
                 for line in (text or "").split("\n"):
-                    n = len(line)
-                    if n < SHORTEST or not line.strip(" "):
+                    if len(line) < SHORTEST or not line.strip(BLANK):
                         continue
                     raw = line.encode()
                     h = digest(raw, 42)
                     if h in seen:
                         continue
                     seen.add(h)
-                    if n not in plans:
-                        plan = selections(n, most)
-                        plans[n] = [p[:3] for p in plan], [p[3] for p in plan]
-                    cuts, flags = plans[n]
-                    keys += [digest(raw[a:b], s) for a, b, s in cuts] if len(raw) == n else [digest(line[a:b].encode(), s) for a, b, s in cuts]
+                    units = raw.count(b" ") + 1
+                    before = len(keys)
+                    if units >= LONG:
+                        cuts, flags = plan_of(units, LONG, True)
+                        stops = list(accumulate((len(w) + 1 for w in raw.split(b" ")), initial=0))
+                        keys += [digest(raw[stops[x] : stops[y] - 1], s) for x, y, s in cuts]
+                        own += flags
+                    if units < LONG + EDITS:  # a longer line is not within EDITS characters of one below LONG
+                        cuts, flags = plan_of(len(line), SHORTEST, False)
+                        keys += [digest(raw[x:y], s) for x, y, s in cuts] if len(raw) == len(line) else [digest(line[x:y].encode(), s) for x, y, s in cuts]
+                        own += flags
                     ids.append(h)
-                    counts.append(len(cuts))
-                    own.append(flags)
-                if len(keys) > 200_000:
-                    yield flush()
+                    counts.append(len(keys) - before)
+                if len(keys) > 500_000:
+                    yield flush(keys, ids, counts, own)
                     keys, ids, counts, own = [], [], [], []
-            yield flush()
+            yield flush(keys, ids, counts, own)
 
-    return docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(work, "key long, id long, own boolean")
+    return docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(work, "key long, a long, b long, own boolean")
 
 
-def _candidates(keys: DataFrame) -> DataFrame:
-    """a, b: candidate pairs (a < b; key null), and a alone with the key for keys with too many pairs."""
+def _members(keys: DataFrame) -> DataFrame:
+    """key, a, b: lines of keys that have several, b beside the key's first line a or beside one of its task's."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        held, crowded = None, None  # an unfinished group of the batch before; the key of a crowded one
-
-        def batch_of(a, b, key):
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(key, pa.int64())], names=["a", "b", "key"])
-
-        def pairs(key, ids, own, out):
-            if len(ids) < 2:
-                return
-            all_ids = np.unique(ids)
-            filed = np.unique(ids[own])
-            if len(all_ids) < 2 or not len(filed):
-                return
-            if len(all_ids) * len(filed) > PAIRS:
-                out[2].append((int(key), all_ids))
-                return
-            x, y = np.repeat(filed, len(all_ids)), np.tile(all_ids, len(filed))
-            keep = x != y
-            out[0].append(np.minimum(x, y)[keep])
-            out[1].append(np.maximum(x, y)[keep])
-
-        def emit(out):
-            for key, ids in out[2]:
-                yield batch_of(ids, [None] * len(ids), np.full(len(ids), key))
-            if out[0]:
-                both = np.unique(np.stack([np.concatenate(out[0]), np.concatenate(out[1])], 1), axis=0)
-                yield batch_of(both[:, 0], both[:, 1], [None] * len(both))
-
+        last, centre = None, None  # the key that the batch before ended with
         for batch in batches:
-            k, ids, own = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            if not len(k):
-                continue
-            out: tuple[list, list, list] = ([], [], [])
-            if crowded is not None:
-                n = int(np.searchsorted(k, crowded, side="right"))
-                if n:
-                    out[2].append((crowded, np.unique(ids[:n])))
-                    k, ids, own = k[n:], ids[n:], own[n:]
-                if len(k):
-                    crowded = None
-            if held is not None and len(k):
-                k, ids, own = (np.concatenate([h, x]) for h, x in zip(held, (k, ids, own)))
-                held = None
-            if len(k):
-                starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-                stops = np.r_[starts[1:], len(k)]
-                for a, b in zip(starts[:-1].tolist(), stops[:-1].tolist()) if len(starts) > 1 else ():
-                    if b - a > 1:
-                        pairs(k[a], ids[a:b], own[a:b], out)
-                a = starts[-1]
-                if len(k) - a > PAIRS:
-                    crowded = int(k[a])
-                    out[2].append((crowded, np.unique(ids[a:])))
-                else:
-                    held = k[a:], ids[a:], own[a:]
-            yield from emit(out)
-        if held is not None:
-            out = ([], [], [])
-            pairs(held[0][0], held[1], held[2], out)
-            yield from emit(out)
+            k, a, beside = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
+            apart = beside.is_null().to_numpy(zero_copy_only=False)
+            b = beside.fill_null(0).to_numpy()
+            heads = np.flatnonzero(apart)
+            out = [(k[~apart], a[~apart], b[~apart])]
+            if len(heads):
+                hk, ha = k[heads], a[heads]
+                first = np.r_[hk[0] != last, hk[1:] != hk[:-1]]
+                at = np.maximum.accumulate(np.where(first, np.arange(len(hk)), -1))
+                of = np.where(at >= 0, ha[at], centre if centre is not None else 0)
+                more = ha != of
+                out.append((hk[more], of[more], ha[more]))
+                last, centre = hk[-1], of[-1]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["key", "a", "b"])
 
     parts = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return keys.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(work, "a long, b long, key long")
+    # rows that have their centre go anywhere; the others meet by key, filed lines first
+    dealt = keys.repartition(parts, F.when(F.col("b").isNull(), F.col("key")).otherwise(F.xxhash64("key", "b")))
+    ordered = dealt.sortWithinPartitions(F.col("b").isNotNull(), "key", F.col("own").desc(), "a")
+    return ordered.select("key", "a", "b").mapInArrow(work, "key long, a long, b long")
+
 
+def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs a, b that are near copies."""
 
-def _verify(pairs: DataFrame, most: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, x, y = (c.to_pylist() for c in batch.columns)
-            near = [i for i in range(len(a)) if distance(x[i], y[i], allowed(len(x[i]), len(y[i]), most)) is not None]
-            yield pa.RecordBatch.from_arrays([pa.array([v[i] for i in near], pa.int64()) for v in (a, b)], names=["a", "b"])
+            keep = pa.array([near(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in range(2)], names=["a", "b"])
 
-    return pairs.mapInArrow(work, "a long, b long")
+    x, y = (texts.select(F.col("ha").alias(k), F.col("line").alias(v)) for k, v in (("a", "x"), ("b", "y")))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(work, "a long, b long")
 
 
-def links(docs: DataFrame, text_col: str = "text", most: int = MAX_EDITS) -> DataFrame:
-    """a, b: hashes of different lines within most edits and MIN_SIMILARITY (of a crowded key: a spanning forest)."""
-    found = save(_candidates(_keys(docs, text_col, most)), "candidates")
-    pairs = found.where("key is null").select("a", "b").distinct()
-    crowded = found.where("key is not null").select("key", F.col("a").alias("id")).distinct()
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("ha")).unionByName(crowded.select(F.col("id").alias("ha"))).distinct()
+def _mixed(members: DataFrame, links: DataFrame) -> DataFrame:
+    """key, id, root of the keys whose lines links leave in several groups."""
+    roots = components(links).withColumnRenamed("node", "id")
+    rooted = save(members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted")
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    return save(rooted.join(mixed, "key"), "mixed")
+
+
+def _pairs(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def links(docs: DataFrame, classes: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """a, b: hashes of near lines, enough of them to join all that all near lines join; ha, hb of the lines tried.
+
+    classes: ha, copies of every different line.
+    """
+    stars = save(_members(_keys(docs, text_col)), "stars")
+    members = save(stars.select("key", F.explode(F.array("a", "b")).alias("id")).distinct(), "members")
+    needed = members.select(F.col("id").alias("ha")).distinct()
     split = docs.select(F.explode(F.split(F.col(text_col).cast("string"), "\n", -1)).alias("line")).where(F.length("line") >= SHORTEST)
     texts = save(split.withColumn("ha", F.xxhash64("line")).join(needed, "ha", "left_semi").groupBy("ha").agg(F.min("line").alias("line")), "texts")
-    first = pairs.join(texts.select(F.col("ha").alias("a"), F.col("line").alias("x")), "a")
-    both = first.join(texts.select(F.col("ha").alias("b"), F.col("line").alias("y")), "b").select("a", "b", "x", "y")
-    plain = _verify(both, most)
-    blocks = block_pairs(crowded, "key", F.col("id"), BLOCK).join(texts.withColumnRenamed("ha", "id"), "id").select("key", "i", "j", "block", "id", "line")
-
-    def forest(table: pa.Table) -> dict | None:
-        block, i, j = (table.column(k).to_numpy() for k in ("block", "i", "j"))
-        ids, texts = table.column("id").to_pylist(), table.column("line").to_pylist()
-        left = [k for k in range(len(ids)) if block[k] == i[0]]
-        right = left if i[0] == j[0] else [k for k in range(len(ids)) if block[k] == j[0]]
-        near = (
-            (x, y)
-            for x in left
-            for y in right
-            if (x < y or left is not right) and abs(len(texts[x]) - len(texts[y])) <= most
-            and distance(texts[x], texts[y], allowed(len(texts[x]), len(texts[y]), most)) is not None
-        )
-        a, b = _forest(ids, ids, near)
-        return {"a": a, "b": b} if a else None
-
-    return plain.unionByName(by_run(blocks, ["key", "i", "j"], [], forest, "a long, b long"))
-
-
-def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_EDITS) -> DataFrame:
+    linked = save(_verify(stars.select(*_pairs("a", "b")).distinct(), texts), "linked")
+
+    left = _mixed(members, linked)
+    copies = classes.groupBy("ha").agg(F.sum("copies").alias("copies"))
+    hubs = left.join(copies, F.col("id") == F.col("ha")).groupBy("key").agg(F.max(F.struct("copies", "id", "root")).alias("hub"))
+    tried = left.join(hubs, "key").where("root <> hub.root").select(*_pairs("id", "hub.id")).distinct()
+    linked = save(linked.unionByName(_verify(tried, texts)), "linked")
+
+    left = _mixed(left.select("key", "id"), linked)
+    blocks = block_pairs(left, "key", F.col("id"), BLOCK).join(texts.withColumnRenamed("ha", "id"), "id").select("key", "i", "j", "block", "id", "root", "line")
+    return linked.unionByName(by_run(blocks, ["key", "i", "j"], ["id"], _forest, "a long, b long")), texts.select("ha", _second(F.col("line")).alias("hb"))
+
+
+def _forest(table: pa.Table) -> dict | None:
+    """Near lines of two blocks, of those that are in different groups, or get there by a link found before."""
+    block, i, j = (table.column(k).to_numpy() for k in ("block", "i", "j"))
+    ids, roots, lines = (table.column(k).to_pylist() for k in ("id", "root", "line"))
+    left = [k for k in range(len(ids)) if block[k] == i[0]]
+    right = left if i[0] == j[0] else [k for k in range(len(ids)) if block[k] == j[0]]
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            up[x] = x = up.get(y, y)
+        return x
+
+    a, b = [], []
+    for x in left:
+        for y in right:
+            if (x < y or left is not right) and (p := top(roots[x])) != (q := top(roots[y])) and near(lines[x], lines[y]):
+                up[p] = q
+                a.append(ids[x])
+                b.append(ids[y])
+    return {"a": a, "b": b} if a else None
+
+
+def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n (line number from 0), ha (its hash), exact (a copy of the class's kept line), keeper_id, keeper_n of
     every line that goes."""
     docs = docs.where(F.col(id_col).isNotNull())
     lines = _lines(docs, id_col, text_col).select("doc_id", "n", "ha", "hb")
     classes = save(lines.groupBy("ha", "hb").agg(F.min(F.struct("doc_id", "n")).alias("first"), F.count(F.lit(1)).alias("copies")), "classes")
-    groups = save(components(links(docs, text_col, most)), "groups")
-    grouped = classes.join(groups.withColumnRenamed("node", "ha"), "ha")
+    linked, tried = links(docs, classes, text_col)
+    groups = save(components(linked).withColumnRenamed("node", "ha").join(tried, "ha"), "groups")
+    grouped = classes.join(groups, ["ha", "hb"])
     keepers = grouped.groupBy("root").agg(F.min("first").alias("keeper"))
-    near = grouped.join(keepers, "root").select("ha", "hb", "first", "keeper")
-    alone = classes.where("copies > 1").join(groups.select(F.col("node").alias("ha")), "ha", "left_anti").select("ha", "hb", "first", F.col("first").alias("keeper"))
-    multi = save(near.unionByName(alone), "multi")
+    close = grouped.join(keepers, "root").select("ha", "hb", "first", "keeper")
+    alone = classes.where("copies > 1").join(groups, ["ha", "hb"], "left_anti").select("ha", "hb", "first", F.col("first").alias("keeper"))
+    multi = save(close.unionByName(alone), "multi")
     gone = lines.join(multi, ["ha", "hb"]).where(~F.struct("doc_id", "n").eqNullSafe(F.col("keeper")))
     return gone.select("doc_id", "n", "ha", F.col("first").eqNullSafe(F.col("keeper")).alias("exact"), F.col("keeper.doc_id").alias("keeper_id"), F.col("keeper.n").alias("keeper_n"))
 
 
-def document_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_EDITS) -> DataFrame:
+def document_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_lines, n_exact, n_near, dropped for every row.
 
     n_lines counts lines that are not blank; n_exact and n_near those that go as copies of the line their class keeps
-    and as near copies of it; dropped lists them as n:keeper_id:keeper_n, in order, comma-joined. Blank lines stay.
+    and as near copies of it (see the module); dropped lists them as n:keeper_id:keeper_n, in order, comma-joined. Blank lines (white space only) stay.
     Null and empty texts have no lines. Rows with a null id take no part and keep their lines. Rows that repeat an id
     share their lists of lines that go. Other columns are ignored; an empty table gives an empty result.
     """
     each = F.array_sort(F.collect_list(F.struct("n", "exact", "keeper_id", "keeper_n")))
-    gone = dropped_lines(docs, id_col, text_col, most).groupBy(F.col("doc_id").alias("gone_id")).agg(each.alias("each"))
-    parts = F.filter(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n", -1), lambda x: F.trim(x) != "")
+    gone = dropped_lines(docs, id_col, text_col).groupBy(F.col("doc_id").alias("gone_id")).agg(each.alias("each"))
+    parts = F.filter(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n", -1), lambda x: F.trim(x, F.lit(BLANK)) != "")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.size(parts).cast("long").alias("n_lines"))
     got = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left")
     found = F.coalesce("each", F.array().cast("array<struct<n:int,exact:boolean,keeper_id:bigint,keeper_n:int>>"))
@@ -297,13 +354,13 @@ def document_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_EDITS) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, with the lines that go taken out of its text; a document that loses every line keeps an empty text.
 
     Null texts and rows with a null id stay as they are. Of rows that repeat an id, each loses its own lines that go.
     """
     listed = F.collect_set(F.struct("n", "ha")).alias("_gone")
-    gone = dropped_lines(docs, id_col, text_col, most).groupBy(F.col("doc_id").alias("_gone_id")).agg(listed)
+    gone = dropped_lines(docs, id_col, text_col).groupBy(F.col("doc_id").alias("_gone_id")).agg(listed)
     joined = docs.join(gone, F.col(id_col).cast("long") == F.col("_gone_id"), "left")
 
     def rest(parts: Column) -> Column:

@@ -1,7 +1,7 @@
 """SimHash, lattice, bit-sliced and line operators against brute force, with their edge cases."""
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -172,14 +172,24 @@ def test_distance():
         assert lines.distance(a, b, k) == (d if d <= k else None)
 
 
+def slow_near(a, b):
+    x, y = a.split(" "), b.split(" ")
+    apart = max(sum((Counter(p) - Counter(q)).values()) for p, q in ((a, b), (b, a)))  # that many edits at least
+    if apart > 0.2 * max(len(a), len(b)):
+        return False
+    if min(len(x), len(y)) < lines.LONG:
+        return apart <= 2 and edits(a, b) <= min(2, 0.2 * max(len(a), len(b)))
+    return edits(x, y) <= 2 and edits(a, b) <= 0.2 * max(len(a), len(b))
+
+
 def brute_lines(docs):
     where = defaultdict(list)
     for i, t in docs:
         for n, line in enumerate((t or "").split("\n")):
-            if line.strip(" ") and i is not None:
+            if line.strip(" \t\r") and i is not None:
                 where[line].append((i, n))
     texts = sorted(where)
-    pairs = [(a, b) for a in range(len(texts)) for b in range(a) if min(len(texts[a]), len(texts[b])) >= 5 and abs(len(texts[a]) - len(texts[b])) <= 2 and edits(texts[a], texts[b]) <= lines.allowed(len(texts[a]), len(texts[b]))]
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a) if abs(len(texts[a]) - len(texts[b])) < 200 and slow_near(texts[a], texts[b])]
     roots, first = least_roots(len(texts), pairs), {}
     for k, t in enumerate(texts):
         first[roots[k]] = min(first.get(roots[k], (1 << 60, 0)), min(where[t]))
@@ -191,16 +201,27 @@ def brute_lines(docs):
     return gone
 
 
-@pytest.mark.parametrize("crowd", [20_000, 3])
-def test_lines(spark, monkeypatch, crowd):
-    monkeypatch.setattr(lines, "PAIRS", crowd)  # with 3, nearly every key takes the way by blocks
-    monkeypatch.setattr(lines, "BLOCK", 8)
-    r = random.Random(crowd)
+def worded(r, words, most):
+    out = list(words)
+    for _ in range(r.randint(0, most)):
+        p, kind = r.randrange(len(out)), r.randint(0, 2)
+        out[p : p + (kind > 0)] = [] if kind == 1 else [r.choice(["so", "blue", "extraordinarily" * 3, "é", ""])]
+    return " ".join(out)
+
+
+@pytest.mark.parametrize("block", [256, 4])
+def test_lines(spark, monkeypatch, block):
+    monkeypatch.setattr(lines, "BLOCK", block)
+    r = random.Random(block)
     base = ["".join(r.choice("abcdé ") for _ in range(r.randint(3, 40))) for _ in range(40)]
-    docs = [(i, "\n".join(varied(r, r.choice(base), 3) for _ in range(r.randint(0, 6)))) for i in range(80)] + [(90, None), (91, ""), (92, "\n \n"), (None, base[0]), (93, "x" * 50_000)]
+    long = [[r.choice("the of red house river stone walks under").strip() + r.choice(["", "s", "ing"]) for _ in range(r.randint(14, 24))] for _ in range(12)]
+    docs = [(i, "\n".join(varied(r, r.choice(base), 3) for _ in range(r.randint(0, 6)))) for i in range(80)]
+    docs += [(100 + i, "\n".join(varied(r, worded(r, r.choice(long), 3), r.randint(0, 1)) for _ in range(4))) for i in range(60)]
+    docs += [(200 + i, worded(r, long[0] * 3, 5)) for i in range(60)]  # many near copies, also of each other only
+    docs += [(300, "abcd\nabcde\nabcdf"), (301, "\t\r\n \n\t\r"), (90, None), (91, ""), (92, "\n \n"), (None, base[0]), (93, "x" * 50_000), (94, "ab " * 2000)]
     rows = [(i, t, "x", 1, 2) for i, t in docs]
-    frame = spark.createDataFrame(rows, DOC)
-    gone = brute_lines(docs)
+    frame = spark.createDataFrame(rows, DOC).repartition(5)
+    gone = brute_lines(docs[:-2])
     got = {x.doc_id: x for x in lines.document_classes(frame).collect()}
     for i, t in docs:
         assert {int(p.split(":")[0]) for p in got[i].dropped.split(",") if p} == gone.get(i, set())
@@ -208,4 +229,15 @@ def test_lines(spark, monkeypatch, crowd):
     for i, t in docs:
         want = t if not gone.get(i) else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[i])
         assert texts[i] == want
+    assert sum(map(len, gone.values())) > 150
     assert lines.dedup_lines(frame).columns == frame.columns and lines.document_classes(frame.limit(0)).count() == 0
+
+
+def test_crowded_lines(spark):
+    """A third of the lines are near copies of one; they make rows in line with their number."""
+    r = random.Random(4)
+    base = [f"word{i}" for i in range(60)]
+    docs = [(i, " ".join([*base[:p], f"other{i}", *base[p + 1 :]])) for i in range(1200) for p in [r.randrange(60)]] + [(5000, " ".join(base)), (5001, " ".join(base))]
+    docs += [(2000 + i, " ".join(f"v{r.randrange(10**6)}" for _ in range(40))) for i in range(2400)]
+    got = {x.doc_id: x.dropped for x in lines.document_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all(d == ("" if i == 0 or 2000 <= i < 5000 else "0:0:0") for i, d in got.items())
