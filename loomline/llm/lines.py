@@ -1,17 +1,17 @@
 """Line dedup: exact copies by 128-bit hash, near copies by a segment-partition edit join.
 
-Lines of LONG words and more are sequences of words, shorter ones of characters. Two lines are near if at most EDITS
-of these units are inserted, deleted or replaced, and their similarity in characters is MIN_SIMILARITY at least. A
-line is split into threshold + 1 even segments, so two near lines share a segment at a place that their lengths and
-the segment's number bound (multi-match-aware selection). Lines are filed under (length, segment number, segment) and
-probe the substrings that lines of their own or a slightly smaller length could be filed under. Candidates are
-verified with a banded bit-parallel edit distance; components of the verified links are line classes, and a class
-keeps its first line (least doc_id, then line number).
-
-No key's lines are paired with each other. First every line of a key is held against one of them, in the task that
-found the key and then across tasks, so a key costs its size. Keys whose lines then are in several groups hold them
-against their most copied line. Only keys that still have several groups are cut into blocks, in which lines of
-different groups are compared. Texts travel once a line and once a line and key that still matter.
+Lines of LONG words and more are sequences of words, shorter ones of characters. A line is split into threshold + 1
+even segments, so two lines within the threshold (EDITS units inserted, deleted or replaced) share a segment at a
+place that their lengths and the segment's number bound (multi-match-aware selection). Lines are filed under (length,
+segment number, segment) and probe the substrings that lines of their own or a slightly smaller length could be filed
+under. Lines that share a key are near copies if their similarity is MIN_SIMILARITY at least, verified with a banded
+bit-parallel edit distance: all pairs within EDITS units are found, and of those with more edits the ones that leave
+an even segment in place. Components of the verified links are line classes, and a class keeps its first line (least
+doc_id, then line number).
+
+No key's lines are all paired with each other. First every line of a key is held against one of them, in the task that
+found the key and then across tasks, so a key costs its size. Only keys whose lines then are in several groups are cut
+into blocks, in which lines of different groups are compared.
 """
 
 from __future__ import annotations
@@ -28,74 +28,61 @@ from loomline.llm.store import save
 
 LONG, EDITS, MIN_SIMILARITY, SHORTEST = 16, 2, 0.8, 4
 BLANK = " \t\x0b\f\r"
-BLOCK, SEEN = 256, 300_000
+BLOCK, SEEN, FEW, CHUNK = 256, 300_000, 8, 2_000_000
+BASE = 0x5851F42D4C957F2D
 
 
 def allowed(units: int) -> int:
-    """Edits allowed when the longer line has so many units."""
+    """The threshold of the segments when the longer line has so many units."""
     return min(EDITS, int((1 - MIN_SIMILARITY) * units + 1e-9))
 
 
 def distance(a: Sequence, b: Sequence, most: int) -> int | None:
     """Edit distance of a and b if at most most, else None.
 
-    Bit-parallel over a band: register d holds, at bit o + most, whether the first i + o characters of a match the
-    first i of b with d edits. Common ends are cut off first.
+    Bit-parallel over a band: bit r of a column stands for row j - most + r of the table, and the vectors hold where the
+    next row is one more (up) or one less (down). Common ends are cut off first.
     """
     if abs(len(a) - len(b)) > most:
         return None
-
-    def common(x: Sequence, y: Sequence) -> int:
-        low, high = 0, min(len(x), len(y))
-        while low < high:
-            mid = (low + high + 1) // 2
-            low, high = (mid, high) if x[low:mid] == y[low:mid] else (low, mid - 1)
-        return low
-
-    n = common(a, b)
-    a, b = a[n:], b[n:]
-    n = common(a[::-1], b[::-1])
-    a, b = a[: len(a) - n], b[: len(b) - n]
-    m, width = len(a), (1 << (2 * most + 1)) - 1
-    state = [((1 << (d + 1)) - 1) << most for d in range(most + 1)]
-    for i, c in enumerate(b):
-        same = 0
-        for o in range(max(0, i - most), min(m, i + most + 1)):
-            if a[o] == c:
-                same |= 1 << (o - i + most)
-        room = width if i + 1 + most <= m else width >> (i + 1 + most - m)  # no prefix longer than a
-        if i + 1 < most:
-            room &= width << (most - i - 1)
-        new, last = [], 0
-        for d, bits in enumerate(state):
-            now = bits & same
-            if d:
-                now |= state[d - 1] | state[d - 1] >> 1 | last << 1
-            last = now & room
-            new.append(last)
-        state = new
-        if not state[most]:
+    low, high, stop = 0, 0, min(len(a), len(b))
+    while low < stop and a[low] == b[low]:
+        low += 1
+    while high < stop - low and a[-1 - high] == b[-1 - high]:
+        high += 1
+    a, b = a[low : len(a) - high], b[low : len(b) - high]
+    m, n = len(a), len(b)
+    if not m or not n:
+        return m + n if m + n <= most else None
+    if not most:
+        return None
+    places: dict = {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << i
+    width, last = (1 << 2 * most + 1) - 1, 2 * most
+    up, down, score = width & ~((1 << most) - 1), 0, min(most, m)
+    falls = n - max(0, m - most)  # columns in which the last row may fall
+    for j, c in enumerate(b, 1):
+        same = places.get(c, 0)
+        same = (same >> j - most - 1 if j > most else same << most + 1 - j) & width
+        flat = (((same & up) + up ^ up) | same | down) & width
+        right, left = down | width & ~(flat | up), flat & up
+        if j + most <= m:
+            score += not flat >> last & 1
+        else:
+            row = m - j + most
+            score += (right >> row & 1) - (left >> row & 1)
+        if score - falls > most:
             return None
-    for d, bits in enumerate(state):
-        if m - len(b) + most >= 0 and bits >> (m - len(b) + most) & 1:
-            return d
-    return None
+        up, down = left | width & ~(flat >> 1 | right), flat >> 1 & right
+    return score if score <= most else None
 
 
 def near(a: str, b: str) -> bool:
-    """Whether two different lines are near copies."""
+    """Whether two different lines have a similarity of MIN_SIMILARITY, in words if both have LONG, else in characters."""
     x, y = a.split(" "), b.split(" ")
-    if min(len(x), len(y)) < LONG:
-        return distance(a, b, allowed(max(len(a), len(b)))) is not None
-    if abs(len(x) - len(y)) > EDITS or distance(x, y, EDITS) is None:
-        return False
-    low = next((i for i, (v, w) in enumerate(zip(x, y)) if v != w), min(len(x), len(y)))
-    high = next((i for i, (v, w) in enumerate(zip(reversed(x[low:]), reversed(y[low:]))) if v != w), min(len(x), len(y)) - low)
-    x, y = x[low : len(x) - high], y[low : len(y) - high]
-    most = int((1 - MIN_SIMILARITY) * max(len(a), len(b)) + 1e-9)
-    # what the edits at both ends change at most; they are the only ones
-    ends = max(len(x[0]), len(y[0])) + max(len(x[-1]), len(y[-1])) + 2 if x and y else sum(map(len, x + y)) + len(x + y)
-    return ends <= most or distance(a, b, most) is not None
+    x, y = (x, y) if min(len(x), len(y)) >= LONG else (a, b)
+    return distance(x, y, int((1 - MIN_SIMILARITY) * max(len(x), len(y)) + 1e-9)) is not None
 
 
 def segments(length: int, most: int) -> list[tuple[int, int]]:
@@ -136,18 +123,59 @@ def _second(line: Column) -> Column:
     return F.xxhash64(F.lit(1), line)
 
 
-def _stars(keys, ids, own):
-    """Of rows sorted by key: for each key its centre (a filed line if it has one) and whether any is filed, as rows'
-    numbers, and for each further line the number of its key's centre. own: 1 if filed."""
+def _cut_keys(lines: list[str], plan_of, powers):
+    """Keys of lines without line breaks: key, the line's number, and whether it is filed under the key.
+
+    A slice's hash is its polynomial in powers, from sums up to each character: no slice is read twice.
+    """
+    import numpy as np
+
+    code = np.frombuffer("\n".join(lines).encode("utf-32-le"), "<u4")
+    up, down = powers(len(code) + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((code + np.uint64(1)) * up[: len(code)])])
+    breaks = code == 10
+    words = np.concatenate([[0], np.flatnonzero(breaks | (code == 32)) + 1, [len(code) + 1]])
+    starts = np.concatenate([[0], np.flatnonzero(breaks) + 1])
+    sizes = np.diff(np.append(starts, len(code) + 1)) - 1
+    first = np.searchsorted(words, starts)
+    counts = np.diff(np.append(first, len(words) - 1))
+    out: list[tuple] = []
+    for in_words, units, some in ((True, counts, counts >= LONG), (False, sizes, counts < LONG + EDITS)):  # with more words, EDITS characters do not lead below LONG
+        some = np.flatnonzero(some)
+        some = some[np.argsort(units[some], kind="stable")]
+        cuts = np.flatnonzero(np.diff(units[some], prepend=-1)).tolist()
+        for low, high in zip(cuts, [*cuts[1:], len(some)]):
+            at = some[low:high]
+            begin, end, seed, own = plan_of(int(units[at[0]]), in_words)
+            x, y = (words[first[at, None] + begin], words[first[at, None] + end] - 1) if in_words else (starts[at, None] + begin, starts[at, None] + end)
+            key = (sums[y] - sums[x]) * down[x] ^ seed
+            key = (key ^ key >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+            key = (key ^ key >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+            out.append(((key ^ key >> np.uint64(31)).ravel(), np.repeat(at, len(own)), np.tile(own, len(at))))
+    return [np.concatenate(c) for c in zip(*out)]
+
+
+def _held(keys, ids, own):
+    """A task's rows by key, as numbers of rows: those that go on alone, and the others with their key's one that does.
+
+    The one that goes on is filed under the key if any is. Keys with a few rows of which none is filed go on whole.
+    """
     import numpy as np
 
-    order = np.lexsort((ids, 1 - own, keys))
-    keys, ids = keys[order], ids[order]
-    first = np.r_[True, keys[1:] != keys[:-1]] if len(keys) else np.empty(0, bool)
-    at = np.maximum.accumulate(np.where(first, np.arange(len(keys)), 0))
-    centre = order[at]
-    other = ids != ids[at]
-    return order[first], order[other], centre[other]
+    order = np.argsort(keys)
+    keys, ids, own = keys[order], ids[order], own[order]
+    first = np.r_[True, keys[1:] != keys[:-1]][: len(keys)]
+    heads = np.flatnonzero(first)
+    group = np.cumsum(first) - 1
+    filed = np.flatnonzero(own)
+    best = heads.copy()
+    best[group[filed[::-1]]] = filed[::-1]
+    whole = ~np.isin(np.arange(len(heads)), group[filed]) & (np.diff(np.append(heads, len(keys))) <= FEW)
+    alone = whole[group]
+    alone[best] = True
+    rest = np.flatnonzero(~alone)
+    rest = rest[ids[rest] != ids[best[group[rest]]]]
+    return order[alone], order[rest], order[best[group[rest]]]
 
 
 def _keys(docs: DataFrame, text_col: str) -> DataFrame:
@@ -157,58 +185,60 @@ def _keys(docs: DataFrame, text_col: str) -> DataFrame:
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from itertools import accumulate
-
         import numpy as np
         import xxhash
 
-        digest, plans = xxhash.xxh64_intdigest, {}
+        digest, plans, tables = xxhash.xxh64_intdigest, {}, [np.ones(1, np.uint64)] * 2
         seen: set[int] = set()
 
-        def plan_of(n: int, least: int, words: bool):
+        def plan_of(n: int, words: bool):
             if (n, words) not in plans:
-                plan = selections(n, least, words)
-                plans[n, words] = [p[:3] for p in plan], [p[3] for p in plan]
+                begin, end, seed, own = zip(*selections(n, LONG if words else SHORTEST, words))
+                plans[n, words] = np.array(begin), np.array(end), np.array(seed, np.uint64) * np.uint64(0x9E3779B97F4A7C15), np.array(own)
             return plans[n, words]
 
-        def flush(keys, ids, counts, own):
-            keys, ids = np.array(keys, np.uint64).view(np.int64), np.repeat(np.array(ids, np.uint64).view(np.int64), counts)
-            own = np.array(own, np.int8)
-            heads, others, centres = _stars(keys, ids, own)
-            at = np.concatenate([heads, centres])
-            b = pa.array(np.concatenate([np.zeros(len(heads), np.int64), ids[others]]), mask=np.arange(len(at)) < len(heads))
-            return pa.RecordBatch.from_arrays([pa.array(keys[at]), pa.array(ids[at]), b, pa.array(own[at] > 0)], names=["key", "a", "b", "own"])
+        def powers(n: int):
+            if len(tables[0]) < n:
+                tables[:] = [np.cumprod(np.append(np.uint64(1), np.full(n - 1, b, np.uint64))) for b in (BASE, pow(BASE, -1, 1 << 64))]
+            return tables
+
+        def flush(parts):
+            keys, ids, own = (np.concatenate(c) for c in zip(*parts))
+            heads, rest, beside = _held(keys, ids, own)
+            at = np.concatenate([heads, beside])
+            b = pa.array(np.concatenate([np.zeros(len(heads), np.int64), ids[rest]]), mask=np.arange(len(at)) < len(heads))
+            return pa.RecordBatch.from_arrays([pa.array(keys[at].view(np.int64)), pa.array(ids[at]), b, pa.array(own[at])], names=["key", "a", "b", "own"])
 
         for batch in batches:
-            keys, ids, counts, own = [], [], [], []
+            parts: list[tuple] = []
+            lines, ids, chars = [], [], 0
+
+            def cut():
+                keys, of, own = _cut_keys(lines, plan_of, powers)
+                parts.append((keys, np.array(ids, np.uint64).view(np.int64)[of], own))
+
             if len(seen) > SEEN:
                 seen.clear()
             for text in batch.column(0).to_pylist():
                 for line in (text or "").split("\n"):
                     if len(line) < SHORTEST or not line.strip(BLANK):
                         continue
-                    raw = line.encode()
-                    h = digest(raw, 42)
-                    if h in seen:
-                        continue
-                    seen.add(h)
-                    units = raw.count(b" ") + 1
-                    before = len(keys)
-                    if units >= LONG:
-                        cuts, flags = plan_of(units, LONG, True)
-                        stops = list(accumulate((len(w) + 1 for w in raw.split(b" ")), initial=0))
-                        keys += [digest(raw[stops[x] : stops[y] - 1], s) for x, y, s in cuts]
-                        own += flags
-                    if units < LONG + EDITS:  # a longer line is not within EDITS characters of one below LONG
-                        cuts, flags = plan_of(len(line), SHORTEST, False)
-                        keys += [digest(raw[x:y], s) for x, y, s in cuts] if len(raw) == len(line) else [digest(line[x:y].encode(), s) for x, y, s in cuts]
-                        own += flags
-                    ids.append(h)
-                    counts.append(len(keys) - before)
-                if len(keys) > 500_000:
-                    yield flush(keys, ids, counts, own)
-                    keys, ids, counts, own = [], [], [], []
-            yield flush(keys, ids, counts, own)
+                    h = digest(line.encode(), 42)
+                    if h not in seen:
+                        seen.add(h)
+                        lines.append(line)
+                        ids.append(h)
+                        chars += len(line)
+                if chars > CHUNK:
+                    cut()
+                    lines, ids, chars = [], [], 0
+                    if sum(len(p[0]) for p in parts) > 500_000:
+                        yield flush(parts)
+                        parts = []
+            if lines:
+                cut()
+            if parts:
+                yield flush(parts)
 
     return docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(work, "key long, a long, b long, own boolean")
 
@@ -219,28 +249,25 @@ def _members(keys: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        last, centre = None, None  # the key that the batch before ended with
+        last, centre, filed = None, 0, False  # of the key that the batch before ended with
         for batch in batches:
-            k, a, beside = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
+            k, a, beside, own = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2), batch.column(3).to_numpy(zero_copy_only=False)
             apart = beside.is_null().to_numpy(zero_copy_only=False)
-            b = beside.fill_null(0).to_numpy()
-            heads = np.flatnonzero(apart)
-            out = [(k[~apart], a[~apart], b[~apart])]
-            if len(heads):
-                hk, ha = k[heads], a[heads]
-                first = np.r_[hk[0] != last, hk[1:] != hk[:-1]]
-                at = np.maximum.accumulate(np.where(first, np.arange(len(hk)), -1))
-                of = np.where(at >= 0, ha[at], centre if centre is not None else 0)
-                more = ha != of
-                out.append((hk[more], of[more], ha[more]))
-                last, centre = hk[-1], of[-1]
+            out = [(k[~apart], a[~apart], beside.fill_null(0).to_numpy()[~apart])]
+            k, a, own = k[apart], a[apart], own[apart]
+            if len(k):
+                at = np.maximum.accumulate(np.where(np.r_[k[0] != last, k[1:] != k[:-1]], np.arange(len(k)), -1))
+                of, ok = np.where(at >= 0, a[at], centre), np.where(at >= 0, own[at], filed)
+                more = ok & (a != of)
+                out.append((k[more], of[more], a[more]))
+                last, centre, filed = k[-1], of[-1], ok[-1]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["key", "a", "b"])
 
     parts = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # rows that have their centre go anywhere; the others meet by key, filed lines first
     dealt = keys.repartition(parts, F.when(F.col("b").isNull(), F.col("key")).otherwise(F.xxhash64("key", "b")))
     ordered = dealt.sortWithinPartitions(F.col("b").isNotNull(), "key", F.col("own").desc(), "a")
-    return ordered.select("key", "a", "b").mapInArrow(work, "key long, a long, b long")
+    return ordered.mapInArrow(work, "key long, a long, b long")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -267,11 +294,8 @@ def _pairs(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def links(docs: DataFrame, classes: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """a, b: hashes of near lines, enough of them to join all that all near lines join; ha, hb of the lines tried.
-
-    classes: ha, copies of every different line.
-    """
+def links(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """a, b: hashes of near lines, enough of them to join all that all near lines join; ha, hb of the lines tried."""
     stars = save(_members(_keys(docs, text_col)), "stars")
     members = save(stars.select("key", F.explode(F.array("a", "b")).alias("id")).distinct(), "members")
     needed = members.select(F.col("id").alias("ha")).distinct()
@@ -280,12 +304,6 @@ def links(docs: DataFrame, classes: DataFrame, text_col: str = "text") -> tuple[
     linked = save(_verify(stars.select(*_pairs("a", "b")).distinct(), texts), "linked")
 
     left = _mixed(members, linked)
-    copies = classes.groupBy("ha").agg(F.sum("copies").alias("copies"))
-    hubs = left.join(copies, F.col("id") == F.col("ha")).groupBy("key").agg(F.max(F.struct("copies", "id", "root")).alias("hub"))
-    tried = left.join(hubs, "key").where("root <> hub.root").select(*_pairs("id", "hub.id")).distinct()
-    linked = save(linked.unionByName(_verify(tried, texts)), "linked")
-
-    left = _mixed(left.select("key", "id"), linked)
     blocks = block_pairs(left, "key", F.col("id"), BLOCK).join(texts.withColumnRenamed("ha", "id"), "id").select("key", "i", "j", "block", "id", "root", "line")
     return linked.unionByName(by_run(blocks, ["key", "i", "j"], ["id"], _forest, "a long, b long")), texts.select("ha", _second(F.col("line")).alias("hb"))
 
@@ -319,7 +337,7 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     docs = docs.where(F.col(id_col).isNotNull())
     lines = _lines(docs, id_col, text_col).select("doc_id", "n", "ha", "hb")
     classes = save(lines.groupBy("ha", "hb").agg(F.min(F.struct("doc_id", "n")).alias("first"), F.count(F.lit(1)).alias("copies")), "classes")
-    linked, tried = links(docs, classes, text_col)
+    linked, tried = links(docs, text_col)
     groups = save(components(linked).withColumnRenamed("node", "ha").join(tried, "ha"), "groups")
     grouped = classes.join(groups, ["ha", "hb"])
     keepers = grouped.groupBy("root").agg(F.min("first").alias("keeper"))

@@ -168,7 +168,7 @@ def test_distance():
     for _ in range(4000):
         a = "".join(r.choice("ab") for _ in range(r.randint(0, 12)))
         b = varied(r, a, 4) if r.random() < 0.7 else "".join(r.choice("ab") for _ in range(r.randint(0, 12)))
-        k, d = r.randint(0, 3), edits(a, b)
+        k, d = r.randint(0, 6), edits(a, b)
         assert lines.distance(a, b, k) == (d if d <= k else None)
 
 
