@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomline.llm import simhash
@@ -58,7 +58,8 @@ def _common(docs: DataFrame, words: int):
 
 
 def _rows(docs: DataFrame, words: int) -> DataFrame:
-    """id, da, db (the set's digest), n (its size), fp (the SimHash), keys (the set's first shingles) of every row."""
+    """id, ta, tb (the text's digest), da, db (the set's digest), n (its size), fp (the SimHash), keys (the set's first
+    shingles) of every row."""
     common, counts = _common(docs, words)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,19 +82,19 @@ def _rows(docs: DataFrame, words: int) -> DataFrame:
                 fps.append(simhash.fingerprint_of(hashes))
                 keys.append(found[np.lexsort((found, weight))[: len(found) // 5 + SHARED]].view(np.int64))
             as_long = lambda v: pa.array(np.array(v, np.uint64).view(np.int64))
-            columns = [batch.column(0), as_long(da), as_long(db), pa.array(sizes, pa.int64()), as_long(fps), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "da", "db", "n", "fp", "keys"])
+            columns = [batch.column(0), batch.column(2), batch.column(3), as_long(da), as_long(db), pa.array(sizes, pa.int64()), as_long(fps), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "ta", "tb", "da", "db", "n", "fp", "keys"])
 
-    return docs.mapInArrow(work, "id long, da long, db long, n long, fp long, keys array<long>")
+    return docs.mapInArrow(work, "id long, ta long, tb long, da long, db long, n long, fp long, keys array<long>")
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """The pairs a, b whose sets are similar."""
+def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """The pairs a, b of nodes whose sets are similar."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingle_set(t.as_py(), words).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["id", "s"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["node", "s"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -106,8 +107,9 @@ def _verify(pairs: DataFrame, docs: DataFrame, words: int) -> DataFrame:
             keep = pa.array(near, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
-    needed = save(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "needed")  # if small, docs stay in place
-    texts = save(docs.join(needed, "id", "left_semi").select("id", "t").mapInArrow(sets, "id long, s binary"), "sets")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    needed = save(nodes.select("node", "id", "ta", "tb").join(wanted, "node"), "needed")  # if small, docs stay in place
+    texts = save(docs.join(needed, ["id", "ta", "tb"]).select("node", "t").mapInArrow(sets, "node long, s binary"), "sets")
     left, right = texts.toDF("a", "x"), texts.toDF("b", "y")
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(work, "a long, b long")
 
@@ -116,48 +118,60 @@ def _ordered(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
+def _digests(text: Column) -> list[Column]:
+    return [F.xxhash64(text), F.xxhash64(F.lit(1), text)]
+
+
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """id, component_id (the least id that verified pairs reach) for every row whose id is not null."""
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).where("id is not null")
+    """id, ta, tb (the text's digest), component_id (the least id that verified pairs reach) for every row whose id is
+    not null. Null and empty texts are copies of each other; rows that repeat an id are compared text by text."""
+    text = F.col(text_col).cast("string")
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("t"), *[d.alias(k) for d, k in zip(_digests(text), ("ta", "tb"))]).where("id is not null")
     rows = save(_rows(docs, words), "shingled")
-    least = rows.groupBy("da", "db").agg(F.min(F.struct("id", "n", "fp", "keys")).alias("e"))
-    nodes = save(least.select("da", "db", "e.*"), "nodes")
+    least = rows.groupBy("da", "db").agg(F.min(F.struct("id", "ta", "tb", "n", "fp", "keys")).alias("e"))
+    nodes = save(least.select(F.monotonically_increasing_id().alias("node"), "da", "db", "e.*"), "nodes")
 
-    same = nodes.groupBy("fp").agg(F.min("id").alias("head"))
+    same = nodes.groupBy("fp").agg(F.min("node").alias("head"))
     close = simhash.links(same.select("fp"))
     heads = [same.select(F.col("fp").alias(k), F.col("head").alias(f"h{k}")) for k in "ab"]
     near_bits = close.join(heads[0], "a").join(heads[1], "b").select(*_ordered("ha", "hb"))
-    equal_bits = nodes.join(same, "fp").select(*_ordered("head", "id"))
+    equal_bits = nodes.join(same, "fp").select(*_ordered("head", "node"))
 
-    index = nodes.select("id", "n", F.explode("keys").alias("key"))
+    index = nodes.select("node", "n", F.explode("keys").alias("key"))
     of_key = Window.partitionBy("key")
-    counted = index.withColumn("first", F.min(F.struct("id", "n")).over(of_key)).withColumn("c", F.count(F.lit(1)).over(of_key))
+    counted = index.withColumn("first", F.min(F.struct("node", "n")).over(of_key)).withColumn("c", F.count(F.lit(1)).over(of_key))
     shared = save(counted.where("c > 1").drop("c"), "shared")
     close_size = "5 * least({0}, {1}) >= 4 * greatest({0}, {1})".format
     enough = F.col("count") >= F.least(F.lit(SHARED), F.ceil(F.col("larger") * 4 / 5))
-    stars = shared.where(close_size("n", "first.n")).where("id <> first.id").groupBy(*_ordered("first.id", "id"), F.greatest("n", "first.n").alias("larger")).count()
+    stars = shared.where(close_size("n", "first.n")).where("node <> first.node").groupBy(*_ordered("first.node", "node"), F.greatest("n", "first.n").alias("larger")).count()
     stars = stars.where(enough).select("a", "b")
     tried = save(near_bits.unionByName(equal_bits).unionByName(stars).where("a <> b").distinct(), "tried")
-    linked = save(_verify(tried, docs, words), "linked")
+    linked = save(_verify(tried, nodes, docs, words), "linked")
     tied = save(components(linked), "tied")
 
-    rooted = shared.select("key", "id", "n").join(tied.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    rooted = shared.select("key", "node", "n").join(tied, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = save(rooted, "rooted")
     mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.mode("root").alias("most")).where("low <> high")
     met = save(rooted.join(mixed.select("key", "most"), "key"), "met")
-    outside = met.where("root <> most").select("key", *(F.col(k).alias(f"o_{k}") for k in ("id", "n", "root")))
-    apart = (F.col("root") != F.col("o_root")) & F.expr(close_size("n", "o_n")) & ((F.col("root") == F.col("most")) | (F.col("o_id") < F.col("id")))
-    more = outside.join(met, "key").where(apart).groupBy(*_ordered("o_id", "id"), F.greatest("o_n", "n").alias("larger")).count()
+    outside = met.where("root <> most").select("key", *(F.col(k).alias(f"o_{k}") for k in ("node", "n", "root")))
+    apart = (F.col("root") != F.col("o_root")) & F.expr(close_size("n", "o_n")) & ((F.col("root") == F.col("most")) | (F.col("o_node") < F.col("node")))
+    more = outside.join(met, "key").where(apart).groupBy(*_ordered("o_node", "node"), F.greatest("o_n", "n").alias("larger")).count()
     more = save(more.where(enough).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "more")
-    all_links = linked.unionByName(_verify(more, docs, words))
+    all_links = linked.unionByName(_verify(more, nodes, docs, words))
 
-    roots = components(all_links).withColumnRenamed("node", "least")
-    named = nodes.select("da", "db", F.col("id").alias("least")).join(roots, "least", "left")
-    named = named.select("da", "db", F.coalesce("root", "least").alias("component_id"))
-    return rows.select("id", "da", "db").join(named, ["da", "db"]).select("id", "component_id")
+    rooted = nodes.join(components(all_links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
+    named = save(rooted.select("da", "db", "root").join(least, "root").select("da", "db", "component_id"), "named")
+    return rows.select("id", "ta", "tb", "da", "db").join(named, ["da", "db"]).select("id", "ta", "tb", "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """docs without the rows whose group of near copies has a smaller id; rows with a null id stay."""
-    gone = groups(docs, id_col, text_col, words).where("id <> component_id").select(F.col("id").alias("_gone_id")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone_id"), "left_anti")
+    """docs without the rows whose group of near copies has a smaller id.
+
+    Rows with a null id stay. Of rows that repeat an id, each is judged by its own text, so no group of texts goes
+    whole; rows that repeat id and text stay or go together. Other columns are kept; an empty table gives an empty one.
+    """
+    gone = groups(docs, id_col, text_col, words).where("id <> component_id").select(*(F.col(k).alias(f"_gone_{k}") for k in ("id", "ta", "tb"))).distinct()
+    ta, tb = _digests(F.col(text_col).cast("string"))
+    same = (F.col(id_col).cast("long") == F.col("_gone_id")) & (ta == F.col("_gone_ta")) & (tb == F.col("_gone_tb"))
+    return docs.join(gone, same, "left_anti")

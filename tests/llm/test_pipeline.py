@@ -67,3 +67,12 @@ def test_near_copies_by_five_word_shingles(spark):
                 root[y] = x
     kept = corpus_pipeline.keep_one_of_near_copies(spark, spark.createDataFrame(docs, "doc_id long, text string"), SF)
     assert sorted(x.doc_id for x in kept.collect()) == sorted(i for i in sets if find(i) == i)
+
+
+def test_repeated_ids_lose_no_group(spark):
+    rows = [(3, "one two three", 1), (5, "one two three", 2), (5, "four five six", 3), (None, "one two three", 4), (7, None, 5), (8, "", 6), (9, "four five six", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, node int")
+    kept = corpus_pipeline.keep_one_of_near_copies(spark, docs, SF)
+    assert kept.columns == docs.columns
+    assert sorted(tuple(r) for r in kept.collect() if r.doc_id) == [(3, "one two three", 1), (5, "four five six", 3), (7, None, 5)]
+    assert [r.node for r in kept.collect() if not r.doc_id] == [4] and corpus_pipeline.keep_one_of_near_copies(spark, docs.limit(0), SF).count() == 0
