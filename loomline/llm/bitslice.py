@@ -6,7 +6,7 @@ set bit b of the query's weight, and carry-save adders reduce every level to one
 complemented slices, which shifts the sum by a constant). Top rows are then selected from the most significant slice
 of the sum downward; rows that tie at the boundary are resolved exactly by their integer scores and ids. Each block
 returns k rows for each query and a grouped limit merges them. Query blocks stream past a row block, so a task holds
-one block of each.
+one block of each; they are dealt to row blocks by (length, part), so that equal lengths make no hot key.
 """
 
 from __future__ import annotations
@@ -20,17 +20,19 @@ from pyspark.sql import functions as F
 from loomline.llm.store import save
 
 ROWS, QUERIES = 8192, 64
+DEALS = 64  # parts of the row blocks, by which query blocks meet them
 
 
 def slices(values):
     """values: (rows, attributes) of non-negative integers. Bitmaps (attributes, bits, words) of 64-bit words."""
     import numpy as np
 
-    bits = max(1, int(values.max(initial=0)).bit_length())
-    planes = (values.T[:, None, :] >> np.arange(bits)[None, :, None]) & 1
-    packed = np.packbits(planes.astype(np.uint8), axis=2, bitorder="little")
-    pad = -packed.shape[2] % 8
-    return np.pad(packed, ((0, 0), (0, 0), (0, pad))).view(np.uint64)
+    bits, columns = max(1, int(values.max(initial=0)).bit_length()), np.ascontiguousarray(values.T)
+    out = np.zeros((columns.shape[0], bits, -(-columns.shape[1] // 64) * 8), np.uint8)
+    for b in range(bits):  # a plane at a time
+        packed = np.packbits((columns >> b & 1).astype(np.uint8), axis=1, bitorder="little")
+        out[:, b, : packed.shape[1]] = packed
+    return out.view(np.uint64)
 
 
 def weighted_sum(both, weights):
@@ -132,19 +134,24 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id",
     Candidates are all rows but those with the query's id; ties go to the smaller id; fewer candidates give fewer
     rows. Null vectors, empty ones, those with null or non-finite components and rows with null ids take no part.
     Only vectors of the query's length are candidates. Rows that repeat an id are one query (the least vector), and
-    each is a candidate of its own. Quantised values must stay below 2^24 in size. Other columns are ignored; an empty table gives an empty result.
+    each is a candidate of its own. Scores are 64-bit integers: if a quantised value or a score could leave their
+    range, the query ends with an error that says so. Other columns are ignored; an empty table gives an empty result.
     """
     spark = rows.sparkSession
     big = F.lit(float("inf"))
     whole = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("x"), is_query.alias("q"))
     good = whole.where("id is not null and size(x) > 0").where(F.forall("x", lambda c: c.isNotNull() & (F.abs(c) < big)))
+    # a value's square times the number of components bounds every score
+    fits = F.forall("x", lambda c: F.abs(c) * factor + 1 <= F.sqrt(F.lit(2.0**62) / F.size("x")))
+    good = good.withColumn("x", F.when(fits, F.col("x")).otherwise(F.raise_error(F.lit("a component is too large for 64-bit scores"))))
     good = good.select("id", quantise(F.col("x"), factor).alias("v"), "q")
     stored = save(_blocks(good.select("id", "v"), ROWS, 0), "slices")
     asked = good.where("q").groupBy("id").agg(F.min("v").alias("v"))
     queries = save(_blocks(asked, QUERIES, 1), "asked")
-    blocks = stored.select("block", "d")
-    paired = queries.select("kind", "d", "ids", "values").join(F.broadcast(blocks) if stored.count() <= 10_000 else blocks, "d")
-    both = stored.select("block", "kind", "ids", "values").unionByName(paired.select("block", "kind", "ids", "values"))
+    lists = stored.select("block", "d", F.pmod(F.xxhash64("block"), F.lit(DEALS)).alias("deal")).groupBy("d", "deal").agg(F.collect_list("block").alias("blocks"))
+    dealt = queries.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1)).cast("array<long>"))).join(lists, ["d", "deal"])
+    paired = dealt.select(F.explode("blocks").alias("block"), "kind", "ids", "values")
+    both = stored.select("block", "kind", "ids", "values").unionByName(paired)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np

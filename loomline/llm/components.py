@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from loomline.llm.store import save
 
+ROWS = 150_000  # edges in a file at most, about
+
 
 def _print(edges: DataFrame) -> tuple:
     row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
@@ -26,6 +28,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges = save(ends.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     before = _print(edges)
     while before[0]:
+        files = before[0] // ROWS + 1
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
             edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
         )
@@ -40,7 +43,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
                 )
             ).alias("e")
         )
-        edges = save(small.select("e.*").where("a <> b").distinct(), "stars")
+        edges = save(small.select("e.*").where("a <> b").distinct(), "stars", files)
         after = _print(edges)
         if after == before:
             break

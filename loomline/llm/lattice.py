@@ -2,7 +2,7 @@
 
 Each table projects unit vectors to eight dimensions and decodes them to the nearest point of the E8 lattice; a
 vector is filed under that cell and under the PROBES cells next nearest among the 240 neighbours. Vectors that
-share a cell of a table are compared by cosine in double precision. Cells over BLOCK vectors are cut into blocks and
+share a cell of a table are compared by cosine in double precision; equal vectors with equal labels are one node. Cells over BLOCK vectors are cut into blocks and
 every pair of blocks is compared, so a crowded cell costs more tasks, not a longer one, and loses nothing.
 The components of the verified links then give exact link counts: every linked pair lies in one component, whose
 pairs are counted block by block and never written out.
@@ -23,7 +23,7 @@ from loomline.llm.simhash import _forest
 from loomline.llm.store import save
 
 BLOCK = 512
-TABLES, PROBES, SCALE, SEED = 4, 6, 1.2, 8
+TABLES, PROBES, SCALE, SEED = 5, 6, 1.2, 8
 
 
 def e8_neighbours():
@@ -162,7 +162,10 @@ def near_duplicates(
         "id is not null and label is not null and size(v) > 0"
     ).where(F.forall("v", lambda x: x.isNotNull() & (F.abs(x) < big)) & F.exists("v", lambda x: x != 0))
     one = good.groupBy("id").agg(F.min(F.struct("label", "v")).alias("s")).select("id", "s.label", "s.v")
-    filed = save(_filed(one, tables, probes, scale, seed), "vectors")
+    one = save(one.withColumn("same", F.xxhash64("label", "v")), "rows")
+    nodes = one.groupBy("same", "label", "v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("m"))
+    filed = save(_filed(nodes.select("id", "label", "v"), tables, probes, scale, seed), "vectors")
+    copies = save(nodes.select("id", "same", "label", "v", "m"), "copies")
     units = filed.select("id", "label", "unit")
     entries = filed.select("id", F.explode("keys").alias("key"))
     met = block_pairs(entries, "key", F.xxhash64("id"), BLOCK)
@@ -180,14 +183,17 @@ def near_duplicates(
     groups = save(components(linked), "groups").select(F.col("node").alias("id"), "root")
 
     def count(table: pa.Table) -> dict | None:
-        (first, second), same = _sides(table, ["label"])
-        near = _near(first, second, same, min_cosine)
+        (first, second), same = _sides(table, ["label", "m"])
+        near = _near(first, second, same, min_cosine).astype(np.int64)
         ids = [*first[0].tolist(), *([] if same else second[0].tolist())]
-        return {"id": ids, "n": [*near.sum(1).tolist(), *([] if same else near.sum(0).tolist())]}
-
-    inside = block_pairs(groups, "root", F.xxhash64("id"), BLOCK).join(units, "id")
-    counts = by_run(inside, ["root", "i", "j"], [], count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n_links"))
-    result = counts.join(groups, "id")
+        m = [np.array([e[1] for e in side[2]], np.int64) for side in (first, second)]
+        return {"id": ids, "n": [*(near @ m[1]).tolist(), *([] if same else (m[0] @ near).tolist())]}
+
+    inside = block_pairs(groups, "root", F.xxhash64("id"), BLOCK).join(units, "id").join(copies.select("id", "m"), "id")
+    counts = by_run(inside, ["root", "i", "j"], [], count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    linked = copies.join(counts, "id", "left").join(groups, "id", "left")
+    linked = linked.select("same", "label", "v", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("root", "id").alias("root"))
+    result = one.join(save(linked.where("n_links > 0"), "linked"), ["same", "label", "v"]).select("id", "n_links", "root")
     return (
         rows.select("id").join(result, "id", "left")
         .select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("root", "id").alias("component_id"))

@@ -92,7 +92,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN) -> tuple[
     known = known.orderBy(F.xxhash64("_id"), "_id", "_y").limit(max_rows)
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_t")).join(F.broadcast(known), "_id")
     stats = statistics(F.col("_t"))
-    got = rows.select("_id", "_y", *[c.alias(k) for k, c in stats.items()]).toPandas().sort_values("_id", kind="stable")
+    some = rows.select("_id", "_y", *[c.alias(k) for k, c in stats.items()])
+    # ids may repeat in docs: the bound holds for what reaches the driver
+    got = some.orderBy(F.xxhash64("_id"), "_id", "_y", *stats).limit(max_rows).toPandas().sort_values("_id", kind="stable")
     return fit_rules(got[list(stats)].to_numpy(np.float64), got["_y"].to_numpy(), list(stats))
 
 

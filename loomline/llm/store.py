@@ -2,24 +2,26 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset (tests), a temporary one is set."""
+    """The folder named by spark.checkpoint.dir."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = tempfile.mkdtemp(prefix="loomline-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return path.rstrip("/")
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Write df once as Parquet in the shared folder and read it back: a lost executor costs no recomputation."""
+def save(df: DataFrame, name: str, most: int | None = None) -> DataFrame:
+    """Write df once as Parquet in the shared folder and read it back: a lost executor costs no recomputation.
+
+    most: files to write at most, where the number of rows is known. Tables stay until the folder is cleared, as the
+    results that callers get are read from them.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomline/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.coalesce(most) if most else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

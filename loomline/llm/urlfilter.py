@@ -3,7 +3,8 @@
 A URL expands to its host suffixes joined with its path prefixes (as many labels as the longest rule host has, the
 prefix lengths that rules have). Expressions meet rules in an equi-join on the first PREFIX hex digits of their
 SHA-256, full digests confirm, and the longest rule wins. Only distinct URLs are expanded, so a URL that a third of
-the rows share costs one row.
+the rows share is matched once; the join back of the rules found is between two stored inputs, so that Spark's
+adaptive execution can split such a URL's rows.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomline.llm.store import save
+
 PREFIX = 8
 MAX_BROADCAST_RULES = 10_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -66,7 +69,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], default: str
     spread = distinct.withColumn("expression", F.explode(F.array_distinct(expressions(host_of(F.col("url")), path_of(F.col("url")), labels, lengths))))
     spread = spread.withColumn("full", F.sha2("expression", 256)).withColumn("short", F.substring("full", 1, PREFIX))
     order = F.struct(F.length("rule"), F.length("rule_host"), F.col("verdict"), F.col("rule"))
-    best = spread.join(known, "short").where("full = digest").groupBy("url").agg(F.max(order).alias("best"))
+    best = save(spread.join(known, "short").where("full = digest").groupBy("url").agg(F.max(order).alias("best")), "rules")
     return judged.join(best, "url", "left").select(
         "page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict")
     )

@@ -117,6 +117,23 @@ def test_lattice(spark, monkeypatch):
     assert lattice.near_duplicates(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("d", [64, 256])
+def test_lattice_recall(spark, d):
+    """Of pairs just over the threshold, none of them linked through others, at least 0.9 are found; with copies."""
+    rng = np.random.default_rng(d)
+    x = rng.standard_normal((1500, d))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    off = rng.standard_normal((1500, d))
+    off -= (off * x).sum(1, keepdims=True) * x
+    off /= np.linalg.norm(off, axis=1, keepdims=True)
+    y = 0.931 * x + (1 - 0.931**2) ** 0.5 * off
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)] + [(2000 + i, v.tolist(), 1) for i, v in enumerate(y)] + [(5000 + i, x[0].tolist(), 1) for i in range(700)]
+    got = {r.vec_id: r for r in lattice.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert np.mean([got[2000 + i].component_id == i for i in range(1500)]) >= 0.9
+    assert all(got[5000 + i].component_id == 0 and got[5000 + i].n_links in (700, 701) for i in range(700))
+    assert got[0].n_links == got[5000].n_links and got[0].kept and not got[5000].kept
+
+
 def test_top_k(spark, monkeypatch):
     monkeypatch.setattr(bitslice, "ROWS", 64)
     monkeypatch.setattr(bitslice, "QUERIES", 3)
@@ -137,6 +154,23 @@ def test_top_k(spark, monkeypatch):
     assert few.count() == 2 and bitslice.top_k(frame.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def test_top_k_of_equal_vectors(spark):
+    rows = [(i, [0.5, -1.0, 0.25, 0.0]) for i in range(40)]
+    got = bitslice.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 10 == 0).collect()
+    score = 128 * 128 + 256 * 256 + 64 * 64
+    assert sorted(map(tuple, got)) == sorted((q, n, v, score) for q in range(0, 40, 10) for n, v in enumerate([v for v in range(40) if v != q][:5], 1))
+
+
+def test_top_k_of_large_values(spark):
+    frame = lambda c: spark.createDataFrame([(i, [c + 1000 * i, -c]) for i in range(20)], "vec_id long, embedding array<double>")
+    q = [(256 * int(1e6 + 1000 * i), -256 * 10**6) for i in range(20)]
+    want = sorted(((-(q[0][0] * x + q[0][1] * y), i) for i, (x, y) in enumerate(q) if i))[:5]
+    got = bitslice.top_k(frame(1e6), F.col("vec_id") == 0).collect()
+    assert sorted((-r.score, r.vec_id) for r in got) == want
+    with pytest.raises(Exception, match="too large"):
+        bitslice.top_k(frame(1e17), F.col("vec_id") == 0).collect()
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
