@@ -53,14 +53,16 @@ PHRASE_RULES = (
     (r"\bOPENAI\b", "OPENAI"),
     (r"\bA[J1I]DARIO\b", "AI DARIO"),
 )
-LOCAL_WORDS = tuple(
-    """guru masth sari aithu aythu illa illva ilva hu huu houdu howdu hange hinge yen yenu yake yaake heli helu nange
-    ninge namge nam ninu neenu naanu nanu ba baa banni hogu beku beda kodi kodu maadi maadu nodi nodu ivaga avaga
-    yavaga elli hege estu astu kane""".split()
+LOCAL_WORDS = (
+    "guru", "masth", "sari", "aithu", "aythu", "illa", "illva", "ilva", "hu", "huu", "houdu", "howdu", "hange", "hinge",
+    "yen", "yenu", "yake", "yaake", "heli", "helu", "nange", "ninge", "namge", "nam", "ninu", "neenu", "naanu", "nanu",
+    "ba", "baa", "banni", "hogu", "beku", "beda", "kodi", "kodu", "maadi", "maadu", "nodi", "nodu", "ivaga", "avaga",
+    "yavaga", "elli", "hege", "estu", "astu", "kane",
 )
-SAFE_WORDS = tuple(
-    """ok okay k kk lol lmao rofl cool yeah yep yes no nope nah hm hmm hmmm wow nice thx thanks tysm great good bad why
-    what who when where how really sure fine done""".split()
+SAFE_WORDS = (
+    "ok", "okay", "k", "kk", "lol", "lmao", "rofl", "cool", "yeah", "yep", "yes", "no", "nope", "nah", "hm", "hmm",
+    "hmmm", "wow", "nice", "thx", "thanks", "tysm", "great", "good", "bad", "why", "what", "who", "when", "where",
+    "how", "really", "sure", "fine", "done",
 )
 
 
@@ -91,7 +93,7 @@ def scrubbed_log(text: Column) -> Column:
     """Tags for media notices, links, addresses, phones and amounts, in the order of a text log."""
     for literal in MEDIA_LITERALS:
         text = F.replace(text, F.lit(literal), F.lit("[MEDIA_SENT]"))
-    text = replaced(
+    text = replaced(  # fixed values
         text,
         (r"(?U)https?://\S+", "[LINK]"),
         (r"(?U)www\.\S+", "[LINK]"),
@@ -105,7 +107,7 @@ def scrubbed_log(text: Column) -> Column:
 
 def scrubbed_export(text: Column, locations: bool = True) -> Column:
     """Tags for users, links, addresses, phones, places and amounts, in the order of a JSON export."""
-    text = replaced(
+    text = replaced(  # fixed values
         text,
         (r"(?U)@\w[\w.]{0,29}", "[USER]"),
         (r"(?U)https?://\S+", "[LINK]"),
@@ -120,8 +122,9 @@ def scrubbed_export(text: Column, locations: bool = True) -> Column:
     return squeezed(text)
 
 
-def mojibake_repaired(text: Column) -> Column:
+def mojibake_repaired(text: Column | str) -> Column:
     """Text whose Latin-1 bytes are UTF-8 read as such, where a tell-tale character asks for it."""
+    text = F.col(text) if isinstance(text, str) else text
     tell = F.contains(text, F.lit("\\u00")) | F.contains(text, F.lit("â")) | F.contains(text, F.lit("ð"))
     narrow = ~F.rlike(text, F.lit(r"[^\x{00}-\x{FF}]"))
     raw = F.encode(F.when(tell & narrow, text), "ISO-8859-1")
@@ -280,3 +283,42 @@ def quality_log(text: Column) -> Column:
         return F.struct(*fields, F.least(F.lit(1.0), score).alias("score"), reason.alias("reason"))
 
     return evaluated_once(evaluated_once(words(text), ladder), judged)
+
+
+def quality_export(text: Column) -> Column:
+    """Quality ladder of JSON exports: n_words, diversity, repetition, third_person, marks, score, reason (null: passed).
+
+    The score is a product: each of diversity, repetition and narration takes its part away.
+    """
+    whole = F.coalesce(text, F.lit(""))
+
+    def measured(ws: Column) -> Column:
+        n = F.size(ws)
+        loops = evaluated_once(sentence_repetition(whole), lambda r: F.when(r >= 2, r).otherwise(0))
+        return F.struct(
+            n.alias("n_words"),
+            F.when(n >= 10, lexical_diversity(ws)).otherwise(0.0).alias("diversity"),
+            F.when(n >= 10, loops).otherwise(0).alias("repetition"),
+            F.when(n >= 50, third_person_ratio(ws, PRONOUNS_EXPORT)).otherwise(0.0).alias("third_person"),
+            F.when(n >= 50, story_phrases(whole)).otherwise(0).alias("marks"),
+        )
+
+    def judged(m: Column) -> Column:
+        up_to = lambda k, most: F.least(m[k] / most, F.lit(1.0))
+        varied = F.when(m["diversity"] > 0, 0.6 + 0.4 * up_to("diversity", 0.4)).otherwise(1.0)
+        fresh = F.when(m["repetition"] > 2, 1 - 0.3 * up_to("repetition", 5)).otherwise(1.0)
+        told = F.when(m["third_person"] > 0.1, 0.15 * up_to("third_person", 0.3)).otherwise(0.0) + F.when(m["marks"] > 0, 0.15 * up_to("marks", 3)).otherwise(0.0)
+        score = varied * fresh * (1 - told)
+        reason = (
+            F.when(F.length(F.regexp_replace(whole, r"(?U)^\s+|\s+$", "")) < 2, "too_short")
+            .when(F.length(whole) > 2000, "too_long")
+            .when(m["n_words"] < 1, "insufficient_words")
+            .when((m["n_words"] >= 10) & (m["diversity"] < 0.4), "low_lexical_diversity")
+            .when(m["repetition"] > 5, "excessive_repetition")
+            .when(m["third_person"] > 0.3, "high_third_person")
+            .when(m["marks"] > 3, "narrative_detected")
+            .when(score < 0.5, "low_quality_score")
+        )
+        return F.struct(*[m[k].alias(k) for k in ("n_words", "diversity", "repetition", "third_person", "marks")], score.alias("score"), reason.alias("reason"))
+
+    return evaluated_once(evaluated_once(words(whole), measured), judged)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomline.functions import text as T
+from loomline.operators.folds import folded
 
 HOUR = 3_600_000_000  # microseconds
 
@@ -96,6 +97,13 @@ def message_type(content: Column, link: Column, shared: Column, has_photo: Colum
     )
 
 
+def export_valid(kind: Column, clean: Column) -> Column:
+    """Whether an exported message counts: a text by its length and words; posts and photos also without one."""
+    text = F.coalesce(clean, F.lit(""))
+    fine = (F.length(F.regexp_replace(text, r"(?U)^\s+|\s+$", "")) >= 2) & (F.length(text) <= 2000) & F.rlike(text, F.lit(T.WORD))
+    return F.when(kind == "text", fine).otherwise(kind.isin("post_share", "photo"))
+
+
 def rejection(clean: Column) -> Column:
     """Why a cleaned first line is no message (null: it is one)."""
     return (
@@ -160,12 +168,12 @@ def contexts(messages: DataFrame, target: Column, chat: str = "chat", seq: str =
         messages.withColumn("k", k)
         .withColumn("_before", F.collect_list(item).over(own.rowsBetween(-15, -1)))
         .withColumn("so_far", F.row_number().over(own) - 1)
-        .withColumn("senders", F.size(F.collect_set(sender).over(so_far)))
+        .withColumn("_two", F.min(sender).over(so_far) != F.max(sender).over(so_far))
         .withColumn("_first", F.first(ts).over(so_far))
     )
     rows = rows.withColumn("elapsed_us", _micros(ts, "_first")).withColumn("context", F.slice("_before", -F.least("k", F.size("_before")), F.least("k", F.size("_before"))))
-    ok = target & (F.col("so_far") >= 3) & (F.col("senders") >= 2) & (F.col("elapsed_us") <= 12 * HOUR)
-    return rows.where(ok).drop("_before", "_first")
+    ok = target & (F.col("so_far") >= 3) & F.col("_two") & (F.col("elapsed_us") <= 12 * HOUR)
+    return rows.where(ok).drop("_before", "_first", "_two")
 
 
 def adaptive_length(mean_chars: Column, per_minute: Column) -> Column:
@@ -197,18 +205,17 @@ def rate_limited(rows: DataFrame, key: str, ts: str, order: str, most: int = 10,
 
     Refused submissions do not count, so each key is folded in order, with the last admitted times as state.
     """
-    span = seconds * 1_000_000
-    each = F.array_sort(F.collect_list(F.struct(F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {ts})").alias("t"), F.col(order).alias("o"))))
-    none = F.struct(F.array().cast("array<bigint>").alias("held"), F.array().cast("array<boolean>").alias("out"))
+    from collections import deque
 
-    def step(acc: Column, x: Column) -> Column:
-        def after(held: Column) -> Column:
-            ok = F.size(held) < most
-            return F.struct(F.when(ok, F.concat(held, F.array(x["t"]))).otherwise(held).alias("held"), F.concat(acc["out"], F.array(ok)).alias("out"))
+    timed = rows.select(key, order, F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {ts})").alias("t"))
+    span = seconds * 1_000_000
 
-        return T.evaluated_once(F.filter(acc["held"], lambda t: x["t"] - t <= span), after)
+    def step(held: deque, row) -> bool:
+        while held and row.t - held[0] > span:
+            held.popleft()
+        if len(held) >= most:
+            return False
+        held.append(row.t)
+        return True
 
-    got = rows.groupBy(key).agg(each.alias("each"))
-    zipped = F.arrays_zip(F.col("each"), F.aggregate("each", none, step, lambda a: a["out"]).alias("ok"))
-    flat = got.select(key, F.explode(zipped).alias("z"))
-    return flat.select(key, F.col("z.each.o").alias(order), F.col("z.ok").alias("admitted"))
+    return folded(timed, key, ["t", order], deque, step, "admitted boolean").drop("t")

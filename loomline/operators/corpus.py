@@ -7,10 +7,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomline.operators.rounds import stored
+
 from loomline.functions import text as T
 
 # Replies without substance.
-FILLERS = tuple("hange okay ok k hmm hm loss daa ra bro maccha lo guru yep nope ya nah yaa huu hu".split())
+FILLERS = ("hange", "okay", "ok", "k", "hmm", "hm", "loss", "daa", "ra", "bro", "maccha", "lo", "guru", "yep", "nope", "ya", "nah", "yaa", "huu", "hu")
 MESSAGES = "array<struct<role:string,content:string>>"
 
 
@@ -107,32 +109,26 @@ def split_train(rows: DataFrame, key: Column, seed: int = 42, ratio: float = 0.1
 def overlap_deduped(rows: DataFrame, row_id: str, items: str, most: float = 0.5) -> DataFrame:
     """Rows (row_id, items: array of strings) kept by the greedy overlap rule, in order of row_id.
 
-    A row goes if more than most of its items occur in kept rows before it. Only rows that share an item with another
-    row depend on the order: the others are kept as they are. Rows that share items, directly or through others, are
-    folded together, one task for each such group.
+    A row goes if more than most of its items occur in kept rows before it; row_id is unique. Only rows that share an
+    item depend on the order. They are decided in rounds: a row goes if the kept rows before it suffice, and stays if
+    all kept and undecided ones before it do not. The first undecided row is always decided; a round is two grouped
+    aggregates and a join by item, so no task sees a group of rows. Rows without items stay.
     """
-    from loomline.operators.groups import connected
-
-    hashed = rows.select(row_id, F.transform(items, lambda x: F.md5(F.lower(F.trim(x)))).alias("_items"))
-    each = hashed.select(row_id, F.explode(F.array_distinct("_items")).alias("_item"))
-    shared = each.groupBy("_item").agg(F.count(F.lit(1)).alias("_n"), F.min(row_id).alias("_first")).where("_n > 1")
-    links = each.join(shared, "_item").select(F.col(row_id).alias("a"), F.col("_first").alias("b"))
-    groups = connected(links)
-    tied = hashed.join(groups.withColumnRenamed("node", row_id), row_id)
-
-    def fold(batch: pd.DataFrame) -> pd.DataFrame:
-        seen: set[str] = set()
-        kept = []
-        for key, values in batch.sort_values(row_id)[[row_id, "_items"]].itertuples(index=False):
-            new = sum(v not in seen for v in values)
-            if not len(values) or 1 - new / len(values) <= most:
-                kept.append(key)
-                seen.update(values)
-        return pd.DataFrame({row_id: kept})
-
-    decided = tied.groupBy("root").applyInPandas(fold, f"{row_id} {dict(rows.dtypes)[row_id]}")
-    free = rows.join(tied.select(row_id), row_id, "left_anti")
-    return free.unionByName(rows.join(decided, row_id, "left_semi"))
+    hashed = rows.select(F.col(row_id).alias("id"), F.explode(F.transform(items, lambda x: F.md5(F.lower(F.trim(x))))).alias("item"))
+    each = hashed.groupBy("id", "item").agg(F.count(F.lit(1)).alias("n"))
+    sizes = each.groupBy("id").agg(F.sum("n").alias("size"))
+    shared = each.groupBy("item").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("item")
+    tied = stored(each.join(shared, "item").join(sizes, "id"))
+    state = stored(tied.select("id").distinct().withColumn("kept", F.lit(None).cast("boolean")))
+    while state.where("kept is null").limit(1).count():
+        now = tied.join(state, "id")
+        firsts = now.where("kept is not false").groupBy("item").agg(F.min(F.when(F.col("kept"), F.col("id"))).alias("sure"), F.min("id").alias("open"))
+        seen = lambda first: F.sum(F.when(F.coalesce(F.col(first) < F.col("id"), F.lit(False)), F.col("n")).otherwise(0)) / F.first("size")
+        shares = now.where("kept is null").join(firsts, "item", "left").groupBy("id").agg(seen("sure").alias("low"), seen("open").alias("high"))
+        decided = shares.select("id", F.when(F.col("low") > most, False).when(F.col("high") <= most, True).alias("now"))
+        state = stored(state.join(decided, "id", "left").select("id", F.coalesce("kept", "now").alias("kept")))
+    gone = state.where("not kept").select(F.col("id").alias(row_id))
+    return rows.join(gone, row_id, "left_anti")
 
 
 def edited_dropped(turns: DataFrame) -> DataFrame:

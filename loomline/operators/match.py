@@ -12,7 +12,7 @@ from pyspark.sql.types import DoubleType, StringType
 from loomline.functions.text import evaluated_once, replaced
 
 # Fixed values of the scoring rules.
-IGNORED = tuple("a an and audio feat featuring from ft official original song the video with".split())
+IGNORED = ("a", "an", "and", "audio", "feat", "featuring", "from", "ft", "official", "original", "song", "the", "video", "with")
 ALTERNATES = (
     "acoustic", "bootleg", "cover", "dance", "demo", "instrumental", "karaoke", "live", "making of", "making video",
     "mashup", "orchestra", "orchestral", "parody", "podcast", "reaction", "rehearsal", "remake", "remix", "reverb",

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomline.operators.folds import folded
+
 # Initial estimates by service (base and per-item seconds, style), and the fallback.
 ESTIMATES = (
     ("media.instagram_auth", 300, 0, "user_wait"),
@@ -117,7 +121,8 @@ def transcription_label(seconds: Column) -> Column:
 def elapsed_seconds(start: str, end: str) -> Column:
     """Whole seconds between two ISO times, 0 at least, null if either cannot be read."""
     a, b = (F.try_to_timestamp(F.col(c)) for c in (start, end))
-    return F.greatest(F.floor((F.unix_micros(b) - F.unix_micros(a)) / 1_000_000), F.lit(0))
+    seconds = F.floor((F.unix_micros(b) - F.unix_micros(a)) / 1_000_000)
+    return F.when(seconds.isNotNull(), F.greatest(seconds, F.lit(0)))
 
 
 def queue_positions(queued: DataFrame, lane_col: str = "lane", order: str = "seq") -> DataFrame:
@@ -131,19 +136,21 @@ def single_waits(queued: DataFrame, remaining: Column, lane_col: str = "lane", o
     return queued.withColumn("wait", wait.cast("long")).withColumn("total", (F.col("wait") + F.col(runtime)).cast("long"))
 
 
-def slot_waits(queued: DataFrame, capacity: int, lane_col: str = "lane", order: str = "seq", runtime: str = "estimate") -> DataFrame:
-    """lane, seq, wait for lanes of several slots: each job takes the slot that is free first."""
-    jobs = F.array_sort(F.collect_list(F.struct(F.col(order).alias("seq"), F.col(runtime).cast("long").alias("r"))))
-    start = F.struct(F.array_repeat(F.lit(0).cast("long"), capacity).alias("slots"), F.array().cast("array<struct<seq:bigint,wait:bigint>>").alias("out"))
+def slot_waits(queued: DataFrame, capacity: int, remaining: Column | None = None, lane_col: str = "lane", order: str = "seq", runtime: str = "estimate") -> DataFrame:
+    """lane, seq, wait for lanes of several slots: each job takes the slot that is free first.
+
+    remaining: seconds that the job's exclusive group is still busy (null: it has none); no job of the group starts
+    before, and queued jobs do not extend it. Jobs with a null runtime take no time.
+    """
+    rest = F.lit(0) if remaining is None else F.coalesce(remaining, F.lit(0))
+    jobs = queued.select(lane_col, F.col(order).cast("long").alias("seq"), F.coalesce(F.col(runtime), F.lit(0)).cast("long").alias("r"), rest.cast("long").alias("g"))
 
-    def step(acc: Column, job: Column) -> Column:
-        at = F.array_min(acc["slots"])
-        place = F.array_position(acc["slots"], at).cast("int")
-        slots = F.transform(acc["slots"], lambda s, i: F.when(i + 1 == place, s + job["r"]).otherwise(s))
-        return F.struct(slots.alias("slots"), F.concat(acc["out"], F.array(F.struct(job["seq"].cast("long").alias("seq"), at.alias("wait")))).alias("out"))
+    def step(slots: list, job) -> int:
+        wait = max(heapq.heappop(slots), job.g)
+        heapq.heappush(slots, wait + job.r)
+        return wait
 
-    got = queued.groupBy(lane_col).agg(jobs.alias("jobs")).select(lane_col, F.explode(F.aggregate("jobs", start, step, lambda a: a["out"])).alias("o"))
-    return got.select(lane_col, "o.seq", "o.wait")
+    return folded(jobs, lane_col, ["seq"], lambda: [0] * capacity, step, "wait long").select(lane_col, "seq", "wait")
 
 
 def queue_summary(tasks: DataFrame, lane_col: str = "lane", order: str = "seq", label: str = "service") -> DataFrame:

@@ -117,7 +117,7 @@ def review_queue(spark, sf_dir):
 
 
 def track_dedupe(spark, sf_dir):
-    p = t(spark, sf_dir, "part").select(F.col("p_size").alias("playlist_pos"), F.col("p_partkey").alias("track_pos"), F.upper(F.substring("p_name", 1, 6)).alias("title"), F.col("p_brand").alias("artist"), F.concat(F.lit(" "), F.substring("p_type", 1, 3)).alias("album"))
+    p = t(spark, sf_dir, "part").select(F.col("p_size").alias("playlist_pos"), F.col("p_partkey").alias("track_pos"), F.upper("p_name").alias("title"), F.col("p_brand").alias("artist"), F.concat(F.lit(" "), "p_type").alias("album"))
     return match.first_per_track(p).select("track_pos", "title", "artist")
 
 
@@ -127,7 +127,7 @@ def name_suffixes(spark, sf_dir):
 
 def nfkd_tokens(spark, sf_dir):
     d = t(spark, sf_dir, "documents")
-    return d.select("doc_id", F.size(match.meaningful(match.normalized(F.substring("text", 1, 200)))).cast("long").alias("n_tokens"))
+    return d.select("doc_id", F.size(match.meaningful(match.normalized(F.col("text")))).cast("long").alias("n_tokens"))
 
 
 def cache_lookup(spark, sf_dir):
@@ -311,7 +311,7 @@ def queue_positions(spark, sf_dir):
 
 
 def slot_waits(spark, sf_dir):
-    return runtime.slot_waits(_queued(spark, sf_dir).where("lane <> 'heavy_media'").withColumn("lane", F.concat_ws("-", "lane", (F.col("seq") % 50).cast("string"))), 2)
+    return runtime.slot_waits(_queued(spark, sf_dir), 2, F.when(F.col("lane") == "music", 90))
 
 
 def queue_summary(spark, sf_dir):
@@ -330,7 +330,7 @@ def last_events(spark, sf_dir):
 
 
 def artifact_bundles(spark, sf_dir):
-    l = t(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("task_id"), "l_linenumber").where("l_linenumber > 4")
+    l = t(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("task_id"), "l_linenumber")
     return runtime.bundled(l)
 
 
@@ -383,7 +383,7 @@ QUERIES = {
     ),
     "track_dedupe": (
         track_dedupe,
-        "WITH p AS (SELECT p_partkey AS track_pos, upper(substr(p_name, 1, 6)) AS title, p_brand AS artist, row_number() OVER (PARTITION BY lower(trim(substr(p_name, 1, 6))), lower(p_brand), lower(trim(substr(p_type, 1, 3))) ORDER BY p_size, p_partkey) AS n FROM part) SELECT track_pos, title, artist FROM p WHERE n = 1",
+        "WITH p AS (SELECT p_partkey AS track_pos, upper(p_name) AS title, p_brand AS artist, row_number() OVER (PARTITION BY lower(trim(p_name)), lower(p_brand), lower(trim(p_type)) ORDER BY p_size, p_partkey) AS n FROM part) SELECT track_pos, title, artist FROM p WHERE n = 1",
     ),
     "name_suffixes": (
         name_suffixes,
@@ -439,7 +439,7 @@ QUERIES = {
         "WITH o AS (SELECT o_orderkey, o_orderpriority AS name, CAST(floor(o_totalprice / 1000) AS BIGINT) AS size, o_orderdate AS finished FROM orders WHERE o_orderstatus = 'F'), n AS (SELECT *, row_number() OVER (PARTITION BY name, size ORDER BY finished DESC, o_orderkey DESC) AS n FROM o) SELECT o_orderkey, name, size, finished FROM n WHERE n = 1 ORDER BY finished DESC, name DESC, o_orderkey DESC LIMIT 100",
     ),
     "last_events": (last_events, "WITH n AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) SELECT user_id, event_id, n FROM n WHERE n <= 8"),
-    "artifact_bundles": (artifact_bundles, "WITH g AS (SELECT l_suppkey AS task_id, count(*) AS files FROM lineitem WHERE l_linenumber > 4 GROUP BY 1) SELECT task_id, files, files > 10 AS bundled, CASE WHEN files > 10 THEN 1 ELSE files END AS artifacts_media, CASE WHEN files > 10 THEN files + 1 ELSE files END AS artifacts_music FROM g"),
+    "artifact_bundles": (artifact_bundles, "WITH g AS (SELECT l_suppkey AS task_id, count(*) AS files FROM lineitem GROUP BY 1) SELECT task_id, files, files > 10 AS bundled, CASE WHEN files > 10 THEN 1 ELSE files END AS artifacts_media, CASE WHEN files > 10 THEN files + 1 ELSE files END AS artifacts_music FROM g"),
     "artifact_ordinals": (
         artifact_ordinals,
         "WITH n AS (SELECT l_orderkey, l_linenumber, l_returnflag = 'R' AS v, row_number() OVER (PARTITION BY l_orderkey, l_returnflag = 'R' ORDER BY l_linenumber) AS n FROM lineitem) SELECT l_orderkey, l_linenumber, CASE WHEN v AND n = 1 THEN 'video' WHEN v THEN 'video_' || n ELSE 'photo_' || n END AS name FROM n",

@@ -78,7 +78,7 @@ SELECT event_id FROM n WHERE event_type = 'signup' OR NOT (shares > 0 AND round(
 
 def message_types(spark, sf_dir):
     p = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    kind = chat.message_type(F.substring("html", 1, 40), F.col("url"), F.col("page_id") % 3 == 0, F.col("page_id") % 5 == 0)
+    kind = chat.message_type(F.col("html"), F.col("url"), F.col("page_id") % 3 == 0, F.col("page_id") % 5 == 0)
     return p.select("page_id", kind.alias("kind"))
 
 
@@ -88,7 +88,7 @@ def reciprocity(spark, sf_dir):
 
     w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
     t = turns(spark, sf_dir).withColumn("partner", F.collect_list(F.when(F.col("role") == "user", F.col("text"))).over(w)).where("role = 'assistant'")
-    return t.select("conv_id", "turn", chat.reciprocal(F.col("partner"), F.substring("text", 1, 12)).alias("keep"))
+    return t.select("conv_id", "turn", chat.reciprocal(F.col("partner"), F.col("text")).alias("keep"))
 
 
 def _energy(x):
@@ -96,7 +96,7 @@ def _energy(x):
 
 
 _RECIPROCITY_SQL = f"""WITH t AS (SELECT *, list(text) FILTER (role = 'user') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS partner FROM conversations),
-j AS (SELECT conv_id, turn, substr(text, 1, 12) AS response, coalesce(len(partner), 0) AS n, array_to_string(partner[-3:], ' ') AS said FROM t WHERE role = 'assistant'),
+j AS (SELECT conv_id, turn, text AS response, coalesce(len(partner), 0) AS n, array_to_string(partner[-3:], ' ') AS said FROM t WHERE role = 'assistant'),
 e AS (SELECT *, {_energy("said")} AS i, {_energy("response")} AS o FROM j)
 SELECT conv_id, turn, CASE WHEN n = 0 THEN true ELSE contains(said, '?') OR coalesce(regexp_extract(lower(said), '[^\\s]+') IN ('what','where','when','who','why','how','which','can','could'), false) OR NOT (i > 150 AND o < 15 AND CAST(o AS DOUBLE) / i < 0.2) END AS keep FROM e"""
 
@@ -106,9 +106,9 @@ def log_messages(spark, sf_dir):
     t = turns(spark, sf_dir).where("role <> 'system'")
     minute = (F.col("turn") % 60).cast("string")
     head = F.concat(F.lit("13/02/24, 9:"), F.lpad(minute, 2, "0"), F.lit(" pm - "), "role", F.lit(": "), F.get(F.split("text", "\n"), F.lit(0)))
-    rest = F.slice(F.split("text", "\n"), 2, 1000)
+    rest = F.slice(F.split("text", "\n"), F.lit(2), F.size(F.split("text", "\n")))
     lines = t.select("conv_id", "turn", F.posexplode(F.concat(F.array(head), rest)).alias("n", "line"))
-    rows = lines.select(F.col("conv_id").alias("file"), (F.col("turn") * 1000 + F.col("n")).alias("line_no"), "line")
+    rows = lines.select(F.col("conv_id").alias("file"), (F.col("turn").cast("long") * (1 << 31) + F.col("n")).alias("line_no"), "line")
     return chat.assembled(rows).select(F.col("file").alias("conv_id"), "ts", "sender", F.length("content").cast("long").alias("chars"))
 
 
@@ -190,9 +190,10 @@ def conv_sink(spark, sf_dir):
 
 
 def exact_dedupe(spark, sf_dir):
-    """Conversations by their first two roles and contents' lengths: many are equal, the first stays."""
+    """Conversations by the role and content of every message; of equal ones the first stays."""
     c = convs(spark, sf_dir)
-    return corpus.first_of_equal(c.select("conv_id", _flat(F.slice("messages", 1, 1)).alias("shape")), F.col("shape"), "conv_id")
+    c = c.unionByName(c.where("conv_id % 3 = 0").withColumn("conv_id", F.col("conv_id") + 1_000_000_000))  # with copies
+    return corpus.first_of_equal(c, F.to_json("messages"), "conv_id").select("conv_id", _flat(F.col("messages")).alias("shape"))
 
 
 def split_hash(spark, sf_dir):
@@ -239,7 +240,7 @@ QUERIES = {
     "recent_share_filter": (recent_share, _SHARE_SQL),
     "message_types": (
         message_types,
-        """WITH p AS (SELECT page_id, substr(html, 1, 40) AS c, lower(url) AS l, page_id % 3 = 0 AS shared, page_id % 5 = 0 AS photo FROM pages) SELECT page_id, CASE WHEN shared AND contains(l, 'reel') THEN 'reel_share'
+        """WITH p AS (SELECT page_id, html AS c, lower(url) AS l, page_id % 3 = 0 AS shared, page_id % 5 = 0 AS photo FROM pages) SELECT page_id, CASE WHEN shared AND contains(l, 'reel') THEN 'reel_share'
  WHEN shared AND (contains(l, 'giphy.com') OR contains(l, 'gif')) THEN 'gif' WHEN shared THEN 'post_share' WHEN photo AND coalesce(c, '') = '' THEN 'photo' WHEN contains(c, 'Reacted') OR contains(c, 'Liked a message') THEN 'reaction'
  WHEN trim(coalesce(c, '')) = '' THEN 'empty' WHEN contains(c, 'sent an attachment') THEN 'attachment_text' ELSE 'text' END AS kind FROM p""",
     ),
@@ -258,7 +259,7 @@ QUERIES = {
     ),
     "exact_dedupe": (
         exact_dedupe,
-        _CONVS + f", s AS (SELECT conv_id, {_FLAT.format('ms[1:1]')} AS shape FROM c) SELECT min(conv_id) AS conv_id, shape FROM s GROUP BY shape",
+        _CONVS + f", s AS (SELECT conv_id, ms FROM c UNION ALL SELECT conv_id + 1000000000, ms FROM c WHERE conv_id % 3 = 0) SELECT min(conv_id) AS conv_id, {_FLAT.format('ms')} AS shape FROM s GROUP BY ms",
     ),
     "split_hash": (
         split_hash,

@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomline.plans import chat_plans, catalogue_plans, text_plans
+from loomline.plans import catalogue_plans, chat_plans, result_plans, text_plans
 
-_ALL = text_plans.QUERIES | chat_plans.QUERIES | catalogue_plans.QUERIES
+_ALL = text_plans.QUERIES | chat_plans.QUERIES | catalogue_plans.QUERIES | result_plans.QUERIES
+_ALL["sentence_loops"] = (_ALL["sentence_loops"][0], result_plans.SENTENCE_SQL)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

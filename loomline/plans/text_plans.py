@@ -107,7 +107,7 @@ _SPACED = _nested(_SPACED, ((r"[ \t]+", " "), (r" *\n *", r"\n"), (r"\n{3,}", r"
 # no look-ahead: a mark and the character after it are matched together, twice for neighbouring marks
 _SPACED = _nested(_SPACED, ((r"([,.;:!?])([^\s,.;:!?])", r"\1 \2"), (r"([,.;:!?])([,.;:!?])", r"\1 \2"), (r"([,.;:!?])([,.;:!?])", r"\1 \2")))
 _SPACED = rf"regexp_replace({_SPACED}, '^\s+|\s+$', '', 'g')"
-_PHRASES = "substr(text, 1, 200) || ' SwipeToWatch, TAPTOSEE Readmore. OpenAI AIDARIO hasnever'"
+_PHRASES = "text || ' SwipeToWatch, TAPTOSEE Readmore. OpenAI AIDARIO hasnever'"
 for _p, _by in T.PHRASE_RULES:
     _PHRASES = f"regexp_replace({_PHRASES}, '{_p}', '{_by}', 'gi')"
 _ENERGY = "(length({0}) + 5 * (length({0}) - length(replace({0}, '!', ''))) + 5 * (length({0}) - length(replace({0}, '?', ''))) + (length({0}) - length(replace({0}, '...', ''))) + 5 * length(regexp_replace({0}, '[\\x00-\\x7F]', '', 'g')))"
@@ -145,7 +145,7 @@ QUERIES = {
         f"SELECT doc_id, CAST(len({_WORDS}) AS BIGINT) AS n_words, CAST(len(list_distinct({_WORDS})) AS BIGINT) AS n_distinct FROM documents",
     ),
     "spacing_normalise": (_by_doc("spacing_normalise", lambda t: {"clean": T.spaced(t)}), f"SELECT doc_id, {_SPACED} AS clean FROM documents"),
-    "ocr_phrase_rules": (_by_doc("ocr_phrase_rules", lambda t: {"clean": T.phrases_repaired(F.concat(F.substring(t, 1, 200), F.lit(" SwipeToWatch, TAPTOSEE Readmore. OpenAI AIDARIO hasnever")))}), f"SELECT doc_id, {_PHRASES} AS clean FROM documents"),
+    "ocr_phrase_rules": (_by_doc("ocr_phrase_rules", lambda t: {"clean": T.phrases_repaired(F.concat(t, F.lit(" SwipeToWatch, TAPTOSEE Readmore. OpenAI AIDARIO hasnever")))}), f"SELECT doc_id, {_PHRASES} AS clean FROM documents"),
     "ocr_clean": (ocr_clean, None),
     "text_energy": (
         _by_doc("text_energy", lambda t: {"energy": T.energy(t).cast("long"), "question": T.is_question(t)}),
@@ -162,7 +162,7 @@ QUERIES = {
         r"WITH d AS (SELECT doc_id, regexp_replace(text, '[^\p{L}]', '', 'g') AS l FROM documents) SELECT doc_id, length(l) >= 12 AND length(regexp_replace(l, '[\p{Ll}]', '', 'g')) / greatest(length(l), 1) >= 0.72 AS mostly_upper FROM d",
     ),
     "file_names": (
-        _by_doc("file_names", lambda t: {"name": T.file_name(F.substring(t, 1, 60))}),
-        r"""SELECT doc_id, regexp_replace(substr(text, 1, 60), '[\\/*?:"<>|]', '', 'g') AS name FROM documents""",
+        _by_doc("file_names", lambda t: {"name": T.file_name(t)}),
+        r"""SELECT doc_id, regexp_replace(text, '[\\/*?:"<>|]', '', 'g') AS name FROM documents""",
     ),
 }
