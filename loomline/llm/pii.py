@@ -11,6 +11,7 @@ Everything is one narrow projection: no shuffle, and texts without a kind's trig
 from __future__ import annotations
 
 import random
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,7 +46,7 @@ CUES = {
 }
 TRAIN, TREES, DEPTH, SEED, PRECISION = 2400, 16, 3, 2, 0.98
 FEATURES = ("kind", "chars", "digits", "marks", "luhn", "brackets", "dots", "joined_at", *CUES)
-_BLOCK = 256
+_BLOCK, _PART = 256, 4096  # spans folded at once; code points of a piece of text
 
 
 def _let(value: Column, body) -> Column:
@@ -53,21 +54,29 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _starts(gaps: Column, sizes: Column) -> Column:
-    """Running starts: sum of gaps up to and with each, and sizes before it; blocks keep the copying small."""
-    steps = F.zip_with(gaps, sizes, lambda g, n: F.struct(g.alias("g"), n.alias("n")))
-    none = F.array().cast("array<int>")
+def _scan(items: Column, zero: Column, step, kind: str) -> Column:
+    """The states after each item, from zero on: an array of kind. Blocks keep the copying small."""
+    none = F.array().cast(f"array<{kind}>")
+
+    def after(acc: Column, x: Column) -> Column:
+        return _let(step(acc["at"], x), lambda now: F.struct(now.alias("at"), F.concat(acc["out"], F.array(now)).alias("out")))
+
+    def folded(items: Column) -> Column:
+        def block(acc: Column, b: Column) -> Column:
+            inner = F.aggregate(F.slice(items, b * _BLOCK + 1, F.lit(_BLOCK)), F.struct(acc["at"].alias("at"), none.alias("out")), after)
+            return _let(inner, lambda i: F.struct(i["at"].alias("at"), F.concat(acc["out"], F.array(i["out"])).alias("out")))
 
-    def block(acc: Column, b: Column) -> Column:
-        inner = F.aggregate(
-            F.slice(steps, b * _BLOCK + 1, F.lit(_BLOCK)),
-            F.struct(acc["at"].alias("at"), none.alias("out")),
-            lambda a, s: F.struct((a["at"] + s["g"] + s["n"]).alias("at"), F.concat(a["out"], F.array(a["at"] + s["g"])).alias("out")),
-        )
-        return _let(inner, lambda i: F.struct(i["at"].alias("at"), F.concat(acc["out"], i["out"]).alias("out")))
+        blocks = F.sequence(F.lit(0), F.floor(F.greatest(F.size(items) - 1, F.lit(0)) / _BLOCK).cast("int"))
+        start = F.struct(zero.cast(kind).alias("at"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+        return F.aggregate(blocks, start, block, lambda a: F.flatten(a["out"]))
 
-    blocks = F.sequence(F.lit(0), ((F.size(sizes) - 1) / _BLOCK).cast("int"))
-    return F.aggregate(blocks, F.struct(F.lit(0).alias("at"), none.alias("out")), block, lambda a: a["out"])
+    return _let(items, folded)
+
+
+def _starts(gaps: Column, sizes: Column) -> Column:
+    """Running starts: sum of gaps up to and with each, and sizes before it."""
+    steps = F.zip_with(gaps, sizes, lambda g, n: g + n)
+    return F.zip_with(_scan(steps, F.lit(0), lambda at, x: at + x, "int"), sizes, lambda end, n: end - n)
 
 
 SPAN = "array<struct<start:int,end:int,m:string>>"
@@ -88,6 +97,18 @@ def matches(text: Column, pattern: str, trigger: str) -> Column:
     return F.when(F.rlike(text, F.lit(trigger)), some).otherwise(none)
 
 
+def _parts(text: Column) -> Column:
+    """text in parts of _PART code points: places in it are found without counting from its start."""
+    return F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / _PART).cast("int")), lambda i: F.substring(text, i * _PART + 1, F.lit(_PART)))
+
+
+def _between(parts: Column, a: Column, b: Column) -> Column:
+    """Code points a to b of the text that parts hold."""
+    i, j = F.floor(a / _PART).cast("int"), F.floor(b / _PART).cast("int")
+    head = F.substring(F.get(parts, i), a % _PART + 1, F.when(i == j, b - a).otherwise(_PART))
+    return F.when(i == j, head).otherwise(F.concat(head, F.array_join(F.slice(parts, i + 2, j - i - 1), ""), F.substring(F.get(parts, j), F.lit(1), b % _PART)))
+
+
 def _digits(m: Column) -> Column:
     return F.regexp_replace(m, "[^0-9]", "")
 
@@ -137,14 +158,16 @@ def _features(kind: int, m: Column, before: Column) -> list[Column]:
 def candidates(text: Column) -> Column:
     """Spans that the generators propose, with their features."""
 
-    def featured(kind: str):
-        def one(s: Column) -> Column:
-            before = F.substring(text, F.greatest(s["start"] - 23, F.lit(1)), F.least(s["start"], F.lit(24)))
-            return F.struct(s["start"].alias("start"), s["end"].alias("end"), *_features(KINDS.index(kind), s["m"], before))
+    def featured(kind: str, found: Column) -> Column:
+        """The found spans with features; the text is cut into parts only where there are some."""
+
+        def one(parts: Column, s: Column) -> Column:
+            before = _between(parts, F.greatest(s["start"] - 24, F.lit(0)), s["start"])
+            return _let(before, lambda b: F.struct(s["start"].alias("start"), s["end"].alias("end"), *_features(KINDS.index(kind), s["m"], b)))
 
-        return one
+        return _let(F.when(F.size(found) > 0, _parts(text)), lambda parts: F.transform(found, lambda s: one(parts, s)))
 
-    return F.concat(*[F.transform(matches(text, pattern, trigger), featured(kind)) for kind, trigger, pattern in GENERATORS])
+    return F.concat(*[_let(matches(text, pattern, trigger), partial(featured, kind)) for kind, trigger, pattern in GENERATORS])
 
 
 Model = tuple[float, list[tuple[Path, float]], float]
@@ -225,11 +248,41 @@ def _spans(text: Column, model: Model) -> dict[str, Column]:
     return {k: base_spans(text, k) for k in KINDS} | {"proposed": candidates(text)}
 
 
+_ONE = "struct<start:int,end:int,kind:int,rank:double>"
+_SWEEP = f"struct<wait:{_ONE},busy:int,done:{_ONE}>"
+
+
+def _best(base: Column, good: Column) -> Column:
+    """The candidates that stay, as kind, start, end: a sweep by start. A candidate waits until nothing more can
+    overlap it; it goes if it overlaps a base span, or a candidate with a better rank while it waits."""
+    own = F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), F.lit(None).cast("double").alias("rank")))
+    others = F.transform(good, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"), c["rank"].alias("rank")))
+    never = F.lit(None).cast(_ONE)
+
+    def step(at: Column, s: Column) -> Column:
+        wait, is_base = at["wait"], s["rank"].isNull()
+        over = F.coalesce(s["start"] < wait["end"], F.lit(False))
+        late = ~is_base & (s["start"] < at["busy"])  # within a base span
+        worse = ~is_base & over & (s["rank"] >= wait["rank"])
+        new = F.when(is_base, never).when(late | worse, wait).otherwise(s)
+        busy = F.when(is_base, F.greatest(at["busy"], s["end"])).otherwise(at["busy"])
+        return F.struct(new.alias("wait"), busy.alias("busy"), F.when(~over & ~late, wait).alias("done")).cast(_SWEEP)
+
+    zero = F.struct(never.alias("wait"), F.lit(0).alias("busy"), never.alias("done"))
+    swept = _scan(F.array_sort(F.concat(own, others)), zero, step, _SWEEP)
+
+    def ended(states: Column) -> Column:
+        out = F.concat(F.transform(states, lambda t: t["done"]), F.array(F.element_at(states, -1)["wait"]))
+        return F.transform(F.filter(out, lambda s: s.isNotNull()), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+
+    return _let(swept, ended)
+
+
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """The id, columns in keep, base (array of kind, start, end) and all (base and accepted candidates) of every row.
 
     Both arrays are ordered by kind as in KINDS, then start; kind is its place in KINDS. Candidates that overlap a
-    base span or a better candidate go.
+    base span, or a better candidate in the sweep by start, go.
     """
     model = model or fit(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -244,16 +297,9 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model
         F.col("_proposed"),
         lambda c: F.struct((-score(model, lambda k: c[k])).alias("rank"), c["kind"].cast("int").alias("kind"), c["start"].alias("start"), c["end"].alias("end")),
     )
-    good = F.array_sort(F.filter(scored, lambda c: -c["rank"] >= model[2]))
-    taken = F.aggregate(
-        good,
-        F.col("base"),
-        lambda acc, c: F.when(
-            F.exists(acc, lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"])), acc
-        ).otherwise(F.concat(acc, F.array(F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"))))),
-    )
-    with_base = found.withColumn("base", base)
-    every = F.when(F.size("_proposed") == 0, F.col("base")).otherwise(F.array_sort(taken))
+    good = F.filter(scored, lambda c: -c["rank"] >= model[2])
+    with_base = found.withColumn("base", base).withColumn("_good", good)
+    every = F.when(F.size("_good") == 0, F.col("base")).otherwise(F.array_sort(F.concat(F.col("base"), _best(F.col("base"), F.col("_good")))))
     return with_base.select(F.col(id_col), *[F.col(k) for k in keep], "base", every.alias("all"), *[F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in KINDS])
 
 
@@ -283,14 +329,12 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     ordered = F.array_sort(F.transform(F.col("all"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     text = F.col(text_col)
 
-    def step(acc: Column, s: Column) -> Column:
-        piece = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.get(names, s["kind"]))
-        return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], piece).otherwise(acc["out"]).alias("out")
-        )
+    def built(x: Column) -> Column:
+        ends, parts = x["ends"], x["parts"]  # ends: the greatest end of the spans up to each
+        before = lambda i: F.coalesce(F.get(ends, i - 1), F.lit(0))
+        pieces = F.transform(x["ordered"], lambda s, i: F.when(s["start"] >= before(i), F.concat(_between(parts, before(i), s["start"]), F.get(names, s["kind"]))).otherwise(""))
+        return F.concat(F.array_join(pieces, ""), _between(parts, F.element_at(ends, -1), F.length(text)))
 
-    built = F.aggregate(
-        ordered, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step,
-        lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))),
-    )
+    ends = _scan(ordered, F.lit(0), lambda at, s: F.greatest(at, s["end"]), "int")
+    built = _let(F.struct(ordered.alias("ordered"), ends.alias("ends"), _parts(text).alias("parts")), built)
     return got.withColumn(text_col, F.when(F.size("all") == 0, text).otherwise(built)).select(*docs.columns)

@@ -37,6 +37,66 @@ def test_licenses(spark):
     assert licenses.scan(docs.limit(0)).count() == 0
 
 
+NOTICES = {
+    "mit": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software.',
+    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice.",
+    "apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at the address below.',
+    "gpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "lgpl": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License.",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at the address below.",
+}
+NEAR_MISSES = (
+    "Permission to use the meeting room is granted by the front desk, with or without a fee, on every working day of the year.",
+    "The public general hospital gave a license to the foundation; the GNU in the zoo is free to walk under the trees.",
+    "Redistribution of the land in the source region was permitted without modification of the binary system of courts.",
+)
+
+
+@pytest.mark.parametrize("width", [60, 70, 80, 10_000])
+def test_wrapped_notices(spark, width):
+    import textwrap
+
+    mark = {60: "# ", 70: " * ", 80: "", 10_000: "// "}[width]
+    texts = ["Some words before.\n\n" + "\n".join(mark + x for x in textwrap.wrap(t, width)) + "\n\nAnd after." for t in (*NOTICES.values(), *NEAR_MISSES)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.families for r in licenses.scan(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == [*NOTICES, "", "", ""]
+
+
+def test_licenses_slowly(spark):
+    r = random.Random(3)
+    starts, weights, cut = model = licenses.fit()
+    table = {(g, f): w for g, f, w in weights}
+
+    def family(text):
+        gs = set(licenses.grams_of(licenses.words_of(text)))
+        share = {f: max(len(gs & set(t)) / len(t) for t in (licenses.grams_of(licenses.words_of(t)) for t in ts)) for f, ts in licenses.TEMPLATES.items()}
+        margins = {f: s + sum(table.get((g, f), 0.0) for g in gs) for f, s in starts.items() if share[f] or any((g, f) in table for g in gs)}
+        best = max(margins, key=lambda f: (margins[f], share[f], f), default=None)
+        return best if best and margins[best] >= cut and share[best] >= licenses.COVER else None
+
+    def slow(text):
+        lines, out = (text or "").split("\n"), []
+        short = [len(x) <= licenses.SHORT and x.strip(" ") != "" for x in lines]
+        for n, line in enumerate(lines):
+            if not re.search(licenses.TRIGGER, line):
+                continue
+            low = high = n
+            while low > max(0, n - licenses.AROUND) and short[low - 1]:
+                low -= 1
+            while high < min(len(lines) - 1, n + licenses.AROUND) and short[high + 1]:
+                high += 1
+            run = "\n".join(lines[low : high + 1]) if len(line) <= licenses.SHORT else line
+            out.append(f"{n}:{family(line) or family(run) or 'unknown'}")
+        return ",".join(out)
+
+    words = " ".join([*NOTICES.values(), *NEAR_MISSES]).split()
+    texts = ["\n".join(" ".join(words[at : at + r.randint(0, 14)]) for at in [r.randrange(len(words)) for _ in range(4)] for at in range(at, at + 40, 10)) for _ in range(60)]
+    got = {x.doc_id: x.found for x in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model=model).collect()}
+    assert [got[i] for i in range(60)] == [slow(t) for t in texts]
+
+
 def test_license_model_holds_out():
     starts, weights, cut = licenses.fit()
     table = {(g, f): w for g, f, w in weights}
@@ -85,6 +145,52 @@ def test_pii(spark):
     assert pii.redact(docs, model=model).columns == docs.columns and pii.detect(docs.limit(0), model=model).count() == 0
 
 
+def slow_extra(proposed, base, cut):
+    """The sweep by start, span by span; proposed and base: (start, end, kind, score or None)."""
+    kept, wait, busy = [], None, 0
+    for s in sorted(base + [p for p in proposed if p[3] >= cut], key=lambda s: (s[0], s[1], s[2], s[3] is not None, -(s[3] or 0))):
+        over = wait is not None and s[0] < wait[1]
+        if s[3] is None:
+            kept += [wait] if wait and not over else []
+            wait, busy = None, max(busy, s[1])
+        elif s[0] < busy:
+            continue
+        elif over:
+            wait = s if s[3] > wait[3] else wait
+        else:
+            kept += [wait] if wait else []
+            wait = s
+    return kept + ([wait] if wait else [])
+
+
+def test_pii_many_spans(spark):
+    import time
+
+    r = random.Random(7)
+    model = pii.fit(spark)
+    forms = ["tel 415-555-%04d", "jo.%d (at) mail [dot] com", "a%d@b.org", "+1 415 555 %04d", "order 12 345 6%03d", "visa: 3782-822463-1%04d", "1.2.3.%d", "(at) x%d", "10.0.0.1 415-555-%04d"]
+    texts = [" ".join(r.choice(forms) % r.randint(0, 999) + r.choice(["", "é", "😀", ",", "."]) for _ in range(n)) for n in (0, 1, 30, 400, 900)] + ["a@b.org " * 16_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    scored = docs.select("doc_id", F.transform(pii.candidates(F.col("text")), lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["kind"].cast("int").alias("kind"), pii.score(model, lambda k: c[k]).alias("score"))).alias("c"))
+    proposed = {x.doc_id: [tuple(c) for c in x.c] for x in scored.collect()}
+    red = {x.doc_id: x.text for x in pii.redact(docs, model=model).collect()}
+    for row in pii.detect(docs, model=model).collect():
+        text = texts[row.doc_id]
+        base = [(int(a), int(b), pii.KINDS.index(k), None) for k, a, b in (x.split(":") for x in slow_base(text))]
+        every = sorted(base + slow_extra(proposed[row.doc_id], base, model[2]), key=lambda s: (s[2], s[0], s[1]))
+        assert row.spans == ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, b, k, _ in every)
+        out, at = [], 0
+        for a, b, k, _ in sorted(every, key=lambda s: (s[0], s[1], s[2])):
+            out += [text[at:a], f"[{pii.KINDS[k].upper()}]"] if a >= at else []
+            at = max(at, b)
+        assert red[row.doc_id] == "".join(out) + text[at:]
+    assert sum(len(p) for p in proposed.values()) > 300
+    long = spark.createDataFrame([(1, "a@b.org 415-555-1234 " * 16_000)], "doc_id long, text string")
+    began = time.time()
+    pii.redact(long, model=model).collect()
+    assert time.time() - began < 20
+
+
 def test_pii_holds_out(spark):
     start, leaves, cut = pii.fit(spark)
     fresh = pii.examples(500, seed=77)
