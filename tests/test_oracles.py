@@ -35,8 +35,8 @@ def test_equals_sql(spark, duck, name):
     assert rows(got) == rows(want)
 
 
-#: Tested against brute force in test_chat and test_catalogue.
-WITHOUT_SQL = {"mojibake_repair", "ocr_clean", "rate_limit_batch", "overlap_dedupe", "edited_pairs", "fuzzy_coverage", "nfkd_tokens", "slot_waits"}
+#: Tested against brute force in test_chat, test_catalogue and test_exports.
+WITHOUT_SQL = {"mojibake_repair", "ocr_clean", "rate_limit_batch", "overlap_dedupe", "edited_pairs", "fuzzy_coverage", "nfkd_tokens", "slot_waits", "drift_sessions", "topic_sessions"}
 
 
 def test_all_others_have_sql():
