@@ -1,12 +1,12 @@
 """SimHash near-duplicates found through a Gray-order hierarchical index.
 
 Fingerprints are sorted by Gray rank, so neighbours in the order share long bit patterns. Runs of LEAF
-fingerprints are leaves, runs of leaves are upper nodes; each node keeps the bits that everything below it shares
-(mask, pattern). A leaf is compared with the upper nodes first, then with the leaves of those that survive: a whole
-group goes as soon as the differences in shared bits exceed the threshold. Leaves fix about log2(#leaves) leading
-bits of the order, so a leaf meets about log2(#leaves)^2 / 2 others. Upper nodes number the square root of the leaves,
-at most MAX_TOPS, the bound of what is broadcast; as each leaf is held against all of them in whole arrays, the
-cheapest step grows as n^1.5, and beyond 17 billion fingerprints, where the bound holds, faster.
+fingerprints are leaves and every FAN nodes of a level have one node above them; a node keeps the bits that everything
+below it shares (mask, pattern). A leaf goes down from the top and at each node adds the differences in the bits that
+the node shares beyond those of the node above: a whole group goes as soon as their sum exceeds the threshold. Leaves
+fix about log2(#leaves) leading bits of the order, so at every level a leaf meets about log2(#leaves)^2 / 2 nodes at
+two bits. Levels of at most MAX_TOPS nodes, the bound of what is sent to tasks, are gone through in arrays; each level
+below is an equi-join on the node above.
 """
 
 from __future__ import annotations
@@ -22,7 +22,10 @@ from loomline.llm.components import components
 from loomline.llm.store import save
 
 LEAF = 64
+FAN_BITS = 6
+FAN = 1 << FAN_BITS
 MAX_TOPS = 16_384
+SLICE = 256  # leaves that go down together
 _CHUNK = 1 << 15
 
 
@@ -78,7 +81,7 @@ def gray_rank(fp: Column) -> Column:
     return fp.bitwiseXOR(F.lit(-(1 << 63)))
 
 
-def _leaves(distinct: DataFrame, per_top: int) -> DataFrame:
+def _leaves(ordered: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
         from pyspark import TaskContext
@@ -92,11 +95,11 @@ def _leaves(distinct: DataFrame, per_top: int) -> DataFrame:
                 x, fps = fps[:LEAF], fps[LEAF:]
                 both, some = np.bitwise_and.reduce(x), np.bitwise_or.reduce(x)
                 mask = ~(both ^ some)
-                rows.append((base + n, base + n // per_top, int(mask), int(both & mask), x.tobytes()))
+                rows.append((base + n, int(mask), int(both & mask), x.tobytes()))
                 n += 1
             return rows, fps
 
-        names = ["leaf", "top", "mask", "pattern", "fps"]
+        names = ["node", "mask", "pattern", "fps"]
         for batch in batches:
             rows, rest = leaves(np.concatenate([rest, batch.column(0).to_numpy()]), False)
             if rows:
@@ -105,7 +108,49 @@ def _leaves(distinct: DataFrame, per_top: int) -> DataFrame:
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*rows)], names=names)
 
-    return distinct.mapInArrow(work, "leaf long, top long, mask long, pattern long, fps binary")
+    return ordered.mapInArrow(work, "node long, mask long, pattern long, fps binary")
+
+
+def _above(nodes: DataFrame) -> DataFrame:
+    """The nodes one level up: node, mask, pattern."""
+    shared = F.bit_and("mask").bitwiseAND(F.bitwise_not(F.bit_and("pattern").bitwiseXOR(F.bit_or("pattern"))))
+    return nodes.groupBy(F.shiftright("node", FAN_BITS).alias("node")).agg(shared.alias("mask"), F.bit_and("pattern").alias("pattern"))
+
+
+def _tree(mask, pattern) -> list[tuple]:
+    """Levels (mask, pattern) over nodes in Gray order, from at most FAN nodes down to the given ones; the children of
+    node i of a level are FAN * i and those after it."""
+    import numpy as np
+
+    levels = [(mask, pattern)]
+    while len(levels[0][0]) > FAN:
+        mask, pattern = levels[0]
+        starts = np.arange(0, len(mask), FAN)
+        both, some = np.bitwise_and.reduceat(pattern, starts), np.bitwise_or.reduceat(pattern, starts)
+        levels.insert(0, (np.bitwise_and.reduceat(mask, starts) & ~(both ^ some), both))
+    return levels
+
+
+def _down(levels: list[tuple], q_mask, q_pattern, max_bits: int) -> tuple:
+    """For queries against a tree: place of the query, place of the lowest level's node, and their differences so far,
+    of all pairs within max_bits."""
+    import numpy as np
+
+    n, width = len(q_mask), len(levels[0][0])
+    row, at = np.repeat(np.arange(n), width), np.tile(np.arange(width), n)
+    apart, seen = np.zeros(len(row), np.int64), np.zeros(len(row), np.int64)
+    for depth, (mask, pattern) in enumerate(levels):
+        if depth:
+            first = at * FAN
+            number = np.minimum(FAN, len(mask) - first)
+            within = np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number)
+            row, apart, seen, at = np.repeat(row, number), np.repeat(apart, number), np.repeat(seen, number), np.repeat(first, number) + within
+        new = mask[at] & ~seen & q_mask[row]
+        apart = apart + np.bitwise_count(((pattern[at] ^ q_pattern[row]) & new).view(np.uint64))
+        near = apart <= max_bits
+        row, at, apart = row[near], at[near], apart[near]
+        seen = mask[at]
+    return row, at, apart
 
 
 def _forest(a, b, pairs) -> tuple[list, list]:
@@ -135,32 +180,38 @@ def links(fps: DataFrame, max_bits: int = 2) -> DataFrame:
     spark = fps.sparkSession
     fps = save(fps.select("fp"), "fingerprints")
     n = fps.count()
-    tops = min(MAX_TOPS, max(1, math.isqrt(math.ceil(n / LEAF))))
-    per_top = max(1, math.ceil(n / LEAF / tops))
-    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n / (LEAF * per_top))))
+    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n / (LEAF * FAN)), MAX_TOPS // 2))
     ordered = fps.withColumn("rank", gray_rank(F.col("fp"))).repartitionByRange(parts, "rank").sortWithinPartitions("rank")
-    leaves = save(_leaves(ordered.select("fp"), per_top), "leaves")
-    shared = F.bit_and("mask").bitwiseAND(F.bitwise_not(F.bit_and("pattern").bitwiseXOR(F.bit_or("pattern"))))
-    upper = leaves.groupBy("top").agg(shared.alias("mask"), F.bit_and("pattern").alias("pattern"), F.max("leaf").alias("last")).collect()
+    levels = [save(_leaves(ordered.select("fp")), "leaves")]
+    levels.append(save(_above(levels[0]), "level"))
+    while levels[-1].count() > MAX_TOPS:  # each level is smaller than the one below, down to one node
+        levels.append(save(_above(levels[-1]), "level"))
+    tops, depth = levels.pop().orderBy("node").collect(), len(levels)
 
     def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        top, mask, pattern, last = (np.array([r[k] for r in upper], np.int64) for k in ("top", "mask", "pattern", "last"))
+        node, mask, pattern = (np.array([r[k] for r in tops], np.int64) for k in ("node", "mask", "pattern"))
+        tree = _tree(mask, pattern)
         for batch in batches:
-            leaf, m, p = (batch.column(k).to_numpy() for k in ("leaf", "mask", "pattern"))
-            rows, hits = [], []
-            for i in range(batch.num_rows):
-                apart = np.bitwise_count(((pattern ^ p[i]) & mask & m[i]).view(np.uint64))
-                t = top[(apart <= max_bits) & (last >= leaf[i])]
-                rows.append(np.full(len(t), i))
-                hits.append(t)
-            taken = batch.select(["leaf", "mask", "pattern", "fps"]).take(pa.array(np.concatenate(rows)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hits)), *taken.columns], names=["top", "q", "q_mask", "q_pattern", "q_fps"])
-
-    probes = leaves.mapInArrow(descend, "top long, q long, q_mask long, q_pattern long, q_fps binary")
-    apart = F.bit_count(F.expr("(pattern ^ q_pattern) & mask & q_mask"))
-    pairs = probes.join(leaves, "top").where((F.col("q") <= F.col("leaf")) & (apart <= max_bits)).select("q", "leaf", "q_fps", "fps")
+            for start in range(0, batch.num_rows, SLICE):
+                some = batch.slice(start, SLICE)
+                leaf, q_mask, q_pattern = (some.column(k).to_numpy() for k in ("node", "mask", "pattern"))
+                row, at, apart = _down(tree, q_mask, q_pattern, max_bits)
+                later = node[at] >= leaf[row] >> FAN_BITS * depth
+                row, at, apart = row[later], at[later], apart[later]
+                taken = some.select(["node", "mask", "pattern", "fps"]).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(mask[at]), pa.array(apart), *taken.columns], names=["above", "seen", "apart", "q", "q_mask", "q_pattern", "q_fps"])
+
+    pairs = levels[0].mapInArrow(descend, "above long, seen long, apart long, q long, q_mask long, q_pattern long, q_fps binary")
+    for height in range(depth - 1, -1, -1):
+        below = levels[height].withColumn("above", F.shiftright("node", FAN_BITS))
+        more = F.bit_count(F.expr("(pattern ^ q_pattern) & mask & ~seen & q_mask"))
+        pairs = pairs.join(below, "above").withColumn("apart", F.col("apart") + more)
+        pairs = pairs.where((F.col("apart") <= max_bits) & (F.col("node") >= F.shiftright("q", FAN_BITS * height)))
+        if height:
+            pairs = pairs.select(F.col("node").alias("above"), F.col("mask").alias("seen"), "apart", "q", "q_mask", "q_pattern", "q_fps")
+    pairs = pairs.select("q", F.col("node").alias("leaf"), "q_fps", "fps")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np

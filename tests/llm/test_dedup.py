@@ -67,8 +67,12 @@ def test_simhash(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], DOC)).count() == 0
 
 
-@pytest.mark.parametrize("bits", [0, 2, 3])
-def test_gray_index(spark, bits):
+@pytest.mark.parametrize(("bits", "leaf", "tops"), [(0, 64, 16_384), (2, 64, 16_384), (3, 64, 16_384), (2, 4, 8), (3, 2, 8)])
+def test_gray_index(spark, monkeypatch, bits, leaf, tops):
+    """With small leaves, narrow nodes and few tops, lower levels are joined."""
+    if leaf < 64:
+        for name, value in (("LEAF", leaf), ("FAN_BITS", 1), ("FAN", 2), ("MAX_TOPS", tops)):
+            monkeypatch.setattr(simhash, name, value)
     r = random.Random(bits)
     centres = [r.getrandbits(64) for _ in range(60)]
     fps = {c ^ sum(1 << r.randrange(64) for _ in range(r.randint(0, 3))) for c in centres for _ in range(40)} | {0, (1 << 64) - 1, 1 << 63}
@@ -80,6 +84,18 @@ def test_gray_index(spark, bits):
     assert got == want
 
 
+@pytest.mark.parametrize("fan", [2, 4, 64])
+def test_tree_in_arrays(monkeypatch, fan):
+    monkeypatch.setattr(simhash, "FAN", fan)
+    rng = np.random.default_rng(fan)
+    pattern = np.sort(rng.integers(-(1 << 63), 1 << 63, 20)[rng.integers(0, 20, 300)] ^ (1 << rng.integers(0, 63, 300)))
+    mask = ~(1 << rng.integers(0, 63, 300))
+    queries, q_mask = pattern[::7], mask[::7]
+    row, at, apart = simhash._down(simhash._tree(mask, pattern & mask), q_mask, queries & q_mask, 2)
+    bits = np.bitwise_count(((queries[:, None] ^ pattern) & mask & q_mask[:, None]).view(np.uint64))
+    assert sorted(zip(row.tolist(), at.tolist(), apart.tolist())) == [(i, j, bits[i, j]) for i, j in np.argwhere(bits <= 2).tolist()]
+
+
 def vectors(seed=5, n=400, d=16):
     rng = np.random.default_rng(seed)
     base = rng.standard_normal((60, d))
