@@ -76,3 +76,27 @@ def test_repeated_ids_lose_no_group(spark):
     assert kept.columns == docs.columns
     assert sorted(tuple(r) for r in kept.collect() if r.doc_id) == [(3, "one two three", 1), (5, "four five six", 3), (7, None, 5)]
     assert [r.node for r in kept.collect() if not r.doc_id] == [4] and corpus_pipeline.keep_one_of_near_copies(spark, docs.limit(0), SF).count() == 0
+
+
+def test_stages_of_odd_rows(spark):
+    """Nulls in every column, empty and repeated texts, repeated ids and extra columns whose names the operators use."""
+    prose = "The committee read the report with care, and its members agreed that the harbour needs a wider entrance. "
+    texts = [None, "", " \n\t", prose * 3, prose * 3, "Write to jo@example.org today. " + prose, "word " * 30_000, "é" * 50_000]
+    rows = [(i, t, None, None, None, "x", 1) for i, t in enumerate(texts)] + [(3, prose, "en", "s", 1, None, None), (None, prose, "en", "s", 1, "x", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, fp string, ha int")
+    for name, stage in corpus_pipeline.STAGES[1:-1]:
+        kept = corpus_pipeline.save(stage(spark, docs, SF), name.replace(" ", "-"))
+        assert kept.columns == docs.columns
+        got = {(r.doc_id, r.fp): r for r in kept.collect()}
+        if name == "line dedup":
+            assert len(got) == len(rows) and got[0, "x"].text is None and got[4, "x"].text == "" and got[None, "x"].text == prose
+        elif name == "PII":
+            assert len(got) == len(rows) and got[5, "x"].text.startswith("Write to [EMAIL] today.") and got[7, "x"].text == texts[7]
+        else:
+            assert (0, "x") in got and (3, "x") in got and (None, "x") in got and not {(1, "x"), (2, "x"), (4, "x")} & set(got)
+        assert corpus_pipeline.save(stage(spark, docs.limit(0), SF), "none").count() == 0
+    accepted = corpus_pipeline.STAGES[0][1](spark, docs, SF)
+    assert accepted.columns == docs.columns and corpus_pipeline.STAGES[0][1](spark, docs.limit(0), SF).count() == 0
+    assert {r.doc_id for r in accepted.collect()} <= {r[0] for r in rows}
+    pack = corpus_pipeline.STAGES[-1][1]
+    assert {r.doc_id for r in pack(spark, docs, SF).collect()} == {r[0] for r in rows} and pack(spark, docs.limit(0), SF).count() == 0
