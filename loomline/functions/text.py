@@ -122,13 +122,21 @@ def scrubbed_export(text: Column, locations: bool = True) -> Column:
     return squeezed(text)
 
 
+# Marks that stay broken where a text does not decode as a whole, and what they stand for.
+BROKEN_MARKS = (("\u00e2\u0080\u009c", '"'), ("\u00e2\u0080\u009d", '"'), ("\u00e2\u0080\u0099", "'"), ("\u00e2\u0080\u00a6", "..."))
+
+
 def mojibake_repaired(text: Column | str) -> Column:
-    """Text whose Latin-1 bytes are UTF-8 read as such, where a tell-tale character asks for it."""
+    """Text whose Latin-1 bytes are UTF-8 read as such, where a tell-tale character asks for it; of a text that does not
+    decode, only the quotation marks, apostrophes and ellipses."""
     text = F.col(text) if isinstance(text, str) else text
     tell = F.contains(text, F.lit("\\u00")) | F.contains(text, F.lit("â")) | F.contains(text, F.lit("ð"))
     narrow = ~F.rlike(text, F.lit(r"[^\x{00}-\x{FF}]"))
     raw = F.encode(F.when(tell & narrow, text), "ISO-8859-1")
-    return F.coalesce(F.try_validate_utf8(F.decode(F.when(F.is_valid_utf8(raw), raw), "UTF-8")), text)
+    whole = F.coalesce(F.try_validate_utf8(F.decode(F.when(F.is_valid_utf8(raw), raw), "UTF-8")), text)
+    for broken, mark in BROKEN_MARKS:
+        whole = F.replace(whole, F.lit(broken), F.lit(mark))
+    return whole
 
 
 def words(text: Column) -> Column:

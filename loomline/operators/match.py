@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
 from loomline.functions.text import evaluated_once, replaced
+from loomline.operators.rounds import stored
 
 # Fixed values of the scoring rules.
 IGNORED = ("a", "an", "and", "audio", "feat", "featuring", "from", "ft", "official", "original", "song", "the", "video", "with")
@@ -189,11 +190,53 @@ def first_by(rows: DataFrame, keys: list[str], order: list, last: bool = False)
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+SUFFIXED = r"(?s)^(.*) \(([2-9]|[1-9][0-9]{1,17})\)$"
+
+
 def suffixed(rows: DataFrame, name: str, order: str) -> DataFrame:
-    """rows with name made unique: repeats become "name (2)", "name (3)", ... in order."""
-    w = Window.partitionBy(name).orderBy(order)
-    n = F.row_number().over(w)
-    return rows.withColumn("_n", n).withColumn(name, F.when(F.col("_n") > 1, F.concat(F.col(name), F.lit(" ("), F.col("_n").cast("string"), F.lit(")"))).otherwise(F.col(name))).drop("_n")
+    """rows with name made unique: in order (unique), a name that is taken becomes "name (2)", "name (3)", ... with the
+    first number that is free. Null names stay.
+
+    A number is taken before its turn only by a row that itself is named so. Which of these come first is settled from
+    the smallest number on, by ranking the repeats of each name over the numbers left, until nothing changes; names with
+    more suffixes follow those with fewer, as a name may itself be taken when it first comes.
+    """
+    base = rows.select(F.col(order).alias("at"), F.col(name).alias("name")).where("name is not null")
+    first = stored(base.groupBy("name").agg(F.min("at").alias("at")))
+    literal = first.select(F.regexp_extract("name", SUFFIXED, 1).alias("of"), F.regexp_extract("name", SUFFIXED, 2).try_cast("long").alias("j"), "at", F.col("name").alias("full")).where("j is not null")
+    literal = stored(literal.join(first.select(F.col("name").alias("of")), "of", "left_semi").withColumn("depth", F.length(F.regexp_extract("of", r"((?: \([1-9][0-9]*\))*)$", 1))))
+    taken = stored(literal.select(F.col("full").alias("name"), "at").limit(0))  # names given to others before their first row
+    blocks = stored(literal.select("of", "j").limit(0))
+    for level in [r[0] for r in literal.select("depth").distinct().orderBy("depth").collect()]:
+        mine = literal.where(F.col("depth") == level)
+        repeats = stored(_repeats(base.join(mine.select(F.col("of").alias("name")).distinct(), "name", "left_semi"), taken))
+        state = stored(mine.withColumn("blocks", F.lit(True)))
+        while True:
+            smaller = Window.partitionBy("of").orderBy("j").rowsBetween(Window.unboundedPreceding, -1)
+            turn = F.col("j") - 1 - F.coalesce(F.sum(F.col("blocks").cast("long")).over(smaller), F.lit(0))
+            timed = state.withColumn("r", turn).join(repeats.select(F.col("name").alias("of"), "r", F.col("at").alias("turn")), ["of", "r"], "left")
+            now = stored(timed.select("of", "j", "at", "full", "depth", F.coalesce(F.col("at") < F.col("turn"), F.lit(True)).alias("blocks"), F.col("blocks").alias("before")))
+            changed = not now.where("blocks <> before").isEmpty()
+            state = now.drop("before")
+            if not changed:
+                break
+        blocks = stored(blocks.unionByName(state.where("blocks").select("of", "j")))
+        taken = stored(taken.unionByName(state.where("not blocks").select(F.col("full").alias("name"), "at")))
+    order_of = Window.partitionBy("of").orderBy("j")
+    shifts = blocks.select(F.col("of").alias("name"), (F.col("j") - F.row_number().over(order_of)).cast("long").alias("r"), F.lit(None).cast(base.schema["at"].dataType).alias("at"), F.lit(1).alias("shift"))
+    ranked = _repeats(base, taken).withColumn("shift", F.lit(0)).unionByName(shifts)
+    upto = Window.partitionBy("name").orderBy("r", F.col("shift").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    n, own = (k + "_" * (1 + max(map(len, rows.columns))) for k in "na")  # names that rows cannot have
+    given = ranked.withColumn(n, F.col("r") + 1 + F.sum("shift").over(upto)).where("shift = 0").select(F.col("at").alias(own), n)
+    made = F.when(F.col(n) > 1, F.concat(F.col(name), F.lit(" ("), F.col(n).cast("string"), F.lit(")"))).otherwise(F.col(name))
+    return rows.join(given, rows[order] == F.col(own), "left").withColumn(name, made).select(*rows.columns)
+
+
+def _repeats(named: DataFrame, taken: DataFrame) -> DataFrame:
+    """name, at, r of named (name, at): 0 for the row that has the name as it is, 1, 2, ... for those that need a number."""
+    counted = named.withColumn("r", F.row_number().over(Window.partitionBy("name").orderBy("at")).cast("long"))
+    late = taken.select("name", F.lit(1).alias("late"))
+    return counted.join(late, "name", "left").select("name", "at", (F.col("r") - 1 + F.coalesce("late", F.lit(0))).alias("r"))
 
 
 def similar(a: Column, b: Column) -> Column:

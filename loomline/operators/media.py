@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
-from collections.abc import Iterable
+import operator
+from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import StringType
 
 from loomline.functions import text as T
+from loomline.operators.rounds import stored
 
 # Words that glued capitals are cut into.
 VOCABULARY = (
@@ -88,21 +91,23 @@ def blocks_split(text: Column) -> Column:
 def segmented(token: str, words: Iterable[str]) -> str:
     """Glued capitals as known words and runs of unknown letters, or the token itself if too little of it is known.
 
-    The best cut of each suffix, from the last one to the whole: known words score WORD_SCORE, letters between them
-    LETTER_SCORE.
+    The best cut of each prefix: known words score WORD_SCORE, letters between them LETTER_SCORE; of equal cuts the one
+    whose last part begins first.
     """
     low, size = token.lower(), len(token)
-    cuts: list[tuple[float, int, bool]] = [(0, size, True)] * (size + 1)  # of the suffix at i: score, end of its first part, known
-    for i in reversed(range(size)):
-        ends = [(len(w), True) for w in words if low.startswith(w, i)] + [(1, False)]
-        cuts[i] = max((cuts[i + n][0] + (WORD_SCORE(n) if known else LETTER_SCORE), i + n, known) for n, known in ends)
-    parts, i = [], 0
-    while i < size:
-        _, end, known = cuts[i]
-        parts.append((known, token[i:end]))
-        i = end
+    best: list[tuple[float, int, bool]] = [(0, 0, True)]  # of the prefix up to j: score, where its last part begins, known
+    for j in range(1, size + 1):
+        ends = [(j - len(w), WORD_SCORE(len(w)), True) for w in words if len(w) <= j and low.endswith(w, 0, j)] + [(j - 1, LETTER_SCORE, False)]
+        value, begin, known = max((best[i][0] + s, -i, known) for i, s, known in ends)
+        best.append((value, -begin, known))
+    parts, j = [], size
+    while j:
+        _, i, known = best[j]
+        parts.append((known, token[i:j]))
+        j = i
+    parts.reverse()
     share = sum(len(t) for known, t in parts if known) / size
-    if share < KNOWN_SHARE or len(parts) < 2 or cuts[0][0] <= 0:
+    if share < KNOWN_SHARE or len(parts) < 2 or best[size][0] <= 0:
         return token
     runs = itertools.groupby(enumerate(parts), key=lambda p: (p[1][0], p[0] if p[1][0] else -1))  # a known word is a run of its own
     return " ".join("".join(t for _, (_, t) in run) for _, run in runs)
@@ -145,53 +150,124 @@ def ocr_cleaned(rows: DataFrame, col: str, into: str) -> DataFrame:
     return got.withColumn(into, T.spaced(F.coalesce(card_wrapped("_need"), F.col(into)))).drop("_need")
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def media_objects(documents: pd.Series) -> pd.Series:
-    """Media objects in JSON documents of any depth, as JSON, in order; a walk does not descend into one it found."""
-    import json
+SHORTCODE = "^[A-Za-z0-9_-]{5,20}$"
+EMPTY = ("", "null", "false", "0", "0.0", "-0.0", "[]", "{}")
 
-    def one(document):
-        found, stack = [], []
-        try:
-            stack.append(json.loads(document or "null"))
-        except ValueError:
-            return found
-        while stack:
-            node = stack.pop()
-            if isinstance(node, dict):
-                if (node.get("code") or node.get("shortcode")) and ("media_type" in node or "image_versions2" in node or "carousel_media" in node):
-                    found.append(json.dumps(node, ensure_ascii=False))
-                else:
-                    stack.extend(reversed(list(node.values())))
-            elif isinstance(node, list):
-                stack.extend(reversed(node))
-        return found
 
-    return documents.map(one)
+def _at(v: Column, path: str, kind: str = "variant") -> Column:
+    return F.try_variant_get(v, f"$.{path}", kind)
 
 
-URLS = "struct<candidates:array<struct<url:string>>>"
-CHILD = f"code:string,media_type:int,product_type:string,image_versions2:{URLS},video_versions:array<struct<url:string>>"
-MEDIA = f"struct<{CHILD},shortcode:string,caption:struct<text:string>,user:struct<username:string>,carousel_media:array<struct<{CHILD}>>>"
+def _given(v: Column, path: str) -> Column:
+    """Whether a JSON value is there and neither null, false, 0 nor empty."""
+    return F.coalesce(~_at(v, path, "string").isin(*EMPTY), F.lit(False))
 
 
-def normalised(documents: DataFrame, json_col: str) -> DataFrame:
-    """code, kind, caption, username, image_url, video_url, children of every media object in documents."""
-    found = documents.withColumn("_m", F.explode(media_objects(json_col))).withColumn("_m", F.from_json("_m", MEDIA))
-    m = F.col("_m")
-    n = F.coalesce(F.size(F.nullif(m["carousel_media"], F.array().cast(f"array<struct<{CHILD}>>"))), F.lit(0))
-    code = F.coalesce(m["code"], m["shortcode"])
-    children = F.transform(
-        F.coalesce(m["carousel_media"], F.array().cast(f"array<struct<{CHILD}>>")),
-        lambda c, i: F.struct(F.concat(code, F.lit("_"), (i + 1).cast("string")).alias("code"), content_type(c["media_type"], c["product_type"]).alias("kind")),
+def _is(v: Column, kind: str) -> Column:
+    return F.coalesce(F.startswith(F.schema_of_variant(v), F.lit(kind)), F.lit(False))
+
+
+def _text(v: Column, path: str) -> Column:
+    return F.when(_given(v, path), _at(v, path, "string"))
+
+
+def _code(v: Column) -> Column:
+    """The node's code or else its shortcode, if it is a text."""
+    own = F.when(_given(v, "code"), _at(v, "code")).otherwise(_at(v, "shortcode"))
+    return F.when(_is(own, "STRING"), own.cast("string"))
+
+
+def _children(v: Column) -> Column:
+    """A carousel's children in either shape."""
+    edges = _at(v, "edge_sidecar_to_children.edges", "array<variant>")
+    nodes = F.filter(F.transform(F.filter(edges, lambda e: _given(e, "node")), lambda e: _at(e, "node")), lambda n: n.isNotNull())
+    return F.coalesce(F.when(_given(v, "carousel_media"), _at(v, "carousel_media", "array<variant>")).otherwise(nodes), F.array().cast("array<variant>"))
+
+
+def _image(v: Column) -> Column:
+    sizes = F.transform(F.filter(_at(v, "display_resources", "array<variant>"), lambda r: _given(r, "src")), lambda r: _at(r, "src", "string"))
+    return (
+        F.when(_given(v, "image_versions2"), _at(v, "image_versions2.candidates[0].url", "string"))
+        .when(_given(v, "display_resources"), F.get(sizes, F.lit(0)))
+        .when(_given(v, "display_url"), _at(v, "display_url", "string"))
+        .when(_given(v, "thumbnail_src"), _at(v, "thumbnail_src", "string"))
     )
+
+
+def _video(v: Column) -> Column:
+    return F.when(_given(v, "video_versions"), _at(v, "video_versions[0].url", "string")).when(_given(v, "video_url"), _at(v, "video_url", "string"))
+
+
+def _shown(v: Column) -> Column:
+    """Whether a node has an image, a video or children."""
+    keys = ("image_versions2", "display_url", "thumbnail_src", "display_resources", "video_versions", "video_url")
+    return functools.reduce(operator.or_, [_given(v, k) for k in keys]) | (F.size(_children(v)) > 0)
+
+
+def _media_type(v: Column) -> Column:
+    moving = _given(v, "is_video") | _given(v, "video_versions") | _given(v, "video_url")
+    return F.coalesce(_at(v, "media_type", "int"), F.when(F.size(_children(v)) > 0, 8).when(moving, 2).otherwise(1))
+
+
+def is_media(v: Column) -> Column:
+    """Whether a JSON object is a media object: it has a code of 5 to 20 letters, and an image, a video or children."""
+    return F.coalesce(_is(v, "OBJECT") & F.rlike(_code(v), F.lit(SHORTCODE)) & _shown(v), F.lit(False))
+
+
+def _child(code: Column, v: Column, i: Column) -> Column:
+    own = _given(v, "code") | _given(v, "shortcode")
+    name = F.when(own, _code(v)).otherwise(F.concat(code, F.lit("_"), i.cast("string")))
+    kind = content_type(_media_type(v), _at(v, "product_type", "string"))
+    made = F.struct(name.alias("code"), kind.alias("kind"), _image(v).alias("image_url"), _video(v).alias("video_url"))
+    return F.when(_is(v, "OBJECT") & F.rlike(name, F.lit(SHORTCODE)) & _shown(v), made)
+
+
+def walked(documents: DataFrame, json_col: str, hit: Callable[[Column], Column], stop: bool) -> DataFrame:
+    """documents with path (keys and places from the root) and node of every JSON value that hit tells, at any depth.
+
+    A walk stops at a hit or goes on below it. Each level is one narrow step, and its values are stored, so the number
+    of steps is the depth of the deepest document. Texts that are no JSON, and ones with a key twice, have no values.
+    """
+    others = [c for c in documents.columns if c != json_col]
+    start = documents.select(*others, F.array().cast("array<string>").alias("path"), F.try_parse_json(json_col).alias("node")).where("node is not null")
+    found, level = None, start
+    while True:
+        level = stored(level.withColumn("_hit", hit(F.col("node"))))
+        here = level.where("_hit").drop("_hit")
+        found = here if found is None else found.unionByName(here)
+        rest = level.where(~F.col("_hit")) if stop else level
+        rest = rest.where(_is(F.col("node"), "OBJECT") | _is(F.col("node"), "ARRAY"))
+        if rest.isEmpty():
+            return found
+        each = rest.lateralJoin(documents.sparkSession.tvf.variant_explode(F.col("node").outer()))
+        level = each.select(*others, F.concat("path", F.array(F.coalesce("key", F.col("pos").cast("string")))).alias("path"), F.col("value").alias("node"))
+
+
+def shortcodes_in(documents: DataFrame, json_col: str) -> DataFrame:
+    """documents with path and code of every object that has a code of 5 to 20 letters, those within others too."""
+    got = walked(documents, json_col, lambda v: F.coalesce(_is(v, "OBJECT") & F.rlike(_code(v), F.lit(SHORTCODE)), F.lit(False)), stop=False)
+    return got.withColumn("code", _code(F.col("node"))).drop("node")
+
+
+def normalised(documents: DataFrame, json_col: str) -> DataFrame:
+    """code, kind, caption, username, image_url, video_url, children of every media object in documents.
+
+    Both API shapes are read. A walk does not go on below a media object; a carousel's children are in it. A child
+    without a code has its parent's and its place, from 0; one that is no media object is left out.
+    """
+    m, edge = F.col("node"), "edge_media_to_caption.edges[0].node.text"
+    found = walked(documents, json_col, is_media, stop=True).withColumn("code", _code(m)).withColumn("type", _media_type(m))
+    said = F.when(_is(_at(m, "caption"), "OBJECT"), _text(m, "caption.text")).when(_given(m, "caption"), _at(m, "caption", "string")).otherwise(_text(m, edge))
+    user = F.when(_given(m, "user"), _at(m, "user")).otherwise(_at(m, "owner"))
+    below = F.filter(F.transform(_children(m), lambda v, i: _child(F.col("code"), v, i)), lambda c: c.isNotNull())
+    children = F.when(F.col("type") == 8, below).otherwise(F.array().cast("array<struct<code:string,kind:string,image_url:string,video_url:string>>"))
     return found.select(
         *[c for c in documents.columns if c != json_col],
-        code.alias("code"),
-        F.when(n > 0, "carousel").otherwise(content_type(m["media_type"], m["product_type"])).alias("kind"),
-        F.coalesce(m["caption"]["text"], F.lit("")).alias("caption"),
-        F.coalesce(m["user"]["username"], F.lit("unknown")).alias("username"),
-        F.get(m["image_versions2"]["candidates"], F.lit(0))["url"].alias("image_url"),
-        F.get(m["video_versions"], F.lit(0))["url"].alias("video_url"),
+        "code",
+        content_type(F.col("type"), _at(m, "product_type", "string")).alias("kind"),
+        F.coalesce(said, F.lit("")).alias("caption"),
+        F.coalesce(_text(user, "username"), F.lit("unknown")).alias("username"),
+        _image(m).alias("image_url"),
+        _video(m).alias("video_url"),
         children.alias("children"),
     )

@@ -77,6 +77,26 @@ def with_estimates(tasks: DataFrame, items: Column, service: str = "service") ->
     return joined.withColumn("estimate", value.cast("long")).withColumn("style", F.coalesce("style", F.lit(FALLBACK[2]))).drop("_base", "_per")
 
 
+# Where a task's number of items may stand, on top and within workload.
+COUNTS = ("submitted_count", "track_count", "url_count", "input_count", "item_count")
+WORKLOAD = ("submitted_count", "posts", "tracks", "urls", "inputs")
+
+
+def submitted_count(meta: Column) -> Column:
+    """Items of a task: the first positive count of its meta (JSON), else of the workload in it, else 1."""
+    tree = F.try_parse_json(meta)
+    paths = [f"$.{k}" for k in COUNTS] + [f"$.workload.{k}" for k in WORKLOAD]
+    counts = [F.try_variant_get(tree, p, "long") for p in paths]
+    return F.coalesce(*[F.when(c > 0, c) for c in counts], F.lit(1).cast("long"))
+
+
+def remaining_seconds(status: Column, started: Column, runtime: Column, now: Column) -> Column:
+    """Seconds that a task has left at now (timestamps): its runtime less what has passed while it runs, 15 at least; a
+    task that does not run, or of which no start is known, has all of it."""
+    passed = F.greatest(F.floor((F.unix_micros(now) - F.unix_micros(started)) / 1_000_000), F.lit(0))
+    return F.when((status == "running") & started.isNotNull(), F.greatest(runtime - passed, F.lit(15))).otherwise(runtime).cast("long")
+
+
 def event_seconds(message: Column) -> Column:
     """Seconds that a progress message asks for, null if it asks for none; an estimate is the largest so far."""
     options = []

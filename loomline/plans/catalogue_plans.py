@@ -125,6 +125,13 @@ def name_suffixes(spark, sf_dir):
     return match.suffixed(t(spark, sf_dir, "part").select("p_partkey", F.col("p_type").alias("name")), "name", "p_partkey")
 
 
+def taken_suffixes(spark, sf_dir):
+    """Part types as playlist names, of which some are named like a repeat of another."""
+    k = F.col("p_partkey")
+    name = F.when(k % 7 == 0, F.concat("p_type", F.lit(" ("), (k % 5 + 1).cast("string"), F.lit(")"))).otherwise(F.col("p_type"))
+    return match.suffixed(t(spark, sf_dir, "part").select("p_partkey", name.alias("name")), "name", "p_partkey")
+
+
 def nfkd_tokens(spark, sf_dir):
     d = t(spark, sf_dir, "documents")
     return d.select("doc_id", F.size(match.meaningful(match.normalized(F.col("text")))).cast("long").alias("n_tokens"))
@@ -223,17 +230,44 @@ def props_json(spark, sf_dir):
     return e.select("event_id", F.coalesce("p.k", F.lit(0)).alias("k"))
 
 
-def media_normalise(spark, sf_dir):
-    child = lambda kind: F.struct(F.lit(kind).alias("media_type"))
+def media_documents(spark, sf_dir):
+    """Pages as documents of media objects of both shapes, some within lists, one below another's caption."""
     p = t(spark, sf_dir, "pages")
-    doc = F.to_json(
-        F.struct(F.array(F.struct(F.struct(
-            F.concat(F.lit("c"), "page_id").alias("code"), F.when(F.col("page_id") % 2 == 0, 2).otherwise(8).alias("media_type"), F.struct(F.col("url").alias("text")).alias("caption"),
-            F.when(F.col("page_id") % 2 == 1, F.array(child(1), child(2))).alias("carousel_media"),
-        ).alias("node"))).alias("edges"))
+    code, url = F.format_string("c%06d", "page_id"), F.coalesce("url", F.lit(""))
+    picture = lambda u: F.struct(F.array(F.struct(u.alias("url"))).alias("candidates"))
+    none = F.lit(None)
+    child = lambda name, u, v: F.struct(name.alias("code"), F.when(u.isNotNull(), picture(u)).alias("image_versions2"), F.when(v.isNotNull(), F.array(F.struct(v.alias("url")))).alias("video_versions"))
+    new = F.struct(
+        code.alias("code"), F.lit(8).alias("media_type"), F.struct(url.alias("text")).alias("caption"), F.struct(F.lit("ann").alias("username")).alias("user"),
+        F.array(child(none.cast("string"), url, none.cast("string")), child(F.lit("own_code"), none.cast("string"), url), child(F.lit("no"), url, none.cast("string"))).alias("carousel_media"),
     )
-    got = media.normalised(p.select("page_id", doc.alias("doc")), "doc")
-    return got.select("page_id", "code", "kind", "caption", "username", F.array_join(F.transform("children", lambda c: F.concat_ws(":", c["code"], c["kind"])), ",").alias("children"))
+    edge = lambda body: F.struct(F.array(F.struct(body.alias("node"))).alias("edges"))
+    old = F.struct(code.alias("shortcode"), (F.col("page_id") % 4 == 1).alias("is_video"), url.alias("display_url"), edge(F.struct(url.alias("text"))).alias("edge_media_to_caption"), F.struct(F.lit("bob").alias("username")).alias("owner"))
+    plain = F.struct(code.alias("code"), F.struct(F.struct(F.lit("below1").alias("code"), F.lit("x").alias("display_url")).alias("inner")).alias("data"))
+    node = F.when(F.col("page_id") % 3 == 0, F.to_json(new)).when(F.col("page_id") % 3 == 1, F.to_json(old)).otherwise(F.to_json(plain))
+    return p.select("page_id", F.concat(F.lit('{"items": [{"node": '), node, F.lit("}]}")).alias("doc"))
+
+
+def media_normalise(spark, sf_dir):
+    got = media.normalised(media_documents(spark, sf_dir), "doc")
+    listed = F.transform("children", lambda c: F.concat_ws(":", c["code"], c["kind"], F.when(c["image_url"].isNotNull(), "i"), F.when(c["video_url"].isNotNull(), "v")))
+    return got.select("page_id", "code", "kind", "caption", "username", F.col("image_url").isNotNull().alias("image"), F.array_join(listed, ",").alias("children"))
+
+
+_MEDIA_SQL = """WITH p AS (SELECT page_id, page_id % 3 AS form, 'c' || lpad(CAST(page_id AS VARCHAR), 6, '0') AS code, coalesce(url, '') AS url FROM pages)
+SELECT page_id, CASE form WHEN 2 THEN 'below1' ELSE code END AS code,
+ CASE form WHEN 0 THEN 'carousel' WHEN 1 THEN CASE WHEN page_id % 4 = 1 THEN 'video' ELSE 'image' END ELSE 'image' END AS kind, CASE form WHEN 2 THEN '' ELSE url END AS caption,
+ CASE form WHEN 0 THEN 'ann' WHEN 1 THEN 'bob' ELSE 'unknown' END AS username, form > 0 AS image, CASE form WHEN 0 THEN code || '_0:image:i,own_code:video:v' ELSE '' END AS children FROM p WHERE form <> 1 OR url <> ''"""
+
+
+def media_codes(spark, sf_dir):
+    """Every code in those documents, those within others too."""
+    got = media.shortcodes_in(media_documents(spark, sf_dir), "doc")
+    return got.groupBy("page_id", "code").agg(F.count(F.lit(1)).alias("n"))
+
+
+_CODES_SQL = """WITH p AS (SELECT page_id, page_id % 3 AS form, 'c' || lpad(CAST(page_id AS VARCHAR), 6, '0') AS code FROM pages)
+SELECT page_id, code, CAST(1 AS BIGINT) AS n FROM p UNION ALL SELECT page_id, CASE form WHEN 0 THEN 'own_code' ELSE 'below1' END, 1 FROM p WHERE form <> 1"""
 
 
 # Runtime
@@ -262,6 +296,29 @@ def runtime_estimate(spark, sf_dir):
     return runtime.with_estimates(tasks(spark, sf_dir), F.col("items")).select("seq", "estimate", "style")
 
 
+def submitted_counts(spark, sf_dir):
+    """Items of tasks whose meta names them by one key or another."""
+    n = (F.col("o_custkey") % 5).cast("string")
+    quoted = lambda k: F.concat(F.lit(f'"{k}": '), n)
+    inner = F.concat(F.lit('{"item_count": 0, "workload": {"posts": -1, '), quoted("tracks"), F.lit("}}"))
+    meta = F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit('{"submitted_count": null, '), quoted("url_count"), F.lit("}"))).when(F.col("o_orderkey") % 4 == 1, inner).when(F.col("o_orderkey") % 4 == 2, F.concat(F.lit('{"track_count": "'), n, F.lit('", "item_count": 9}')))
+    return t(spark, sf_dir, "orders").select("o_orderkey", runtime.submitted_count(meta).alias("items"))
+
+
+_COUNTS_SQL = "SELECT o_orderkey, CAST(CASE o_orderkey % 4 WHEN 2 THEN CASE WHEN o_custkey % 5 > 0 THEN o_custkey % 5 ELSE 9 END WHEN 3 THEN 1 ELSE greatest(o_custkey % 5, 1) END AS BIGINT) AS items FROM orders"
+
+
+def remaining_runtime(spark, sf_dir):
+    """Seconds left of every task at a day's end, begun so many minutes before it."""
+    now = F.lit("1998-09-01 00:00:00").cast("timestamp")
+    started = F.when(F.col("seq") % 11 != 0, F.timestamp_micros(F.unix_micros(now) - (F.col("seq") % 40 - 2) * 20_500_000))
+    got = runtime.with_estimates(tasks(spark, sf_dir), F.col("items"))
+    return got.select("seq", runtime.remaining_seconds(F.col("status"), started, F.col("estimate"), now).alias("remaining"))
+
+
+_REMAINING_SQL = _TASKS + " SELECT seq, CAST(CASE WHEN status = 'running' AND seq % 11 <> 0 THEN greatest(estimate - greatest(floor((seq % 40 - 2) * 20.5), 0), 15) ELSE estimate END AS BIGINT) AS remaining FROM k"
+
+
 def lane_mapping(spark, sf_dir):
     s = F.col("service")
     got = tasks(spark, sf_dir).select("service", "lane", runtime.lane_label(F.col("lane")).alias("label"), runtime.exclusive_group(s).alias("shared"), runtime.status_variant(F.col("status")).alias("variant"))
@@ -389,6 +446,7 @@ QUERIES = {
         name_suffixes,
         "WITH n AS (SELECT p_partkey, p_type, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) AS n FROM part) SELECT p_partkey, CASE WHEN n > 1 THEN p_type || ' (' || n || ')' ELSE p_type END AS name FROM n",
     ),
+    "taken_suffixes": (taken_suffixes, None),
     "nfkd_tokens": (nfkd_tokens, None),
     "cache_lookup": (cache_lookup, f"WITH {_TRACKS}, k AS (SELECT p_partkey, {_KEY} AS key FROM t), h AS (SELECT key, min(p_partkey) AS hit FROM k WHERE p_partkey % 2 = 0 GROUP BY key) SELECT p_partkey, hit FROM k LEFT JOIN h ON h.key = k.key"),
     "anti_history": (anti_history, "SELECT o_orderkey FROM orders a WHERE o_orderkey % 2 = 0 AND NOT EXISTS (SELECT 1 FROM orders b WHERE b.o_orderkey % 2 = 1 AND b.o_custkey = a.o_custkey AND b.o_orderpriority = a.o_orderpriority)"),
@@ -418,10 +476,10 @@ QUERIES = {
     "first_last": (first_last, "WITH n AS (SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS up, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders) SELECT o_orderkey, o_custkey FROM n WHERE up <= 3 OR up > n - 2"),
     "text_blocks": (text_blocks, "SELECT n_regionkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS i, n_name AS block FROM nation"),
     "props_json": (props_json, "SELECT event_id, coalesce(CAST(json_extract(props, '$.k') AS BIGINT), 0) AS k FROM events"),
-    "media_normalise": (
-        media_normalise,
-        "SELECT page_id, 'c' || page_id AS code, CASE WHEN page_id % 2 = 0 THEN 'video' ELSE 'carousel' END AS kind, coalesce(url, '') AS caption, 'unknown' AS username, CASE WHEN page_id % 2 = 1 THEN 'c' || page_id || '_1:image,c' || page_id || '_2:video' ELSE '' END AS children FROM pages",
-    ),
+    "media_normalise": (media_normalise, _MEDIA_SQL),
+    "media_codes": (media_codes, _CODES_SQL),
+    "submitted_counts": (submitted_counts, _COUNTS_SQL),
+    "remaining_runtime": (remaining_runtime, _REMAINING_SQL),
     "runtime_estimate": (runtime_estimate, _TASKS + " SELECT seq, estimate, style FROM k"),
     "lane_mapping": (
         lane_mapping,

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomline.plans import catalogue_plans, chat_plans, export_plans, result_plans, text_plans
+from loomline.plans import catalogue_plans, chat_plans, export_plans, result_plans, source_plans, text_plans
 
-_ALL = text_plans.QUERIES | chat_plans.QUERIES | catalogue_plans.QUERIES | result_plans.QUERIES | export_plans.QUERIES
+_ALL = text_plans.QUERIES | chat_plans.QUERIES | catalogue_plans.QUERIES | result_plans.QUERIES | export_plans.QUERIES | source_plans.QUERIES
 _ALL["sentence_loops"] = (_ALL["sentence_loops"][0], result_plans.SENTENCE_SQL)
 
 

@@ -14,11 +14,20 @@ EXPORT = (
 
 
 def text_log(spark: SparkSession, path: str) -> DataFrame:
-    """file, line_no, line of text logs: UTF-8 where it is valid, else Latin-1. A file is one row until it is split."""
-    raw = spark.read.format("binaryFile").load(path)
-    text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.decode("content", "UTF-8")).otherwise(F.decode("content", "ISO-8859-1"))
-    lines = raw.select(F.col("path").alias("file"), F.posexplode(F.split(text, "\r?\n")).alias("line_no", "line"))
-    return lines
+    """file, line_no (from 0), line of text logs: UTF-8 where all of a file is, else Latin-1.
+
+    Files are read in splits, line by line as bytes. One pass over them gives each file's encoding and each split's number
+    of lines, so a file of any size takes as many tasks as it has splits, and lines are numbered within splits.
+    """
+    where = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    raw = spark.read.text(path).select(*where, "value", F.monotonically_increasing_id().alias("at"))
+    splits = raw.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.is_valid_utf8("value")).alias("utf8"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    known = splits.select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"), F.min("utf8").over(Window.partitionBy("file")).alias("utf8"))
+    place = F.row_number().over(Window.partitionBy("file", "block").orderBy("at")) - 1
+    joined = raw.withColumn("place", place).join(known, ["file", "block"])
+    line = F.when(F.col("utf8"), F.col("value")).otherwise(F.decode(F.col("value").cast("binary"), "ISO-8859-1"))
+    return joined.select("file", (F.col("place") + F.col("before")).cast("long").alias("line_no"), line.alias("line"))
 
 
 def json_export(spark: SparkSession, path: str) -> DataFrame:
@@ -40,6 +49,30 @@ def listed_inputs(lines: DataFrame, col: str = "value") -> DataFrame:
     return lines.withColumn(col, F.trim(col)).where((F.col(col) != "") & ~F.startswith(F.col(col), F.lit("#")))
 
 
+def resolved_inputs(spark: SparkSession, values: list[str] | None = None, path: str | None = None) -> DataFrame:
+    """n, value of the inputs that a user gives, either directly or as a file, trimmed and without blank ones.
+
+    A .json file is a list of texts; another has one input a line, and comments. Both or neither of the two ways, a list
+    of something else, and no input at all are errors (ValueError).
+    """
+    if bool(values) == bool(path):
+        raise ValueError("give either values or a file of them")
+    if path and path.lower().endswith(".json"):
+        whole = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
+        kind = whole.select(F.schema_of_variant("v")).first()
+        if kind is None or kind[0] not in ("ARRAY<STRING>", "ARRAY<VOID>") or not whole.where(F.exists(F.variant_get("v", "$", "array<string>"), lambda x: x.isNull())).isEmpty():
+            raise ValueError(f"{path} is no list of texts")
+        got = whole.select(F.posexplode(F.variant_get("v", "$", "array<string>")).alias("n", "value"))
+        got = got.select(F.col("n").cast("long"), F.trim("value").alias("value")).where("value <> ''")
+    elif path:
+        got = listed_inputs(text_log(spark, path).select(F.col("line_no").alias("n"), F.col("line").alias("value")))
+    else:
+        got = spark.createDataFrame([(n, v) for n, v in enumerate(values or [])], "n long, value string").select("n", F.trim("value").alias("value")).where("value <> ''")
+    if got.isEmpty():
+        raise ValueError("no inputs")
+    return got
+
+
 def conversations_to_lines(conversations: DataFrame) -> DataFrame:
     """One JSON text for each conversation that the sink accepts."""
     return conversations.where(corpus.writable(F.col("messages"))).select(F.to_json(F.struct("messages")).alias("value"))

@@ -36,7 +36,7 @@ def test_equals_sql(spark, duck, name):
 
 
 #: Tested against brute force in test_chat, test_catalogue and test_exports.
-WITHOUT_SQL = {"mojibake_repair", "ocr_clean", "rate_limit_batch", "overlap_dedupe", "edited_pairs", "fuzzy_coverage", "nfkd_tokens", "slot_waits", "drift_sessions", "topic_sessions"}
+WITHOUT_SQL = {"mojibake_repair", "ocr_clean", "rate_limit_batch", "overlap_dedupe", "edited_pairs", "fuzzy_coverage", "nfkd_tokens", "slot_waits", "drift_sessions", "topic_sessions", "taken_suffixes"}
 
 
 def test_all_others_have_sql():
@@ -93,3 +93,11 @@ def test_slot_waits_of_whole_lanes(spark):
         heapq.heappush(slots, wait + job.estimate)
         want[job.lane, job.seq] = wait
     assert {(r.lane, r.seq): r.wait for r in registry.queries()["slot_waits"](spark, SF).collect()} == want
+
+
+def test_taken_suffixes_of_parts(spark, duck):
+    from tests.test_catalogue import slow_suffixes
+
+    parts = duck.execute("SELECT p_partkey, p_type || CASE WHEN p_partkey % 7 = 0 THEN ' (' || (p_partkey % 5 + 1) || ')' ELSE '' END FROM part ORDER BY p_partkey").fetchall()
+    want = dict(zip([k for k, _ in parts], slow_suffixes([n for _, n in parts])))
+    assert {r.p_partkey: r.name for r in registry.queries()["taken_suffixes"](spark, SF).collect()} == want
