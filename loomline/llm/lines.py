@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from loomline.llm.components import components
 from loomline.llm.grouped import block_pairs, by_run
-from loomline.llm.store import save
+from loomline.llm.store import save, unused
 
 LONG, EDITS, MIN_SIMILARITY, SHORTEST = 16, 2, 0.8, 4
 BLANK = " \t\x0b\f\r"
@@ -334,7 +334,8 @@ def _forest(table: pa.Table) -> dict | None:
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n (line number from 0), ha (its hash), exact (a copy of the class's kept line), keeper_id, keeper_n of
     every line that goes."""
-    docs = docs.where(F.col(id_col).isNotNull())
+    docs = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    id_col, text_col = "doc_id", "text"
     lines = _lines(docs, id_col, text_col).select("doc_id", "n", "ha", "hb")
     classes = save(lines.groupBy("ha", "hb").agg(F.min(F.struct("doc_id", "n")).alias("first"), F.count(F.lit(1)).alias("copies")), "classes")
     linked, tried = links(docs, text_col)
@@ -377,13 +378,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Null texts and rows with a null id stay as they are. Of rows that repeat an id, each loses its own lines that go.
     """
-    listed = F.collect_set(F.struct("n", "ha")).alias("_gone")
-    gone = dropped_lines(docs, id_col, text_col).groupBy(F.col("doc_id").alias("_gone_id")).agg(listed)
-    joined = docs.join(gone, F.col(id_col).cast("long") == F.col("_gone_id"), "left")
+    gone_id, at = unused(docs, "gone_id", "gone")
+    gone = dropped_lines(docs, id_col, text_col).groupBy(F.col("doc_id").alias(gone_id)).agg(F.collect_set(F.struct(F.col("n").alias("n"), F.col("ha").alias("ha"))).alias(at))
+    joined = docs.join(gone, F.col(id_col).cast("long") == F.col(gone_id), "left")
 
     def rest(parts: Column) -> Column:
         own = F.transform(parts, lambda x, i: F.struct(i.alias("n"), F.xxhash64(x).alias("ha")))
-        return F.array_join(F.transform(F.array_except(own, F.col("_gone")), lambda k: F.get(parts, k["n"])), "\n")
+        return F.array_join(F.transform(F.array_except(own, F.col(at)), lambda k: F.get(parts, k["n"])), "\n")
 
     text = F.get(F.transform(F.array(F.split(F.col(text_col).cast("string"), "\n", -1)), rest), F.lit(0))
-    return joined.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(text)).select(*docs.columns)
+    return joined.withColumn(text_col, F.when(F.col(at).isNull(), F.col(text_col)).otherwise(text)).select(*docs.columns)

@@ -45,15 +45,15 @@ def encoder(path: str, kept: int = WORDS_KEPT):
 
     No token of this vocabulary spans ASCII white space, so texts are cut there and each different piece is encoded
     once. Plain pieces are cut into lower-cased words, the unit of the merges; different words are encoded many to a
-    call, told apart by the tokens that end a word, and known while they stay among the kept ones. Other pieces go
-    through the whole tokenizer.
+    call, told apart by the tokens that end a word, and known while they stay among the kept ones. Other pieces, and
+    those with an added token's text in them, go through the whole tokenizer.
     """
     import numpy as np
     import pyarrow.compute as pc
     from tokenizers import Tokenizer, pre_tokenizers
 
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
+    added = [token.content for token in whole.get_added_tokens_decoder().values()]
     bare = Tokenizer(whole.model)  # the merges alone
     bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
     vocabulary = whole.get_vocab()
@@ -89,6 +89,8 @@ def encoder(path: str, kept: int = WORDS_KEPT):
     def encode(texts: pa.Array):
         pieces, piece, of_text = split(pc.ascii_split_whitespace(texts))
         plain = pc.match_substring_regex(pieces, PLAIN)
+        for token in added:
+            plain = pc.and_not(plain, pc.match_substring(pieces, token))
         spaced = pc.replace_substring_regex(pc.utf8_lower(pieces.filter(plain)), WORD, "\\1 ")
         found, word, of_piece = split(pc.split_pattern(spaced, " "))
         found = found.to_numpy(zero_copy_only=False).tolist()

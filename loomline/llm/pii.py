@@ -1,9 +1,9 @@
 """Personal data spans: exact base patterns, and candidates accepted by boosted trees. DataFrame functions only.
 
 Base kinds are matched as fixed patterns with checks. High-recall generators propose further, overlapping spans
-(obfuscated addresses, national phone formats, other card and address forms); boosted trees over format and context
-score them, a threshold calibrated for precision on held-out examples selects, and the best of overlapping spans
-stays. The trees are fitted on examples that the module writes itself (TRAIN of them, from a fixed seed), through the
+(obfuscated and spelled-out addresses, national phone numbers, other card forms, whole and shortened IPv6 addresses,
+values of secrets); boosted trees over format and the context on both sides score them, a threshold calibrated for
+precision on held-out examples selects, and the best of overlapping spans stays. The trees are fitted on examples that the module writes itself (TRAIN of them, from a fixed seed), through the
 same feature columns that score documents.
 Everything is one narrow projection: no shuffle, and texts without a kind's trigger cost one scan for it.
 """
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from loomline.llm.trees import Path, boost, condition
 
 KINDS = ("email", "ip", "card", "phone")
+EVERY = (*KINDS, "secret")
 # The base patterns as the contract gives them, bounded so that a scan stays linear in the text: a match may begin
 # only where a run begins or the last match ended, and a chain of digits is matched only if its length can pass.
 BASE = {
@@ -37,15 +38,26 @@ GENERATORS = (
     ("card", r"[0-9]{4}[\x20.-]?[0-9]{4}",
      r"(?<![0-9.])(?<![0-9][\x20-])(?:[0-9]{4}(?:\.[0-9]{4}){3}|[0-9]{4}[\x20-]?[0-9]{6}[\x20-]?[0-9]{5}|[0-9]{13})(?![\x20.-]?[0-9])"),
     ("ip", r"(?i)[0-9a-f]:[0-9a-f]{1,4}:", r"(?i)(?<![0-9a-f:.])(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}(?![0-9a-f:.])"),
+    ("ip", r"(?i)[0-9a-f]::[0-9a-f]", r"(?i)(?<![0-9a-z:._])(?:[0-9a-f]{1,4}:){1,6}(?::[0-9a-f]{1,4}){1,6}(?![0-9a-z:_])"),
+    ("secret", r"(?i)(?:token|secret|passwor|(?:api|access|private)[_\x20-]?key)[\x22']?\x20?[:=]|AKIA[0-9A-Z]|gh[pousr]_|\bsk-|xox[abp]-",
+     r"(?i)(?<=(?:token|secret|password|api[_\x20-]?key|access[_\x20-]?key|private[_\x20-]?key)[\x22']{0,1}\x20{0,2}[:=]\x20{0,2}[\x22']{0,1})[A-Za-z0-9+/_=.-]{8,}+"
+     r"|(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}+|sk-[A-Za-z0-9_-]{20,}+|xox[abp]-[A-Za-z0-9-]{10,}+)"),
 )
+_FEW = r"(?:[^\p{L}\p{N}]+\p{L}+){0,4}[^\p{L}\p{N}]*"  # up to four words between a cue and the span
 CUES = {
-    "phone_cue": r"(?i)(?:tel|phone|call|fax|mobile|cell|telefon|telefono|portable)[^\p{L}\p{N}]{0,3}$",
+    "phone_cue": r"(?i)(?:\btel|phone|\bcall|\bfax|mobile|\bcell|telefon|portable|\bring|\bdial|\btext|reach|anruf|llam)\p{L}*" + _FEW + "$",
     "card_cue": r"(?i)(?:card|visa|mastercard|amex|karte|carte|tarjeta)[^0-9]{0,12}$",
-    "mail_cue": r"(?i)(?:mail|contact|write to|reach me)[^\p{L}\p{N}]{0,3}$",
-    "code_cue": r"(?i)(?:isbn|order|ref|no|id|sku|version|page|serial|tracking|invoice|part)[^\p{L}\p{N}]{0,3}$",
+    "mail_cue": r"(?i)(?:mail|contact|write|reach|correo|courriel)\p{L}*" + _FEW + "$",
+    "code_cue": r"(?i)(?:isbn|order|ref|\bno|\bid|sku|version|page|serial|tracking|invoice|part|lot|item)\p{L}*[^\p{L}\p{N}]{0,3}$",
 }
-TRAIN, TREES, DEPTH, SEED, PRECISION = 2400, 16, 3, 2, 0.98
-FEATURES = ("kind", "chars", "digits", "marks", "luhn", "brackets", "dots", "joined_at", *CUES)
+AFTER = {
+    "phone_after": r"(?i)^[^\p{L}\p{N}]{0,3}(?:\p{L}+[^\p{L}\p{N}]+){0,3}(?:phone|mobile|\bcell|\btel|\bfax|\bext|\bcall|voicemail|whatsapp)",
+    "count_after": r"(?i)^[^\p{L}\p{N}]{0,2}(?:units|pages|items|copies|pieces|euros?|dollars|km|kg|people|times|points|stock|boxes)",
+}
+ENDING = r"(?i)(?:\.|dot\W{0,2}\x20?)(?:com|org|net|edu|gov|info|io|de|fr|es|uk|eu|it|ch|at|nl)$"
+BEFORE, BEYOND = 48, 32  # code points of context
+TRAIN, TREES, DEPTH, SEED, PRECISION = 4800, 24, 4, 2, 0.98
+FEATURES = ("kind", "chars", "digits", "letters", "marks", "luhn", "brackets", "dots", "joined_at", "ending", "doubled", "area", *CUES, *AFTER)
 _BLOCK, _PART = 256, 4096  # spans folded at once; code points of a piece of text
 
 
@@ -140,19 +152,24 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.filter(matches(text, BASE[kind], TRIGGER[kind]), lambda s: _passes(kind, s["m"]))
 
 
-def _features(kind: int, m: Column, before: Column) -> list[Column]:
+def _features(kind: int, m: Column, before: Column, after: Column) -> list[Column]:
     digits = _digits(m)
+    told = lambda x, p: F.rlike(x, F.lit(p)).cast("double")
     out = [
         F.lit(float(kind)).alias("kind"),
         F.length(m).cast("double").alias("chars"),
         F.length(digits).cast("double").alias("digits"),
+        F.length(F.regexp_replace(m, "[^\\p{L}]", "")).cast("double").alias("letters"),
         F.length(F.regexp_replace(m, "[\\p{L}\\p{N}]", "")).cast("double").alias("marks"),
         F.when(F.length(digits) > 1, luhn(digits)).otherwise(False).cast("double").alias("luhn"),
         F.length(F.regexp_replace(m, "[^\\[\\](){}]", "")).cast("double").alias("brackets"),
         F.length(F.regexp_replace(m, "[^.]", "")).cast("double").alias("dots"),
-        F.rlike(m, F.lit("(?i)\\x20at\\x20")).cast("double").alias("joined_at"),
+        told(m, "(?i)\\x20at\\x20").alias("joined_at"),
+        told(m, ENDING).alias("ending"),
+        told(m, "::").alias("doubled"),
+        told(m, r"^(?:\([0-9]{3}\)\x20?|[0-9]{3}[-.])[0-9]{3}[-.][0-9]{4}$").alias("area"),
     ]
-    return out + [F.rlike(before, F.lit(p)).cast("double").alias(k) for k, p in CUES.items()]
+    return out + [told(before, p).alias(k) for k, p in CUES.items()] + [told(after, p).alias(k) for k, p in AFTER.items()]
 
 
 def candidates(text: Column) -> Column:
@@ -162,8 +179,10 @@ def candidates(text: Column) -> Column:
         """The found spans with features; the text is cut into parts only where there are some."""
 
         def one(parts: Column, s: Column) -> Column:
-            before = _between(parts, F.greatest(s["start"] - 24, F.lit(0)), s["start"])
-            return _let(before, lambda b: F.struct(s["start"].alias("start"), s["end"].alias("end"), *_features(KINDS.index(kind), s["m"], b)))
+            before = _between(parts, F.greatest(s["start"] - BEFORE, F.lit(0)), s["start"])
+            after = _between(parts, s["end"], F.least(s["end"] + BEYOND, F.length(text)))
+            beside = F.struct(before.alias("before"), after.alias("after"))
+            return _let(beside, lambda b: F.struct(s["start"].alias("start"), s["end"].alias("end"), *_features(EVERY.index(kind), s["m"], b["before"], b["after"])))
 
         return _let(F.when(F.size(found) > 0, _parts(text)), lambda parts: F.transform(found, lambda s: one(parts, s)))
 
@@ -174,11 +193,11 @@ Model = tuple[float, list[tuple[Path, float]], float]
 
 
 def score(model: Model, of) -> Column:
-    """Margin of the boosted trees; of gives a feature's column."""
-    total = F.lit(model[0])
-    for path, value in model[1]:
-        total = total + F.when(condition(path, of), value).otherwise(0.0)
-    return total
+    """Margin of the boosted trees; of gives a feature's column. Terms are added in pairs, so that the sum stays flat."""
+    terms = [F.lit(model[0]), *[F.when(condition(path, of), value).otherwise(0.0) for path, value in model[1]]]
+    while len(terms) > 1:
+        terms = [sum(terms[i + 1 : i + 2], terms[i]) for i in range(0, len(terms), 2)]
+    return terms[0]
 
 
 def examples(number: int = TRAIN, seed: int = SEED) -> list[tuple[str, int]]:
@@ -195,28 +214,53 @@ def examples(number: int = TRAIN, seed: int = SEED) -> list[tuple[str, int]]:
         cut = [sum(lengths[:i]) for i in range(len(lengths) + 1)]
         return sep.join(body[a:b] for a, b in zip(cut, cut[1:]))
 
+    some = lambda n: " ".join(word() for _ in range(n))
+    near = lambda cues: f"{r.choice(cues)} {some(r.randint(0, 3))}".strip() + r.choice([" ", ": "])
     out = []
     for _ in range(number):
-        good, form = r.random() < 0.5, r.randrange(5)
-        cue = ""
+        good, form = r.random() < 0.5, r.randrange(8)
+        cue, tail = "", ""
         if form == 0:
-            at, dot = r.choice([(" (at) ", "."), (" [at] ", " [dot] "), ("(at)", "(dot)"), (" AT ", " DOT ")] if good else [(" at ", "."), (" at ", " dot ")])
-            m = f"{word()}{at}{word()}{dot}{r.choice(['com', 'org', 'net']) if good else word()}"
-            cue = r.choice(["mail: ", "contact ", ""]) if good else r.choice(["", "arrived ", "we met "])
-        elif form in (1, 2):
+            if good:
+                at, dot = r.choice([(" (at) ", "."), (" [at] ", " [dot] "), ("(at)", "(dot)"), (" AT ", " DOT "), (" at ", " dot "), (" at ", " dot ")])
+                m = f"{word()}{at}{word()}{dot}{r.choice(['com', 'org', 'net', 'de', 'fr', 'es', 'io'])}"
+            else:
+                m = r.choice([f"{word()} at {word()}.{word()}", f"{word()} at {word()} dot {word()}", f"{word()} at {word()} dot {word()} dot {word()}"])
+            cue = near(["mail", "contact", "write to", "reach me"]) if good and r.random() < 0.6 else r.choice(["", "arrived ", "we met ", "the dot "])
+        elif form in (1, 2, 3):
             sep = r.choice(" .-")
-            m = r.choice([f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}{sep}{digits(3)}{sep}{digits(4)}"])
-            cue = r.choice(["tel ", "phone: ", "call ", "fax: ", "mobile "]) if good else r.choice(["order ", "ref ", "part no ", "isbn ", "", "", ""])
-            if not good:
-                m = f"{digits(r.randint(2, 5))}{sep}{digits(3)}{sep}{digits(r.randint(3, 4))}"
-        elif form == 3:
+            m = r.choice([f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}{sep}{digits(3)}{sep}{digits(4)}", f"0{digits(3)}{sep}{digits(3)}{sep}{digits(4)}", f"0{digits(2)}{sep}{digits(4)}{sep}{digits(4)}"])
+            asked = ["tel", "phone", "call me at", "call", "fax", "mobile", "ring", "telefon", "reach us on", "text"]
+            if good and r.random() < 0.8:
+                cue = near(asked)
+            elif good:
+                cue, tail = some(2) + " ", r.choice([" by phone", " on her mobile", " (cell)", " is my phone", " ext 12"])
+            else:
+                m = r.choice([m, f"{digits(r.randint(2, 5))}{sep}{digits(r.randint(3, 4))}{sep}{digits(r.randint(3, 4))}"])
+                cue = r.choice(["order ", "ref ", "part no ", "isbn ", "lot ", "item ", some(5) + " ", some(6) + " "])
+                tail = r.choice(["", "", " units", " pages", " items", " in stock"])
+        elif form == 4:
             lengths, sep = r.choice([((4, 4, 4, 4), "."), ((4, 6, 5), " "), ((4, 6, 5), "-"), ((15,), ""), ((13,), "")])
             m = carded(lengths, sep, good)
             cue = r.choice(["card ", "visa: ", "amex ", ""]) if good and len(lengths) > 1 else "card " if good else r.choice(["order ", "serial ", "tracking ", ""])
-        else:
+        elif form == 5:
             m = ":".join("".join(r.choice("0123456789abcdef") for _ in range(4 if good else r.randint(1, 2))) for _ in range(8))
             cue = r.choice(["address ", "host ", ""])
-        out.append((f"{word()} {word()} {cue}{m} {word()}.", int(good)))
+        elif form == 6:
+            part = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
+            if good:
+                m = r.choice(["2001", "fe80", "2a02", "fd00", "2606"]) + "".join(f":{part(r.randint(1, 4))}" for _ in range(r.randint(0, 3))) + "::" + ":".join(part(r.randint(1, 4)) for _ in range(r.randint(1, 3)))
+            else:
+                m = r.choice([f"{''.join(r.choice('abcdef') for _ in range(r.randint(1, 4)))}::{''.join(r.choice('abcdef') for _ in range(r.randint(1, 4)))}", f"{r.randint(1, 99)}::{r.randint(1, 99)}", f"{r.randint(0, 23)}:{r.randint(10, 59)}::{r.randint(10, 59)}", f"{r.randint(1, 99)}::{r.randint(1, 99)}:{r.randint(1, 99)}"])
+            cue = r.choice(["address ", "host ", ""]) if good else r.choice(["", "see ", "verse ", "at ", "from "])
+        else:
+            key = r.choice(["token", "secret", "password", "api_key", "api key", "access_key", "private-key"])
+            mixed = "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(r.randint(16, 44)))
+            m = r.choice(["".join(r.choice("0123456789abcdef") for _ in range(r.choice([32, 40, 64]))), mixed, "ghp_" + mixed * 2]) if good else r.choice([word() + word(), f"{word()}_{word()}", f"{word()}-{word()}", f"{word()}.{word()}"])
+            m = m if len(m) >= 8 else m + "required"
+            quote = r.choice(["", '"', "'"])
+            cue, tail = f"{key}{r.choice([' = ', '=', ': '])}{quote}", quote
+        out.append((f"{word()} {word()} {cue}{m}{tail} {word()}.", int(good)))
     return out
 
 
@@ -241,7 +285,7 @@ def fit(spark: SparkSession, number: int = TRAIN, seed: int = SEED) -> Model:
     precision = np.cumsum(y[held][order]) / np.arange(1, held.sum() + 1)
     good = np.flatnonzero(precision >= PRECISION)
     cut = float(margin[order][good[-1]]) if len(good) else float("inf")
-    return start, leaves, max(cut, 0.0)
+    return start, leaves, max(cut - 1e-9, 0.0)  # the columns add in another order
 
 
 def _spans(text: Column, model: Model) -> dict[str, Column]:
@@ -281,7 +325,7 @@ def _best(base: Column, good: Column) -> Column:
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """The id, columns in keep, base (array of kind, start, end) and all (base and accepted candidates) of every row.
 
-    Both arrays are ordered by kind as in KINDS, then start; kind is its place in KINDS. Candidates that overlap a
+    Both arrays are ordered by kind as in EVERY, then start; kind is its place in EVERY. Candidates that overlap a
     base span, or a better candidate in the sweep by start, go.
     """
     model = model or fit(docs.sparkSession)
@@ -305,29 +349,40 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model
 
 def joined(found: Column) -> Column:
     """kind:start:end of each span, comma-joined."""
-    names = F.array(*[F.lit(k) for k in KINDS])
+    names = F.array(*[F.lit(k) for k in EVERY])
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256 and spans for every row.
+    """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (of these kinds), secrets (spans of
+    secrets' values, joined likewise) and n_found (all of them) for every row.
 
     Null and empty texts have no spans. Rows with a null or repeated id are treated one by one. Other columns are
     ignored; an empty table gives an empty result.
     """
-    got = spans(docs, id_col, text_col, model)
+    got = spans(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), model=model)
+    secret = lambda s: s["kind"] == EVERY.index("secret")
     return got.select(
-        F.col(id_col).alias("doc_id"), *[f"n_{k}" for k in KINDS], F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("all")).alias("spans")
+        "doc_id",
+        *[f"n_{k}" for k in KINDS],
+        F.sha2(joined(F.col("base")), 256).alias("base_sha256"),
+        joined(F.filter("all", lambda s: ~secret(s))).alias("spans"),
+        joined(F.filter("all", secret)).alias("secrets"),
+        F.size("all").cast("long").alias("n_found"),
     )
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None) -> DataFrame:
-    """docs with every span of its text replaced by its kind in brackets; null texts stay null."""
-    others = tuple(c for c in docs.columns if c != id_col)
-    got = spans(docs, id_col, text_col, model, others)
-    names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+    """docs with every span of its text replaced by its kind in brackets; null texts stay null.
+
+    Columns may have any names: they travel in one column while spans are looked for.
+    """
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    held = docs.select(own.alias("own"), F.col(f"`{text_col}`").alias("text"), F.lit(None).cast("long").alias("id"))
+    got = spans(held, "id", "text", model, ("own", "text"))
+    names = F.array(*[F.lit(f"[{k.upper()}]") for k in EVERY])
     ordered = F.array_sort(F.transform(F.col("all"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    text = F.col(text_col)
+    text = F.col("text")
 
     def built(x: Column) -> Column:
         ends, parts = x["ends"], x["parts"]  # ends: the greatest end of the spans up to each
@@ -337,4 +392,5 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
 
     ends = _scan(ordered, F.lit(0), lambda at, s: F.greatest(at, s["end"]), "int")
     built = _let(F.struct(ordered.alias("ordered"), ends.alias("ends"), _parts(text).alias("parts")), built)
-    return got.withColumn(text_col, F.when(F.size("all") == 0, text).otherwise(built)).select(*docs.columns)
+    new = F.when(F.size("all") == 0, text).otherwise(built)
+    return got.select(*[(new if c == text_col else F.col("own").getField(c)).alias(c) for c in docs.columns])

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from loomline.llm import simhash
 from loomline.llm.components import components
-from loomline.llm.store import save
+from loomline.llm.store import save, unused
 
 WORDS = 5
 #: Documents and shingles that set the order of shingles. Any order gives the same result.
@@ -171,7 +171,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows with a null id stay. Of rows that repeat an id, each is judged by its own text, so no group of texts goes
     whole; rows that repeat id and text stay or go together. Other columns are kept; an empty table gives an empty one.
     """
-    gone = groups(docs, id_col, text_col, words).where("id <> component_id").select(*(F.col(k).alias(f"_gone_{k}") for k in ("id", "ta", "tb"))).distinct()
+    keys = dict(zip(("id", "ta", "tb"), unused(docs, "gone_id", "gone_ta", "gone_tb")))
+    gone = groups(docs, id_col, text_col, words).where("id <> component_id").select(*(F.col(k).alias(n) for k, n in keys.items())).distinct()
     ta, tb = _digests(F.col(text_col).cast("string"))
-    same = (F.col(id_col).cast("long") == F.col("_gone_id")) & (ta == F.col("_gone_ta")) & (tb == F.col("_gone_tb"))
+    same = (F.col(id_col).cast("long") == F.col(keys["id"])) & (ta == F.col(keys["ta"])) & (tb == F.col(keys["tb"]))
     return docs.join(gone, same, "left_anti")

@@ -29,3 +29,13 @@ def save(df: DataFrame, name: str, most: int | None = None) -> DataFrame:
     path = f"{shared_dir(spark)}/loomline/{name}-{uuid.uuid4().hex}"
     (df.coalesce(most) if most else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """names, each with as many underscores after it as it takes to be none of df's columns, whatever their case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out

@@ -219,24 +219,59 @@ def test_distance():
         assert lines.distance(a, b, k) == (d if d <= k else None)
 
 
+def thirds(n, pieces):
+    """Start and end of so many even pieces of n units, longer ones last."""
+    sizes = [n // pieces + (i >= pieces - n % pieces) for i in range(pieces)]
+    return [(sum(sizes[:i]), sum(sizes[: i + 1])) for i in range(pieces)]
+
+
+def edits_allowed(n):
+    return min(2, (n + n // 10**6) // 5)
+
+
+def slow_keys(line):
+    """What a line is filed under and what it looks for: unit, length, pieces, piece and its units."""
+    words = line.split(" ")
+    filed, sought = set(), set()
+    for unit, parts, least in (("word", words, lines.LONG), ("char", list(line), lines.SHORTEST)):
+        n = len(parts)
+        if n < least or (unit == "char" and len(words) >= lines.LONG + 2):
+            continue
+        for gap in range(3):
+            if edits_allowed(n + gap) >= max(gap, 1):
+                pieces = edits_allowed(n + gap) + 1
+                filed |= {(unit, n, pieces, i, tuple(parts[x:y])) for i, (x, y) in enumerate(thirds(n, pieces))}
+        most = edits_allowed(n)
+        for gap in range(most + 1 if most else 0):
+            if n - gap >= least:
+                for i, (x, y) in enumerate(thirds(n - gap, most + 1)):
+                    for at in range(max(0, x - i, x + gap - (most - i)), min(x + i, x + gap + most - i, n - (y - x)) + 1):
+                        sought.add((unit, n - gap, most + 1, i, tuple(parts[at : at + y - x])))
+    return filed, sought | filed
+
+
 def slow_near(a, b):
     x, y = a.split(" "), b.split(" ")
-    apart = max(sum((Counter(p) - Counter(q)).values()) for p, q in ((a, b), (b, a)))  # that many edits at least
-    if apart > 0.2 * max(len(a), len(b)):
-        return False
-    if min(len(x), len(y)) < lines.LONG:
-        return apart <= 2 and edits(a, b) <= min(2, 0.2 * max(len(a), len(b)))
-    return edits(x, y) <= 2 and edits(a, b) <= 0.2 * max(len(a), len(b))
+    x, y = (x, y) if min(len(x), len(y)) >= lines.LONG else (a, b)
+    return lines.distance(x, y, max(len(x), len(y)) // 5) is not None  # which test_distance holds against the whole table
 
 
 def brute_lines(docs):
+    """Lines that go: near lines are those that share a place that a line is filed under, at a similarity of 0.8."""
     where = defaultdict(list)
     for i, t in docs:
         for n, line in enumerate((t or "").split("\n")):
             if line.strip(" \t\r") and i is not None:
                 where[line].append((i, n))
     texts = sorted(where)
-    pairs = [(a, b) for a in range(len(texts)) for b in range(a) if abs(len(texts[a]) - len(texts[b])) < 200 and slow_near(texts[a], texts[b])]
+    at, good = defaultdict(list), set()
+    for k, t in enumerate(texts):
+        filed, every = slow_keys(t)
+        good |= filed
+        for key in every:
+            at[key].append(k)
+    tried = {(a, b) for key in good for a in at[key] for b in at[key] if b < a}
+    pairs = [(a, b) for a, b in tried if slow_near(texts[a], texts[b])]
     roots, first = least_roots(len(texts), pairs), {}
     for k, t in enumerate(texts):
         first[roots[k]] = min(first.get(roots[k], (1 << 60, 0)), min(where[t]))
@@ -268,7 +303,7 @@ def test_lines(spark, monkeypatch, block):
     docs += [(300, "abcd\nabcde\nabcdf"), (301, "\t\r\n \n\t\r"), (90, None), (91, ""), (92, "\n \n"), (None, base[0]), (93, "x" * 50_000), (94, "ab " * 2000)]
     rows = [(i, t, "x", 1, 2) for i, t in docs]
     frame = spark.createDataFrame(rows, DOC).repartition(5)
-    gone = brute_lines(docs[:-2])
+    gone = brute_lines(docs)
     got = {x.doc_id: x for x in lines.document_classes(frame).collect()}
     for i, t in docs:
         assert {int(p.split(":")[0]) for p in got[i].dropped.split(",") if p} == gone.get(i, set())
@@ -280,6 +315,25 @@ def test_lines(spark, monkeypatch, block):
     assert lines.dedup_lines(frame).columns == frame.columns and lines.document_classes(frame.limit(0)).count() == 0
 
 
+def test_lines_within_two_edits_are_all_found(spark):
+    """Lines of words with up to two words, and shorter lines with up to two characters, inserted, deleted or replaced."""
+    r = random.Random(11)
+    docs, near = [], set()
+    for k in range(150):
+        if k % 2:
+            one = [f"w{r.randrange(10**6)}" for _ in range(r.randint(18, 60))]
+            other = worded(r, one, 2)
+        else:
+            one = [r.choice("abcdefghijklmnop ") for _ in range(r.randint(12, 60))]
+            other = varied(r, "".join(one), 2)
+        text = (" " if k % 2 else "").join(one)
+        if text.strip() and other.strip() and text != other:
+            docs += [(2 * k, text), (2 * k + 1, other)]
+            near.add(2 * k + 1)
+    got = lines.document_classes(spark.createDataFrame(docs, "doc_id long, text string")).where("dropped <> ''").collect()
+    assert {x.doc_id for x in got} == near and all(x.dropped == f"0:{x.doc_id - 1}:0" for x in got)
+
+
 def test_crowded_lines(spark):
     """A third of the lines are near copies of one; they make rows in line with their number."""
     r = random.Random(4)

@@ -26,7 +26,7 @@ def test_stages(spark):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_equals_sql(spark, name):
     con = duckdb.connect()
-    for table in ("pages", "embeddings", "documents"):
+    for table in ("pages", "embeddings", "documents", "conversations"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{SF}/{table}.parquet')")
     got = queries.queries()[name](spark, SF).toPandas()
     want = con.execute(queries.oracle_sql()[name]).df()[list(got.columns)]
@@ -78,6 +78,21 @@ def test_repeated_ids_lose_no_group(spark):
     assert [r.node for r in kept.collect() if not r.doc_id] == [4] and corpus_pipeline.keep_one_of_near_copies(spark, docs.limit(0), SF).count() == 0
 
 
+def test_stages_keep_columns_of_any_name(spark):
+    """Every name that the stages use for a column of their own, with its values kept."""
+    names = "gone gone_id gone_ta gone_tb _gone _gone_id _gone_ta _gone_tb ha hb n line key a b own root node id ta tb da db fp keys keeper first copies exact base all n_email _good _proposed _email component_id t start end".split()
+    prose = "The committee read the report with care, and its members agreed that the harbour needs a wider entrance by spring. "
+    texts = [prose + "Mail a@b.org.", prose + "Mail a@b.org.\nmore of it", prose * 2, None]
+    rows = [(i, t, "en", "s", 5, *[f"{n}{i}" for n in names]) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, SF)
+        assert kept.columns == docs.columns
+        assert {tuple(r)[5:] for r in kept.collect()} <= {r[5:] for r in rows}
+    assert {r.doc_id: r.gone for r in corpus_pipeline.drop_repeated_lines(spark, docs, SF).collect()} == {i: f"gone{i}" for i in range(4)}
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).where("doc_id is null").count() == 0
+
+
 def test_stages_of_odd_rows(spark):
     """Nulls in every column, empty and repeated texts, repeated ids and extra columns whose names the operators use."""
     prose = "The committee read the report with care, and its members agreed that the harbour needs a wider entrance. "

@@ -198,7 +198,44 @@ def test_pii_holds_out(spark):
     scored = rows.select("y", F.explode(pii.candidates(F.col("t"))).alias("c")).select("y", (pii.score((start, leaves, cut), lambda k: F.col("c")[k]) >= cut).alias("p"))
     counts = Counter((r.y, r.p) for r in scored.collect())
     assert counts[1, True] / (counts[1, True] + counts[0, True]) > 0.95
-    assert counts[1, True] / (counts[1, True] + counts[1, False]) > 0.5
+    assert counts[1, True] / (counts[1, True] + counts[1, False]) > 0.75
+
+
+PERSONAL = (
+    ("phone", "Please call me at {} before noon.", "555-123-4567"), ("phone", "Our phone number is {}.", "0171 234 5678"), ("phone", "You can reach us on {}, day and night.", "(415) 555-2671"),
+    ("phone", "{} is my mobile, text me.", "212.555.0199"), ("phone", "Telefon: {}", "030 1234 5678"), ("email", "Write to {} for a copy.", "jane at example dot org"), ("email", "mail {} please", "jo.doe (at) mail [dot] com"),
+    ("email", "Contact: {}.", "ann at post dot de"), ("ip", "The host answers on {} only.", "2001:db8::8a2e:370"), ("ip", "address {} was seen", "fe80::1ff:fe23:4567"), ("ip", "from {} came", "2001:0db8:85a3:0000:0000:8a2e:0370:7334"),
+    ("card", "visa: {} expires", "3782-822463-10005"), ("secret", 'token = "{}" in the file', "04dbebab91ab85687d33eeaaf9ac699e1188f962"), ("secret", "api_key: {}", "Zx81kLmN0pQrStUv92Ab3c"), ("secret", "use {} now", "ghp_abcDEF0123456789abcDEF0123456789abcd"),
+)
+HARMLESS = (
+    "We arrived at noon dot matrix printers were loud.", "Order 555-123-4567 has shipped.", "part no 212.555.0199 is out of stock", "The score was 123 456 7890 to none of us today my friends.", "std::vector and a::b are names",
+    "see ISBN 978 1234 567 for more", "token = default_value", "password: required_field", "The secret: never-ending patience.", "He met her at school.house one day.", "lot 0171 234 5678 units", "version 2.10.3 of 12 345 6789 pages", "at 12:30::45 the clock stopped",
+)
+
+
+def test_pii_of_what_people_write(spark):
+    """Planted texts: at least nine in ten kinds of personal data are found whole, and harmless texts have no span."""
+    filler = "The harbour master read the long report twice and put it away. "
+    rows, want = [], {}
+    for i, (kind, frame_text, m) in enumerate(PERSONAL):
+        for n, pad in enumerate(("", filler, filler * 200)):
+            text = pad + frame_text.format(m) + " " + pad
+            rows.append((i * 3 + n, text))
+            want[i * 3 + n] = f"{kind}:{text.index(m)}:{text.index(m) + len(m)}"
+    rows += [(1000 + i, filler + t + " " + filler) for i, t in enumerate(HARMLESS)]
+    got = {r.doc_id: r for r in pii.detect(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    missed = [rows[i][1][-90:] for i, w in want.items() if w not in (got[i].spans + "," + got[i].secrets).split(",")]
+    wrong = [t for i, t in rows if i >= 1000 and got[i].n_found]
+    assert len(missed) <= 0.1 * len(want), missed
+    assert not wrong
+
+
+def test_redact_keeps_columns_of_any_name(spark):
+    names = ["base", "all", "n_email", "n_ip", "n_card", "n_phone", "_good", "_proposed", *[f"_{k}" for k in pii.KINDS], "own", "id", "start", "end", "kind", "rank", "a.b", "m"]
+    docs = spark.createDataFrame([(1, "mail a@b.org", *[f"v{i}" for i in range(len(names))]), (None, None, *names)], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    got = pii.redact(docs, model=(0.0, [], 1.0))
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, "mail [EMAIL]", *[f"v{i}" for i in range(len(names))]), (None, None, *names)], key=str)
 
 
 def test_bpe(spark):
@@ -252,9 +289,9 @@ def slow_pieces(text, tokenizer, limit):
 @pytest.mark.parametrize("limit", [2048, 16])
 def test_packing(spark, limit):
     tokenizer = Tokenizer.from_file(WORDS)
-    tokenizer.encode_special_tokens = True
     r = random.Random(8)
-    texts = ODD + [" ".join("".join(r.choice("abcdeÉß.,'1") for _ in range(r.randint(1, 7))) for _ in range(r.randint(1, 300))) for _ in range(120)]
+    texts = ODD + ["".join(r.choice(["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|", "a", "É", "'s", " ", "\n", "1"]) for _ in range(r.randint(0, 12))) for _ in range(200)]
+    texts += [" ".join("".join(r.choice("abcdeÉß.,'1") for _ in range(r.randint(1, 7))) for _ in range(r.randint(1, 300))) for _ in range(120)]
     docs, all_texts = frame(spark, texts)
     got = packing.pack(docs, WORDS, limit).collect()
     want = Counter((None if t == "null id" else i if i < len(texts) else len(texts) - 1, *p) for i, t in enumerate(all_texts) for p in slow_pieces(t, tokenizer, limit))
