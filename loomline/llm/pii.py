@@ -11,7 +11,6 @@ Everything is one narrow projection: no shuffle, and texts without a kind's trig
 from __future__ import annotations
 
 import random
-from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,7 +55,7 @@ AFTER = {
 }
 ENDING = r"(?i)(?:\.|dot\W{0,2}\x20?)(?:com|org|net|edu|gov|info|io|de|fr|es|uk|eu|it|ch|at|nl)$"
 BEFORE, BEYOND = 48, 32  # code points of context
-TRAIN, TREES, DEPTH, SEED, PRECISION = 4800, 24, 4, 2, 0.98
+TRAIN, TREES, DEPTH, SEED, PRECISION = 4800, 16, 3, 2, 0.98
 FEATURES = ("kind", "chars", "digits", "letters", "marks", "luhn", "brackets", "dots", "joined_at", "ending", "doubled", "area", *CUES, *AFTER)
 _BLOCK, _PART = 256, 4096  # spans folded at once; code points of a piece of text
 
@@ -152,11 +151,11 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.filter(matches(text, BASE[kind], TRIGGER[kind]), lambda s: _passes(kind, s["m"]))
 
 
-def _features(kind: int, m: Column, before: Column, after: Column) -> list[Column]:
+def _features(kind: Column, m: Column, before: Column, after: Column) -> list[Column]:
     digits = _digits(m)
     told = lambda x, p: F.rlike(x, F.lit(p)).cast("double")
     out = [
-        F.lit(float(kind)).alias("kind"),
+        kind.cast("double").alias("kind"),
         F.length(m).cast("double").alias("chars"),
         F.length(digits).cast("double").alias("digits"),
         F.length(F.regexp_replace(m, "[^\\p{L}]", "")).cast("double").alias("letters"),
@@ -175,18 +174,20 @@ def _features(kind: int, m: Column, before: Column, after: Column) -> list[Colum
 def candidates(text: Column) -> Column:
     """Spans that the generators propose, with their features."""
 
-    def featured(kind: str, found: Column) -> Column:
-        """The found spans with features; the text is cut into parts only where there are some."""
+    def named(kind: str, found: Column) -> Column:
+        return F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(EVERY.index(kind)).alias("kind"), s["m"].alias("m")))
 
-        def one(parts: Column, s: Column) -> Column:
-            before = _between(parts, F.greatest(s["start"] - BEFORE, F.lit(0)), s["start"])
-            after = _between(parts, s["end"], F.least(s["end"] + BEYOND, F.length(text)))
-            beside = F.struct(before.alias("before"), after.alias("after"))
-            return _let(beside, lambda b: F.struct(s["start"].alias("start"), s["end"].alias("end"), *_features(EVERY.index(kind), s["m"], b["before"], b["after"])))
+    def one(parts: Column, s: Column) -> Column:
+        before = _between(parts, F.greatest(s["start"] - BEFORE, F.lit(0)), s["start"])
+        after = _between(parts, s["end"], F.least(s["end"] + BEYOND, F.length(text)))
+        beside = F.struct(before.alias("before"), after.alias("after"))
+        return _let(beside, lambda b: F.struct(s["start"].alias("start"), s["end"].alias("end"), *_features(s["kind"], s["m"], b["before"], b["after"])))
 
+    def featured(found: Column) -> Column:
+        """The found spans with features; the text is cut into parts only where there are some."""
         return _let(F.when(F.size(found) > 0, _parts(text)), lambda parts: F.transform(found, lambda s: one(parts, s)))
 
-    return F.concat(*[_let(matches(text, pattern, trigger), partial(featured, kind)) for kind, trigger, pattern in GENERATORS])
+    return _let(F.concat(*[named(kind, matches(text, pattern, trigger)) for kind, trigger, pattern in GENERATORS]), featured)
 
 
 Model = tuple[float, list[tuple[Path, float]], float]
