@@ -177,15 +177,16 @@ def candidates(text: Column) -> Column:
     def named(kind: str, found: Column) -> Column:
         return F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(EVERY.index(kind)).alias("kind"), s["m"].alias("m")))
 
-    def one(parts: Column, s: Column) -> Column:
-        before = _between(parts, F.greatest(s["start"] - BEFORE, F.lit(0)), s["start"])
-        after = _between(parts, s["end"], F.least(s["end"] + BEYOND, F.length(text)))
+    def one(whole: Column, s: Column) -> Column:
+        before = _between(whole["parts"], F.greatest(s["start"] - BEFORE, F.lit(0)), s["start"])
+        after = _between(whole["parts"], s["end"], F.least(s["end"] + BEYOND, whole["size"]))
         beside = F.struct(before.alias("before"), after.alias("after"))
         return _let(beside, lambda b: F.struct(s["start"].alias("start"), s["end"].alias("end"), *_features(s["kind"], s["m"], b["before"], b["after"])))
 
     def featured(found: Column) -> Column:
-        """The found spans with features; the text is cut into parts only where there are some."""
-        return _let(F.when(F.size(found) > 0, _parts(text)), lambda parts: F.transform(found, lambda s: one(parts, s)))
+        """The found spans with features; the text is cut into parts, and measured, only where there are some."""
+        whole = F.when(F.size(found) > 0, F.struct(_parts(text).alias("parts"), F.length(text).alias("size")))
+        return _let(whole, lambda w: F.transform(found, lambda s: one(w, s)))
 
     return _let(F.concat(*[named(kind, matches(text, pattern, trigger)) for kind, trigger, pattern in GENERATORS]), featured)
 
