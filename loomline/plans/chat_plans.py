@@ -83,11 +83,18 @@ def message_types(spark, sf_dir):
 
 
 def reciprocity(spark, sf_dir):
-    """Each assistant turn against the user turns of its conversation before it."""
+    """Each assistant turn against the last three user turns of its conversation before it.
+
+    Users' turns are numbered, and a frame over that number holds the last three and no more text.
+    """
     from pyspark.sql import Window
 
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    t = turns(spark, sf_dir).withColumn("partner", F.collect_list(F.when(F.col("role") == "user", F.col("text"))).over(w)).where("role = 'assistant'")
+    own = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
+    said = (F.col("role") == "user") & F.col("text").isNotNull()
+    t = turns(spark, sf_dir).withColumn("seen", F.sum(F.coalesce(said, F.lit(False)).cast("long")).over(own))
+    last = Window.partitionBy("conv_id").orderBy("seen").rangeBetween(-2, 0)
+    each = F.collect_list(F.when(said, F.struct("seen", "text"))).over(last)
+    t = t.withColumn("partner", F.transform(F.array_sort(each), lambda x: x["text"])).where("role = 'assistant'")
     return t.select("conv_id", "turn", chat.reciprocal(F.col("partner"), F.col("text")).alias("keep"))
 
 

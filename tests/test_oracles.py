@@ -36,7 +36,7 @@ def test_equals_sql(spark, duck, name):
 
 
 #: Tested against brute force in test_chat, test_catalogue and test_exports.
-WITHOUT_SQL = {"mojibake_repair", "ocr_clean", "rate_limit_batch", "overlap_dedupe", "edited_pairs", "fuzzy_coverage", "nfkd_tokens", "slot_waits", "drift_sessions", "topic_sessions", "taken_suffixes"}
+WITHOUT_SQL = {"mojibake_repair", "ocr_clean", "rate_limit_batch", "overlap_dedupe", "edited_pairs", "fuzzy_coverage", "nfkd_tokens", "slot_waits", "drift_sessions", "topic_sessions", "taken_suffixes", "language_ids"}
 
 
 def test_all_others_have_sql():
@@ -101,3 +101,32 @@ def test_taken_suffixes_of_parts(spark, duck):
     parts = duck.execute("SELECT p_partkey, p_type || CASE WHEN p_partkey % 7 = 0 THEN ' (' || (p_partkey % 5 + 1) || ')' ELSE '' END FROM part ORDER BY p_partkey").fetchall()
     want = dict(zip([k for k, _ in parts], slow_suffixes([n for _, n in parts])))
     assert {r.p_partkey: r.name for r in registry.queries()["taken_suffixes"](spark, SF).collect()} == want
+
+
+def test_languages(spark, duck):
+    """The joined table gives what a loop over trigrams gives, and held-out documents mostly get their own language."""
+    import math
+    import zlib
+    from collections import Counter, defaultdict
+
+    import regex
+
+    docs = duck.execute("SELECT doc_id, text, lang FROM documents").fetchall()
+    grams = lambda t: [x for p in [" " + regex.sub(r"[^\p{L}\p{M}]+", " ", t.lower()).strip(" ") + " "] for x in (p[i : i + 3] for i in range(len(p) - 2))]
+    held = {d: zlib.crc32(str(d).encode()) % 5 == 0 for d, *_ in docs}
+    counts = defaultdict(Counter)
+    for d, t, lang in docs:
+        if not held[d]:
+            counts[lang].update(grams(t))
+    total = sum(counts.values(), Counter())
+    kept = sorted(total, key=lambda g: (-total[g], g.encode()))[:3000]
+    size = {lang: sum(c[g] + 0.5 for g in kept) for lang, c in counts.items()}
+    weight = {lang: {g: math.log((c[g] + 0.5) / size[lang]) for g in kept} for lang, c in counts.items()}
+    got = {r.doc_id: r for r in registry.queries()["language_ids"](spark, SF).collect()}
+    for d, t, _ in docs:
+        known = [g for g in grams(t) if g in weight["en"]]
+        scores = {lang: sum(w[g] for g in known) for lang, w in weight.items()}
+        best = min(scores, key=lambda lang: (-scores[lang], lang)) if known else None
+        assert got[d].language == best or abs(scores[best] - scores[got[d].language]) < 1e-6
+    right = [got[d].language == lang for d, _, lang in docs if held[d]]
+    assert sum(right) / len(right) > 0.9
