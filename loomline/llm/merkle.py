@@ -137,7 +137,7 @@ def _paths(rounds: list[DataFrame], above: DataFrame) -> DataFrame:
 def _ranked(rows: DataFrame, order: list[str], name: str) -> tuple[DataFrame, int]:
     """rows with pos, their place in their group k, and n, the group's rows; and the largest group's rows."""
     placed = running(rows.withColumn("pos", F.lit(1).cast("long")), ["k"], order, ["pos"], name).withColumn("pos", F.col("pos") - 1)
-    sizes = save(rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")), f"{name}-sizes", 1)
+    sizes = save(rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")), f"{name}-sizes")
     return placed.join(sizes, "k"), sizes.agg(F.max("n")).first()[0] or 0
 
 
