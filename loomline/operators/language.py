@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomline.operators.rounds import stored
 
-MAX_ROWS, MAX_GRAMS = 20_000, 3_000
+MAX_ROWS, MAX_GRAMS, MAX_LANGUAGES = 20_000, 3_000, 500
 
 
 def trigrams(text: Column) -> Column:
@@ -21,13 +21,16 @@ def learnt(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
 
     Texts are taken by a hash of their id, so that any table gives the same ones. weight is the logarithm of the gram's
     smoothed share among the language's grams; every language has every gram of the model. Rows without a language
-    take no part.
+    take no part; more than MAX_LANGUAGES languages are an error.
     """
     some = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("t"), F.xxhash64(id_col).alias("h"))
     some = some.orderBy("h").limit(most)
     counts = stored(some.select("lang", F.explode(trigrams(F.col("t"))).alias("gram")).groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n")))
     kept = counts.groupBy("gram").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "gram").limit(grams).select("gram")
-    every = kept.crossJoin(F.broadcast(counts.select("lang").distinct()))  # grams times languages, both bounded
+    languages = sorted(r[0] for r in counts.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
+    if len(languages) > MAX_LANGUAGES:
+        raise ValueError(f"over {MAX_LANGUAGES} languages")
+    every = kept.withColumn("lang", F.explode(F.array(*[F.lit(x) for x in languages]).cast("array<string>")))
     own = every.join(counts, ["lang", "gram"], "left").withColumn("n", F.coalesce("n", F.lit(0)) + 0.5)
     share = F.col("n") / F.sum("n").over(Window.partitionBy("lang"))
     return stored(own.select("gram", "lang", F.log(share).alias("weight")))
