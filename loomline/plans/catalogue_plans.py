@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from loomline.operators import match, media, runtime
+from loomline.operators import match, media, retrieval, runtime
 from loomline.sources import files
 
 
@@ -50,18 +50,27 @@ _QUERY_SQL = f"""WITH {_TRACKS} SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 TH
  ELSE '"' || p_name || '" ' || artist || ' ' || p_type || ' official audio' END AS query FROM t"""
 
 
+def _searched(spark, sf_dir):
+    """Tracks with the words that a search for them has: the name's and the artist's."""
+    norm = lambda c: match.normalized(F.col(c), ascii_only=True)
+    base = tracks(spark, sf_dir).select("p_partkey", "duration_ms", norm("p_name").alias("norm"), norm("artist").alias("channel"))
+    base = base.withColumn("words", match.meaningful(F.col("norm"))).withColumn("artist_words", match.meaningful(F.col("channel")))
+    return base.withColumn("search", F.concat("words", "artist_words"))
+
+
 def candidates(spark, sf_dir):
-    """Pairs of tracks of one brand and size that share a word of their names, found by an equi-join on the word."""
-    base = tracks(spark, sf_dir).withColumn("norm", match.normalized(F.col("p_name"), ascii_only=True)).withColumn("words", match.meaningful(F.col("norm")))
-    words = base.select("p_partkey", "artist", (F.col("duration_ms")).alias("ms"), F.explode(F.array_distinct("words")).alias("w"))
-    a, b = words.alias("a"), words.alias("b")
-    on = (F.col("a.w") == F.col("b.w")) & (F.col("a.artist") == F.col("b.artist")) & (F.col("a.ms") == F.col("b.ms")) & (F.col("a.p_partkey") != F.col("b.p_partkey"))
-    pairs = a.join(b, on).select(F.col("a.p_partkey").alias("track"), F.col("b.p_partkey").alias("candidate")).distinct()
-    left = base.select(F.col("p_partkey").alias("track"), F.col("words").alias("expected"), F.col("duration_ms"), match.meaningful(match.normalized(F.col("artist"), ascii_only=True)).alias("artist_words"))
-    right = base.select(F.col("p_partkey").alias("candidate"), F.col("norm").alias("title"), F.col("words").alias("actual"), match.normalized(F.col("artist"), ascii_only=True).alias("channel"), (F.col("duration_ms") / 1000).cast("int").alias("seconds"))
+    """The 15 tracks that share most with a track's search words, rare words weighing more, with their place."""
+    base = _searched(spark, sf_dir)
+    pairs = retrieval.best_matches(base, "p_partkey", "search").select(F.col("p_partkey").alias("track"), F.col("other").alias("candidate"), "weight", F.col("place").alias("rank"))
+    left = base.select(F.col("p_partkey").alias("track"), F.col("words").alias("expected"), "duration_ms", "artist_words")
+    right = base.select(F.col("p_partkey").alias("candidate"), F.col("norm").alias("title"), F.col("words").alias("actual"), "channel", (F.col("duration_ms") / 1000).cast("int").alias("seconds"))
     return pairs.join(left, "track").join(right, "candidate")
 
 
+def candidate_retrieval(spark, sf_dir):
+    return candidates(spark, sf_dir).select("track", "candidate", "weight", F.col("rank").cast("long").alias("place"))
+
+
 def token_coverage(spark, sf_dir):
     c = candidates(spark, sf_dir)
     return c.select("track", "candidate", F.round(match.exact_coverage(F.col("expected"), F.col("actual")), 6).alias("coverage"), match.longest_ordered(F.col("expected"), F.col("actual")).cast("long").alias("ordered"))
@@ -70,10 +79,13 @@ def token_coverage(spark, sf_dir):
 _NORM = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
 _MEANT = f"list_filter(string_split({{}}, ' '), lambda w: length(w) > 1 AND NOT list_contains({list(match.IGNORED)!r}, w))"
 _CANDIDATES = f"""WITH b AS (SELECT p_partkey, p_brand AS artist, p_size * 6000 + 30000 AS ms, {_NORM.format('p_name')} AS norm FROM part),
-w AS (SELECT *, {_MEANT.format('norm')} AS words, {_NORM.format('artist')} AS channel FROM b),
-u AS (SELECT DISTINCT p_partkey, artist, ms, unnest(words) AS word FROM w),
-p AS (SELECT DISTINCT x.p_partkey AS track, y.p_partkey AS candidate FROM u x JOIN u y ON x.word = y.word AND x.artist = y.artist AND x.ms = y.ms AND x.p_partkey <> y.p_partkey),
-c AS (SELECT p.*, l.words AS expected, r.words AS actual, r.norm AS title, {_MEANT.format('l.channel')} AS artist_words, r.channel FROM p JOIN w l ON l.p_partkey = track JOIN w r ON r.p_partkey = candidate),
+d AS (SELECT *, {_MEANT.format('norm')} AS words, {_NORM.format('artist')} AS channel FROM b),
+w AS (SELECT *, {_MEANT.format('channel')} AS artist_words FROM d),
+u AS (SELECT DISTINCT p_partkey, unnest(list_concat(words, artist_words)) AS word FROM w),
+idf AS (SELECT word, CAST(round(1000 * ln((SELECT CAST(count(*) AS DOUBLE) FROM w WHERE len(words) + len(artist_words) > 0) / count(*))) AS BIGINT) AS weight FROM u GROUP BY word),
+g AS (SELECT x.p_partkey AS track, y.p_partkey AS candidate, CAST(sum(weight) AS BIGINT) AS weight FROM u x JOIN u y ON x.word = y.word AND x.p_partkey <> y.p_partkey JOIN idf ON idf.word = x.word WHERE weight > 0 GROUP BY 1, 2),
+p AS (SELECT *, row_number() OVER (PARTITION BY track ORDER BY weight DESC, candidate) AS rank FROM g QUALIFY rank <= 15),
+c AS (SELECT p.*, l.words AS expected, r.words AS actual, r.norm AS title, l.artist_words, r.channel, l.ms, r.ms // 1000 AS secs FROM p JOIN w l ON l.p_partkey = track JOIN w r ON r.p_partkey = candidate),
 v AS (SELECT *, CASE WHEN len(expected) > 0 THEN CAST(len(list_intersect(list_distinct(expected), actual)) AS DOUBLE) / len(list_distinct(expected)) ELSE 0 END AS coverage FROM c)"""
 
 
@@ -91,15 +103,16 @@ def _scored(spark, sf_dir):
         F.lit(False), F.col("seconds"), F.lit(0), F.col("title"), F.col("channel"), F.lit(""),
         {"title": cover, "artist": own, "album": zero, "query": zero}, {"artist": F.size("artist_words"), "album": F.lit(0)}, F.lit(0), F.col("duration_ms"),
     )
-    return c.withColumn("score", value).withColumn("rank", (F.col("candidate") % 4).cast("int"))
+    return c.withColumn("score", value)
 
 
 _BAD = "|".join(match.ALTERNATES)
 _SCORES = (
     _CANDIDATES
-    + f""", s AS (SELECT track, candidate, candidate % 4 AS rank, CAST(CASE WHEN secs < 45 OR secs > 600 OR regexp_matches(title, '(^| )({_BAD})( |$)') OR coverage < 0.8 THEN 0
-  ELSE round_even(coverage * 45, 0) + CASE WHEN len(artist_words) > 0 THEN 25 ELSE 0 END + CASE WHEN contains(channel, 'official') THEN 10 ELSE 0 END + 18 END AS INTEGER) AS score
- FROM (SELECT v.*, (SELECT ms // 1000 FROM b WHERE p_partkey = track) AS secs FROM v))"""
+    + f""", h AS (SELECT *, abs(secs - ms / 1000.0) AS off, CASE WHEN len(artist_words) > 0 THEN CAST(len(list_intersect(list_distinct(artist_words), string_split(channel, ' '))) AS DOUBLE) / len(list_distinct(artist_words)) ELSE 0 END AS by_artist FROM v),
+s AS (SELECT track, candidate, rank, CAST(CASE WHEN secs < 45 OR secs > 600 OR regexp_matches(title, '(^| )({_BAD})( |$)') OR coverage < 0.8 THEN 0
+  ELSE greatest(round_even(coverage * 45, 0) + CASE WHEN len(artist_words) > 0 THEN round_even(by_artist * 25, 0) ELSE 0 END + CASE WHEN by_artist >= 0.8 AND contains(channel, 'official') THEN 10 ELSE 0 END
+   + CASE WHEN off <= 3 THEN 18 WHEN off <= 8 THEN 12 WHEN off <= 15 THEN 5 WHEN off > 30 THEN -20 ELSE 0 END, 0) END AS INTEGER) AS score FROM h)"""
 )
 
 
@@ -431,6 +444,7 @@ QUERIES = {
         _CANDIDATES + """, z AS (SELECT track, candidate, coverage, coalesce(list_max(list_transform(range(1, len(expected) + 1), lambda s: CAST(list_reduce(actual, lambda m, w: CASE WHEN expected[s + CAST(m AS INTEGER)] = w THEN CAST(CAST(m AS INTEGER) + 1 AS VARCHAR) ELSE m END, '0') AS INTEGER))), 0) AS ordered FROM v)
  SELECT track, candidate, round(coverage, 6) AS coverage, CAST(ordered AS BIGINT) AS ordered FROM z""",
     ),
+    "candidate_retrieval": (candidate_retrieval, _CANDIDATES + " SELECT track, candidate, weight, rank AS place FROM v"),
     "fuzzy_coverage": (fuzzy_coverage, None),
     "candidate_scores": (candidate_scores, _SCORES + " SELECT track, candidate, score FROM s"),
     "candidate_topk": (candidate_topk, _SCORES + ", r AS (SELECT *, CAST(row_number() OVER (PARTITION BY track ORDER BY score DESC, rank, candidate) AS INTEGER) AS place FROM s) SELECT track, candidate, score, place FROM r WHERE place <= 3"),
