@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomline.functions import text as T
-from loomline.operators.folds import folded
+from loomline.operators.folds import folded_in_pieces
 
 HOUR = 3_600_000_000  # microseconds
 
@@ -203,7 +203,8 @@ def reciprocal(partner: Column, response: Column, high: int = 150, low: int = 15
 def rate_limited(rows: DataFrame, key: str, ts: str, order: str, most: int = 10, seconds: int = 60) -> DataFrame:
     """rows (key, order, ts) with admitted: at most so many admitted ones of a key within the last seconds.
 
-    Refused submissions do not count, so each key is folded in order, with the last admitted times as state.
+    Refused submissions do not count, so each key is folded in order, with the last admitted times as state, in pieces
+    that begin where nothing was submitted for longer than the seconds before.
     """
     from collections import deque
 
@@ -218,4 +219,5 @@ def rate_limited(rows: DataFrame, key: str, ts: str, order: str, most: int = 10,
         held.append(row.t)
         return True
 
-    return folded(timed, key, ["t", order], deque, step, "admitted boolean").drop("t")
+    idle = F.col("t") - F.lag("t").over(Window.partitionBy(key).orderBy("t", order)) > span
+    return folded_in_pieces(timed, key, ["t", order], idle, deque, step, "admitted boolean").drop("t", "fresh")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomline.operators.chat import HOUR, adaptive_length
-from loomline.operators.folds import folded
+from loomline.operators.folds import folded_in_pieces
 
 # Shortest text with a meaning, least cosine of one topic, messages a topic must last, and the texts that
 # stand around posts.
@@ -29,20 +29,30 @@ def _micros_since_epoch(ts: str) -> Column:
     return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {ts})")
 
 
+def _numbered(cuts: DataFrame) -> DataFrame:
+    """chat, seq, session of rows that say whether they start one."""
+    so_far = Window.partitionBy("chat").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    return cuts.select("chat", "seq", F.count_if(F.col("fresh") | F.col("cut")).over(so_far).alias("session"))
+
+
 def drift_sessions(messages: DataFrame, target: str, hard: float = 2.0, soft: float = 4.0) -> DataFrame:
     """chat, seq and session of messages (chat, seq, ts, sender, chars, vector), counted from 0 in each chat.
 
     The gaps of chat.sessions() start a session, and so does a message of target whose vector is, on average, less than
     ALIKE to those of the session's last LASTING messages. Messages under MEANT characters or without a vector count as
-    no meaning; without any to compare with, nothing drifts. A cut depends on the cuts before it: a fold in order.
+    no meaning; without any to compare with, nothing drifts. A cut depends on the cuts before it: a fold in order, in
+    pieces that begin at the gaps that start a session in any case.
     """
+    order = Window.partitionBy("chat").orderBy("seq")
     rows = messages.select("chat", "seq", "sender", "chars", _micros_since_epoch("ts").alias("t"), F.transform("vector", lambda x: x.cast("double")).alias("vector"))
+    rows = rows.withColumn("before", F.lag("sender").over(order))
 
     def start() -> dict:
-        return {"session": 0, "t": None, "said": [None, None], "recent": []}
+        return {"t": None, "said": None, "recent": []}
 
-    def step(state: dict, row) -> int:
+    def step(state: dict, row) -> bool:
         vector = np.asarray(row.vector) if row.vector is not None and row.chars >= MEANT else None
+        cut = False
         if state["t"] is not None:
             burst = state["said"] == [row.sender, row.sender]
             cut = row.t - state["t"] > (soft if burst else hard) * HOUR
@@ -50,47 +60,56 @@ def drift_sessions(messages: DataFrame, target: str, hard: float = 2.0, soft: fl
                 near = [_cosine(vector, v) for v in state["recent"] if v is not None]
                 cut = bool(near) and sum(near) / len(near) < ALIKE
             if cut:
-                state["session"] += 1
                 state["recent"] = []
         state["t"] = row.t
-        state["said"] = [state["said"][1], row.sender]
+        state["said"] = [row.before, row.sender]
         state["recent"] = [*state["recent"], vector][-LASTING:]
-        return state["session"]
+        return cut
 
-    return folded(rows, "chat", ["seq"], start, step, "session long").select("chat", "seq", "session")
+    sure = F.col("t") - F.lag("t").over(order) > max(hard, soft) * HOUR
+    return _numbered(folded_in_pieces(rows, "chat", ["seq"], sure, start, step, "cut boolean"))
 
 
 def topic_sessions(messages: DataFrame, hard: float = 2.0, soft: float = 3.0) -> DataFrame:
-    """chat, seq and session of messages (chat, seq, ts, chars, vector), counted from 0 in each chat.
+    """chat, seq and session of messages (chat, seq, ts, sender, chars, vector), counted from 0 in each chat.
 
-    Over hard hours a session ends, unless the gap is at most soft hours and the topic goes on for the LASTING-th time;
-    over half of hard it ends if the topic changes. The topic goes on at a cosine of ALIKE or more with the last vector;
-    messages under MEANT characters or without a vector neither go on nor change it.
+    Over hard hours a session ends, unless its last LASTING messages are one sender's and wait for this answer of
+    another's, or the gap is at most soft hours and the topic goes on for the LASTING-th time; over half of hard it ends
+    if the topic changes. The topic goes on at a cosine of ALIKE or more with the last vector, for which an answer that
+    was waited for does not count; messages under MEANT characters or without a vector neither go on nor change it.
+    Sessions are folded in order, in pieces that begin at the gaps that end one in any case.
     """
-    rows = messages.select("chat", "seq", "chars", _micros_since_epoch("ts").alias("t"), F.transform("vector", lambda x: x.cast("double")).alias("vector"))
+    order = Window.partitionBy("chat").orderBy("seq")
+    rows = messages.select("chat", "seq", "sender", "chars", _micros_since_epoch("ts").alias("t"), F.transform("vector", lambda x: x.cast("double")).alias("vector"))
 
     def start() -> dict:
-        return {"session": 0, "t": None, "topic": None, "times": 0}
+        return {"t": None, "topic": None, "times": 0, "said": []}
 
-    def step(state: dict, row) -> int:
+    def step(state: dict, row) -> bool:
         vector = np.asarray(row.vector) if row.vector is not None and row.chars >= MEANT else None
         gap = 0 if state["t"] is None else row.t - state["t"]
         both = vector is not None and state["topic"] is not None
-        if gap > hard / 2 * HOUR:
-            long = gap > hard * HOUR
+        long, said = gap > hard * HOUR, state["said"]
+        answers = long and len(said) == LASTING and len(set(said)) == 1 and row.sender != said[0]
+        cut = False
+        if gap > hard / 2 * HOUR and not answers:
             same = both and _cosine(state["topic"], vector) >= ALIKE
             judged = both and (gap <= soft * HOUR or not long)
             if judged:
                 state["times"] = state["times"] + 1 if same else 0
             cut = not (judged and same and state["times"] >= LASTING) if long else judged and not same
             if cut:
-                state.update(session=state["session"] + 1, topic=None if long else state["topic"], times=0)
-        if vector is not None:
+                state.update(topic=None if long else state["topic"], times=0, said=[])
+        if vector is not None and not answers:
             state["topic"] = vector
         state["t"] = row.t
-        return state["session"]
+        state["said"] = [*state["said"], row.sender][-LASTING:]
+        return cut
 
-    return folded(rows, "chat", ["seq"], start, step, "session long").select("chat", "seq", "session")
+    who = [F.lag("sender", i).over(order) for i in range(1, LASTING + 1)]
+    awaited = who[0].eqNullSafe(who[1]) & who[1].eqNullSafe(who[2]) & ~F.col("sender").eqNullSafe(who[0])
+    sure = (F.col("t") - F.lag("t").over(order) > max(hard, soft) * HOUR) & ~awaited
+    return _numbered(folded_in_pieces(rows, "chat", ["seq"], sure, start, step, "cut boolean"))
 
 
 def session_contexts(messages: DataFrame, target: Column, least: int = 3) -> DataFrame:

@@ -1,9 +1,11 @@
 """Exports: sessions by meaning against plain loops, file types against the standard library, odd payloads."""
 
 import mimetypes
+import random
 import urllib.parse
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from loomline.operators import exports
@@ -38,6 +40,68 @@ def test_topics_bridge_gaps_once_they_last(spark):
     assert sessions(exports.topic_sessions(talk(spark, [(0, "a", 30, NEAR), (1.5, "b", 5, FAR), (2, "a", 30, FAR)]))) == [0, 0, 0]
 
 
+def test_topics_wait_for_an_answer(spark):
+    burst = [(0, "a", 0, None), (0.1, "a", 0, None), (0.2, "a", 0, None)]
+    assert sessions(exports.topic_sessions(talk(spark, [*burst, (9, "b", 0, None), (20, "b", 0, None)]))) == [0, 0, 0, 0, 1]
+    assert sessions(exports.topic_sessions(talk(spark, [*burst, (9, "a", 0, None), (20, "b", 0, None)]))) == [0, 0, 0, 1, 2]
+    assert sessions(exports.topic_sessions(talk(spark, [*burst[1:], (9, "b", 0, None)]))) == [0, 0, 1]
+
+
+def plain_topics(rows):
+    """The rule over one chat's whole list: each session is kept as a list."""
+    out, session, number, topic, times = [], [], 0, None, 0
+    for i, (hours, sender, chars, vector) in enumerate(rows):
+        meant = vector if chars >= 25 else None
+        gap = hours - rows[i - 1][0] if i else 0
+        same = topic is not None and meant is not None and exports._cosine(topic, meant) >= 0.4
+        fresh = False
+        if session and gap > 2:
+            if len(session) >= 3 and len({s for s in session[-3:]}) == 1 and sender != session[-1]:
+                session.append(sender)
+                out.append(number)
+                continue
+            fresh = True
+            if topic is not None and meant is not None and gap <= 3:
+                times = times + 1 if same else 0
+                fresh = not (same and times >= 3)
+            if fresh:
+                topic = None
+        elif session and gap > 1 and topic is not None and meant is not None:
+            fresh = not same
+            times += 1
+        if fresh:
+            session, number, times = [], number + 1, 0
+        session.append(sender)
+        out.append(number)
+        topic = meant or topic
+    return out
+
+
+def plain_drift(rows):
+    out, number, recent = [], 0, []
+    for i, (hours, sender, chars, vector) in enumerate(rows):
+        meant = vector if chars >= 25 else None
+        if i:
+            burst = i > 1 and rows[i - 1][1] == rows[i - 2][1] == sender
+            near = [exports._cosine(v, meant) for v in recent[-3:] if v] if meant and sender == "me" else []
+            if hours - rows[i - 1][0] > (4 if burst else 2) or near and sum(near) / len(near) < 0.4:
+                number, recent = number + 1, []
+        recent.append(meant)
+        out.append(number)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_sessions_in_pieces(spark, seed):
+    r, at, rows, who = random.Random(seed), 0.0, [], "a"
+    for _ in range(400):
+        at += r.choice([0.25, 0.5, 1.5, 1.5, 2.5, 3.5, 4.5, 8])
+        who = who if r.random() < 0.6 else r.choice(["a", "b", "me"])
+        rows.append((at, who, r.choice([5, 30, 30, 30]), r.choice([NEAR, NEAR, FAR, [0.75, 0.5], None])))
+    assert sessions(exports.topic_sessions(talk(spark, rows))) == plain_topics(rows)
+    assert sessions(exports.drift_sessions(talk(spark, rows), "me")) == plain_drift(rows)
+
+
 def test_no_messages(spark):
     assert sessions(exports.drift_sessions(talk(spark, []), "me")) == sessions(exports.topic_sessions(talk(spark, []))) == []
 
