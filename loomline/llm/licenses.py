@@ -1,12 +1,12 @@
 """Licence scan: a trained paragraph classifier, confirmed by template comparison. DataFrame functions only.
 
-Lines with a licence word are candidates, each with its paragraph: the lines next to it up to a blank one, as a notice
-is wrapped, at most AROUND lines and REACH characters on either side (more than any template takes), at any width. A
-line names families itself or else its paragraph does. Their word n-grams meet a table of weights, learnt by a lasso
+Lines with a licence word are candidates, each with its paragraph: all lines next to it up to a blank one, as a notice
+is wrapped, at any width and length. A line names families itself or else its paragraph does; where that names none, as
+notices of many families may outweigh each other, the lines right around it are looked at alone. Their word n-grams meet a table of weights, learnt by a lasso
 logistic regression with one score for each licence family; a probability below the calibrated threshold is the
 unknown class, and a family stands only if enough of one of its templates' n-grams occur. Every family that stands is
 named, so a choice of two licences names both. Different lines and paragraphs are scored once, paragraphs only where
-their line names none, so a notice that a third of the documents carry costs one paragraph; the joins back are between stored
+a line of theirs names none, so a notice that a third of the documents carry costs one paragraph; the joins back are between stored
 tables, so that adaptive execution can split such a paragraph's rows. The model is fitted on TRAIN
 examples that the module writes itself from the templates, from a fixed seed; the weight table is bounded by MAX_GRAMS.
 """
@@ -16,14 +16,16 @@ from __future__ import annotations
 import random
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomline.llm.store import save
 
 TRIGGER = r"(?i)licen[sc]e|licencia|licenz|lizenz|copyright|copyleft|spdx|warrant|redistribut|public domain|creative commons|permission (?:is|to)|without fee|gnu |mozilla|cc[ -]by|cc0|eupl|wtfpl|mpl |in no event"
 WORD = r"[\p{L}\p{N}]+(?:[.+-][\p{L}\p{N}]+)*+"
-GRAMS, AROUND, REACH = 3, 8, 480
+GRAMS = 3
+AROUND = REACH = (1 << 31) - 1  # lines and characters of a paragraph on either side of a line: all of it
+NEAR_LINES, NEAR = 8, 480  # those looked at once more where the whole paragraph names no family
 TRAIN, SEED, MAX_GRAMS, LASSO, PRECISION, COVER = 3000, 1, 6000, 2e-4, 0.99, 0.6
 
 # Sentences by which licence families are known.
@@ -192,28 +194,23 @@ def paragraph_families(paragraphs: DataFrame, model: Model) -> DataFrame:
     return stands.groupBy("paragraph").agg(F.array_sort(F.collect_set("family")).alias("families"))
 
 
-def _candidates(text: Column) -> Column:
-    """n, line and paragraph of each line with a licence word."""
+def _paragraphs(text: Column) -> Column:
+    """size (lines) and paragraph of each piece of a text that has a licence word; paragraph: null for a piece without one.
 
-    def of(lines: Column) -> Column:
-        def one(n: Column) -> Column:
-            own = F.get(lines, n)
-            filled = lambda x: F.trim(x) != ""
-            before = F.slice(lines, F.greatest(n - AROUND, F.lit(0)) + 1, F.least(n, F.lit(AROUND)))
-            after = F.slice(lines, n + 2, F.lit(AROUND))
-            # up to the next blank line on either side
-            last = F.coalesce(F.array_max(F.transform(before, lambda x, i: F.when(~filled(x), i + 1))), F.lit(0))
-            first = F.coalesce(F.array_min(F.transform(after, lambda x, i: F.when(~filled(x), i))), F.size(after))
-            above = F.array_join(F.slice(before, last + 1, F.size(before) - last), "\n")
-            below = F.array_join(F.slice(after, F.lit(1), first), "\n")
-            run = F.concat_ws("\n", F.right(above, F.lit(REACH)), own, F.left(below, F.lit(REACH)))
-            return F.struct(n.alias("n"), own.alias("line"), run.alias("paragraph"))
+    A text is cut at the line end before each blank line, which goes with it; so a piece's first line may be the empty
+    end of a blank one.
+    """
+    has = lambda x: F.rlike(x, F.lit(TRIGGER))
+    piece = lambda p: F.struct(F.size(F.split(p, "\n", -1)).alias("size"), F.when(has(p), p).alias("paragraph"))
+    cut = F.transform(F.split(text, r"\n *+(?=\n)", -1), piece)
+    return F.when(has(text), cut).otherwise(F.array().cast("array<struct<size:int,paragraph:string>>"))
 
-        places = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.rlike(F.get(lines, i), F.lit(TRIGGER)))
-        return F.transform(places, one)
 
-    split = F.get(F.transform(F.array(F.split(text, "\n", -1)), of), F.lit(0))
-    return F.when(F.rlike(text, F.lit(TRIGGER)), split).otherwise(F.array().cast("array<struct<n:int,line:string,paragraph:string>>"))
+def _near(lines: Column, n: Column) -> Column:
+    """Line n (from 0) of a paragraph with the lines right around it."""
+    above = F.array_join(F.slice(lines, F.greatest(n - NEAR_LINES, F.lit(0)) + 1, F.least(n, F.lit(NEAR_LINES))), "\n")
+    below = F.array_join(F.slice(lines, n + 2, F.lit(NEAR_LINES)), "\n")
+    return F.concat_ws("\n", F.right(above, F.lit(NEAR)), F.get(lines, n), F.left(below, F.lit(NEAR)))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None) -> DataFrame:
@@ -226,13 +223,21 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
     model = model or fit()
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     size = F.when(F.length(text) > 0, F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).otherwise(0)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), size.alias("n_paragraphs"), _candidates(text).alias("each"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), size.alias("n_paragraphs"), _paragraphs(text).alias("each"))
     rows = save(rows, "licence-lines")  # the one scan of the texts; row holds from here on
-    listed = rows.select("row", F.explode("each").alias("e")).select("row", "e.*")
+    before = Window.partitionBy("row").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = rows.select("row", F.posexplode("each").alias("p", "e")).select("row", "p", "e.*")
+    pieces = pieces.withColumn("start", F.coalesce(F.sum("size").over(before), F.lit(0)).cast("int")).drop("size")
+    pieces = save(pieces.where("paragraph is not null"), "paragraphs")
+    listed = pieces.withColumn("all", F.split("paragraph", "\n", -1)).select("row", "p", "start", "all", F.posexplode("all").alias("i", "line"))
+    listed = listed.where(F.rlike("line", F.lit(TRIGGER))).select("row", "p", (F.col("start") + F.col("i")).alias("n"), "line", _near(F.col("all"), F.col("i")).alias("near"))
     own = save(paragraph_families(listed.select(F.col("line").alias("paragraph")), model), "families").withColumnsRenamed({"paragraph": "line", "families": "own"})
-    by_line = save(listed.join(own, "line", "left"), "lines")
-    around = save(paragraph_families(by_line.where("own is null").select("paragraph"), model), "families")
-    told = by_line.join(around, "paragraph", "left").select("row", "n", F.coalesce("own", "families", F.array(F.lit("unknown"))).alias("told"))
+    by_line = save(listed.join(own, "line", "left").drop("line"), "lines")
+    asked = save(pieces.join(by_line.where("own is null").select("row", "p").distinct(), ["row", "p"]).select("row", "p", "paragraph"), "asked")
+    whole = save(paragraph_families(asked.select("paragraph"), model), "families").withColumnsRenamed({"families": "whole"})
+    by_line = save(by_line.join(asked.join(whole, "paragraph").select("row", "p", "whole"), ["row", "p"], "left").select("row", "n", F.coalesce("own", "whole").alias("named"), "near"), "lines")
+    near = save(paragraph_families(by_line.where("named is null").select(F.col("near").alias("paragraph")), model), "families").withColumnsRenamed({"paragraph": "near"})
+    told = by_line.join(near, "near", "left").select("row", "n", F.coalesce("named", "families", F.array(F.lit("unknown"))).alias("told"))
     by_row = told.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("n", "told"))).alias("found"))
     none = F.array().cast("array<struct<n:int,told:array<string>>>")
     joined = rows.drop("each").join(by_row, "row", "left").withColumn("each", F.coalesce("found", none))

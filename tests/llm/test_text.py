@@ -86,6 +86,21 @@ def test_several_licenses(spark):
     assert got[0].found == "2:apache-2.0+mit" and got[0].n_confirmed == 1
 
 
+def test_licenses_of_long_paragraphs(spark):
+    """A notice is read to its end, however narrow or padded, and other paragraphs stay out."""
+    words = "the above notice is kept by the house and altered source versions must be plainly marked as such".split()
+    texts = ["Copyright 2019\n" + "\n".join(words), "\n \n\nCopyright 2019\n\n" + "\n".join(words), "Copyright 2019" + "\n *" + " " * 600 + "altered source versions must be plainly marked as such"]
+    narrow = "\n".join(f"* {w}" for w in TEMPLATE.split())
+    texts += ["x\n\n" + narrow, "license\n" * 3000 + "\n" * 3000 + "released under the mit license"]
+    got = {x.doc_id: x for x in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i].found for i in range(3)] == ["0:zlib", "3:unknown", "0:zlib"]
+    assert got[3].families == "mit"
+    assert got[4].n_candidates == 3001 and got[4].found.endswith(",2999:unknown,6000:mit")
+
+
+TEMPLATE = licenses.TEMPLATES["mit"][4]
+
+
 def test_licenses_slowly(spark):
     r = random.Random(3)
     starts, weights, cut = model = licenses.fit()
