@@ -166,6 +166,24 @@ def resolved(candidates: DataFrame, key: str, url: str, free_form: Column, most:
     return got.withColumn("candidates", F.when(F.col("url").isNull(), F.col("candidates")))
 
 
+def ranked_list(found: Column, most: int) -> Column:
+    """The best of an array of candidate, score and rank, in the order of ranked() with the candidate as tie."""
+    ordered = F.array_sort(F.transform(found, lambda f: F.struct(-f["score"], f["rank"], f["candidate"].alias("candidate"), f["score"].alias("score"))))
+    return F.slice(ordered, 1, most)
+
+
+def resolved_list(found: Column, free_form: Column, most: int = 5) -> Column:
+    """best, url and candidates as resolved() has them, of one row's array of candidate, score and rank."""
+
+    def of(top: Column) -> Column:
+        first = F.get(top, F.lit(0))
+        url = F.when(first["score"] >= F.when(free_form, 60).otherwise(80), first["candidate"])
+        listed = F.transform(top, lambda f, i: F.struct((i + 1).alias("place"), f["candidate"].alias("candidate"), f["score"].alias("score")))
+        return F.struct(first["score"].alias("best"), url.alias("url"), F.when(url.isNull(), listed).alias("candidates"))
+
+    return evaluated_once(ranked_list(found, most), of)
+
+
 def cache_key(title: Column, artist: Column, album: Column, duration_ms: Column) -> Column:
     return F.concat_ws("|", F.lit("v5"), *[F.coalesce(c.cast("string"), F.lit("")) for c in (title, artist, album, duration_ms)])
 

@@ -45,3 +45,29 @@ def test_best_matches(spark, most):
 def test_no_rows(spark):
     frame = spark.createDataFrame([(1, ["a"]), (2, ["a"])], "id long, words array<string>")
     assert told(frame, 5) == {} and told(frame.limit(0), 5) == {}  # a word of every row weighs nothing
+
+
+def test_tasks_by_what_they_give(spark):
+    """An entry of many rows is dealt over several tasks, though all rows read are few."""
+    from pyspark.sql import functions as F
+
+    words = F.when(F.col("id") % 3 > 0, F.array(F.lit("common"))).otherwise(F.array(F.lit("rare")))
+    frame = spark.range(60_000).select("id", words.alias("words"))
+    got = best_matches(frame, "id", "words")
+    sizes = [n for n in got.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
+    assert sum(sizes) == 900_000 and len(sizes) > 1
+
+
+def test_lists_rank_as_rows_do(spark):
+    from pyspark.sql import functions as F
+
+    from loomline.operators import match
+
+    r = random.Random(2)
+    rows = [(k, c, r.choice([0, 59, 60, 79, 80, 90]), rank) for k in range(40) for rank, c in enumerate(r.sample(range(90), r.randint(1, 9)))]
+    frame = spark.createDataFrame(rows, "k int, candidate int, score int, rank int")
+    lists = frame.groupBy("k").agg(F.collect_list(F.struct("candidate", "score", "rank")).alias("found"))
+    for free in (False, True):
+        want = match.resolved(frame.withColumn("seq", F.col("candidate")), "k", "candidate", F.lit(free)).select("k", "best", "url", "candidates").collect()
+        got = lists.select("k", match.resolved_list(F.col("found"), F.lit(free)).alias("r")).select("k", "r.*").collect()
+        assert sorted(got, key=lambda x: x.k) == sorted(want, key=lambda x: x.k)
