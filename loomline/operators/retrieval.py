@@ -73,9 +73,9 @@ def best_lists(rows: DataFrame, key: str, words: str, most: int = 15, own: list[
     shares = F.coalesce("shares", F.lit(1))
     dealt = base.select(F.col("other").alias(key), "entry", "own").join(F.broadcast(large), "entry", "left").withColumn("share", F.pmod(F.xxhash64(key), shares).cast("int"))
     copied = lists.join(F.broadcast(large), "entry", "left").withColumn("share", F.explode(F.sequence(F.lit(0), shares - 1)))
-    tasks = max(-(-number // a_task), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # with fewer a join would deal them anew
-    dealt = dealt.drop("shares").repartition(tasks, "entry", "share")
-    found = dealt.join(copied.drop("shares"), ["entry", "share"]).select(key, "own", F.slice(F.filter("best", lambda x: x["other"] != F.col(key)), 1, most).alias("best"))
+    # both sides, as a join would else deal anew by the entry alone
+    dealt, copied = (x.drop("shares").repartition(-(-number // a_task) or 1, "entry", "share") for x in (dealt, copied))
+    found = dealt.join(copied, ["entry", "share"]).select(key, "own", F.slice(F.filter("best", lambda x: x["other"] != F.col(key)), 1, most).alias("best"))
     return found.where(F.size("best") > 0).withColumn("best", F.transform("best", lambda x: F.struct(x["other"].alias("other"), x["weight"].alias("weight"), x["theirs"].alias("theirs"))))
 
 
