@@ -31,11 +31,11 @@ class Feed(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         new = []
-        for pdf in rows:
-            for code in pdf["code"]:
-                if code is not None and not self.codes.containsKey((code,)):
-                    self.codes.updateValue((code,), (True,))
-                    new.append(code)
+        # each look is a call to the state store, so a code is looked up once however often it comes
+        for code in dict.fromkeys(code for pdf in rows for code in pdf["code"]):
+            if code is not None and not self.codes.containsKey((code,)):
+                self.codes.updateValue((code,), (True,))
+                new.append(code)
         if not self.rounds.exists():
             self.rounds.update((0, bool(new)))
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.round_ms)

@@ -132,6 +132,17 @@ def test_codes_expire_and_sources_end():
     assert [x for x in played(slow, arrivals, 4 * hour) if x[2] == "new"] == [(0, "a", "new"), (hour, "b", "new"), (2 * hour, "a", "new"), (3 * hour, "b", "new")]
 
 
+def test_a_code_is_looked_up_once_a_batch():
+    clock, looks = Clock(), []
+    known = clock.containsKey
+    clock.containsKey = lambda key: looks.append(key) or known(key)
+    feed = feeds.Feed()
+    feed.init(clock)
+    parts = [pd.DataFrame({"code": ["a", "b", "a", None]}), pd.DataFrame({"code": ["b", "c", "a"]})]
+    got = [x.code for f in feed.handleInputRows(("s",), iter(parts), clock) for x in f.itertuples()]
+    assert got == ["a", "b", "c"] and len(looks) == 3
+
+
 def test_feed_on_a_stream(spark, tmp_path):
     rows = [("s", "a"), ("s", "b"), ("s", "a"), ("t", "a"), ("t", None)]
     for n in range(2):
