@@ -69,6 +69,31 @@ def test_what_comes_after_the_watermark_is_left_out(spark, tmp_path):
     assert sorted((x.id, x.gap_us) for x in got.collect()) == [(1, None), (2, 5 * 60_000_000), (4, 55 * 60_000_000), (5, 60_000_000), (6, 60_000_000)]
 
 
+@pytest.mark.parametrize("rule", ["gap", "turn", "closed"])
+def test_state_grows_with_groups_and_not_with_chats(spark, tmp_path, monkeypatch, rule):
+    """Many chats, ids and senders that no text state could hold, in two batches; few keys of state, the batch's sessions."""
+    monkeypatch.setattr(sessions, "GROUPS", 4, raising=False)
+    r = random.Random(7)
+    rows = [(2**60 + c, 2**61 + 1000 * c + i, START + datetime.timedelta(seconds=r.choice([1, 600, 7200, 7201, 9000, 14401]) * i + r.randint(0, 9)), r.choice(["a", "a", "a", "b\x1fc", "", None])) for c in range(150) for i in range(6)]
+    rows.sort(key=lambda x: x[2])
+    made = {"gap": sessions.message_sessions, "turn": lambda m: sessions.message_sessions(m, soft=None), "closed": sessions.closed_sessions}[rule]
+    keys = 0
+    for part in (rows[:450], rows[450:], [(None, None, rows[-1][2] + datetime.timedelta(days=9), None)]):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        out = made(spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in"))
+        query = out.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/state").option("path", f"{tmp_path}/out").trigger(availableNow=True).start()
+        query.awaitTermination()
+        keys = max([keys, *[p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators]])
+    got = spark.read.schema(out.schema).parquet(f"{tmp_path}/out")
+    batch = spark.createDataFrame(rows, SCHEMA).withColumn("seq", F.struct("ts", "id")).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    want = chat.turn_sessions(batch) if rule == "turn" else chat.sessions(batch)
+    columns = ["chat", "id", "session"]
+    if rule == "closed":
+        want, columns = chat.session_stats(want), ["chat", "session", "messages", "senders"]
+    assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
+    assert 0 < keys < 100
+
+
 class Clock:
     """Stands in for a state store and its timers, on a clock that the test moves."""
 
