@@ -14,19 +14,21 @@ from loomline.operators.folds import folded_in_pieces
 
 HOUR = 3_600_000_000  # microseconds
 
-# Notices that a text log mixes with messages, and the form of a message's first line.
+# Notices that a text log mixes with messages, and the form of a message's first line. Notices are looked for
+# anywhere, so of a name before a verb (or after it) the character next to the blank is enough; whole names would be
+# tried from every place of a long line.
 SYSTEM_PATTERNS = (
     "Messages and calls are end-to-end encrypted",
     "You deleted this message",
     "This message was deleted",
     r"You sent ₹[\d,]+\.?\d* to",
     r"You received ₹[\d,]+\.?\d* from",
-    r"[^:]+\s+changed the subject to",
-    r"[^:]+\s+changed this group's icon",
-    r"[^:]+\s+added\s+[^:]+",
-    r"[^:]+\s+removed\s+[^:]+",
-    r"[^:]+\s+left",
-    r"[^:]+\s+joined using this group's invite link",
+    r"[^:]\schanged the subject to",
+    r"[^:]\schanged this group's icon",
+    r"[^:]\sadded\s[^:]",
+    r"[^:]\sremoved\s[^:]",
+    r"[^:]\sleft",
+    r"[^:]\sjoined using this group's invite link",
     "Security code changed",
     "Missed voice call",
     "Missed video call",
@@ -45,21 +47,26 @@ def log_timestamp(stamp: Column) -> Column:
     Two-digit years from 69 are of the last century.
     """
     s = F.replace(F.regexp_replace(F.trim(stamp), r"(?U)\s+", " "), F.lit(","), F.lit(""))
-    part = lambda p, n: F.regexp_extract(s, p, n)
     form = r"^(\d{1,2})([/-])(\d{1,2})[/-](\d{2,4}) (\d{1,2}):(\d{2})(?::(\d{2}))? ?([aApP][mM])?$"
-    a, sep, b, year, hour, minute, second, half = (part(form, i) for i in range(1, 9))
-    short = F.length(year) == 2
-    full = F.when(short, F.when(year.cast("int") >= 69, 1900).otherwise(2000) + year.cast("int")).otherwise(year.cast("int"))
-    h = hour.cast("int")
-    clock = F.when(half == "", h).when(h.between(1, 12), h % 12 + F.when(F.lower(half) == "pm", 12).otherwise(0))
-    time = F.concat(F.lpad(clock.cast("string"), 2, "0"), F.lit(":"), minute, F.lit(":"), F.when(second == "", "00").otherwise(second))
 
-    def made(day: Column, month: Column) -> Column:
-        date = F.concat(F.lpad(full.cast("string"), 4, "0"), F.lit("-"), F.lpad(month, 2, "0"), F.lit("-"), F.lpad(day, 2, "0"))
-        return F.try_to_timestamp(F.concat(date, F.lit(" "), time), F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz")
+    def read(parts: Column) -> Column:
+        a, sep, b, year, hour, minute, second, half = (F.get(parts, F.lit(i)) for i in range(8))
+        short = F.length(year) == 2
+        full = F.when(short, F.when(year.cast("int") >= 69, 1900).otherwise(2000) + year.cast("int")).otherwise(year.cast("int"))
+        h = hour.cast("int")
+        clock = F.when(half == "", h).when(h.between(1, 12), h % 12 + F.when(F.lower(half) == "pm", 12).otherwise(0))
+        time = F.concat(F.lpad(clock.cast("string"), 2, "0"), F.lit(":"), minute, F.lit(":"), F.when(second == "", "00").otherwise(second))
 
-    day_first = F.when((sep == "/") | ((half != "") & (second == "")), made(a, b))
-    return F.coalesce(day_first, F.when((sep == "/") & short & (half != "") & (second == ""), made(b, a)))
+        def made(day: Column, month: Column) -> Column:
+            date = F.concat(F.lpad(full.cast("string"), 4, "0"), F.lit("-"), F.lpad(month, 2, "0"), F.lit("-"), F.lpad(day, 2, "0"))
+            return F.try_to_timestamp(F.concat(date, F.lit(" "), time), F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz")
+
+        day_first = F.when((sep == "/") | ((half != "") & (second == "")), made(a, b))
+        return F.coalesce(day_first, F.when((sep == "/") & short & (half != "") & (second == ""), made(b, a)))
+
+    # one look takes all parts
+    parts = F.split(F.regexp_replace(s, form, "$1|$2|$3|$4|$5|$6|$7|$8"), r"\|", -1)
+    return T.evaluated_once(F.when(F.rlike(s, F.lit(form)), parts), read)
 
 
 def assembled(lines: DataFrame) -> DataFrame:
@@ -68,14 +75,15 @@ def assembled(lines: DataFrame) -> DataFrame:
     A header line opens a message and other lines are added to the open one; a notice or an unreadable time closes it.
     """
     line = T.unicode_cleaned(F.col("line"))
-    parts = [F.regexp_extract(line, HEADER, i) for i in (1, 2, 3)]
-    head = lines.select("file", "line_no", line.alias("line"), F.rlike(line, F.lit(HEADER)).alias("head"), *[p.alias(k) for p, k in zip(parts, ("stamp", "sender", "body"))])
+    parts = [F.when(F.col("head"), F.regexp_extract("line", HEADER, i)) for i in (1, 2, 3)]
+    clean = lines.select("file", "line_no", line.alias("line")).withColumn("head", F.rlike("line", F.lit(HEADER)))
+    head = clean.select("*", *[p.alias(k) for p, k in zip(parts, ("stamp", "sender", "body"))])
+    head = head.withColumn("ts", F.when(F.col("head") & ~is_system(F.col("body")), log_timestamp(F.col("stamp"))))
     order = Window.partitionBy("file").orderBy("line_no")
     island = head.withColumn("seq", F.sum(F.col("head").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    opened = F.col("head") & ~is_system(F.col("body")) & log_timestamp(F.col("stamp")).isNotNull()
     part = F.when(F.col("head"), F.col("body")).otherwise(F.col("line"))
     grouped = island.where("seq > 0").groupBy("file", "seq").agg(
-        F.max(F.when(opened, F.struct(log_timestamp(F.col("stamp")).alias("ts"), F.trim("sender").alias("sender")))).alias("h"),
+        F.max(F.when(F.col("ts").isNotNull(), F.struct("ts", F.trim("sender").alias("sender")))).alias("h"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", part.alias("t")))), lambda x: x["t"]), "\n").alias("content"),
     )
     return grouped.where("h is not null").select("file", "seq", "h.ts", "h.sender", "content")

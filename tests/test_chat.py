@@ -182,3 +182,18 @@ def test_edited(spark):
     rows = [(1, 0, "user", "hello my friend"), (1, 1, "user", "hello my friends (edited)"), (1, 2, "assistant", "yes"), (1, 3, "assistant", "nothing alike (edited)"), (2, 0, "user", "plain")]
     got = corpus.edited_dropped(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).orderBy("conv_id", "turn").collect()
     assert [(x.conv_id, x.turn, x.text) for x in got] == [(1, 1, "hello my friends"), (1, 2, "yes"), (1, 3, "nothing alike (edited)"), (2, 0, "plain")]
+
+
+def test_notices_of_long_lines_take_one_look(spark):
+    """The notices are those of the rule with whole names, and no name is tried from every place of a line."""
+    import random
+    import re
+
+    names = r"[^:]+\s+changed the subject to|[^:]+\s+changed this group's icon|[^:]+\s+added\s+[^:]+|[^:]+\s+removed\s+[^:]+|[^:]+\s+left|[^:]+\s+joined using this group's invite link"
+    r = random.Random(1)
+    bits = ["added", "LEFT", "removed", "changed the subject to", " ", "  ", ":", "a", "\u00a0", "x left", "joined using this group's invite link"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randint(1, 6))) for _ in range(2000)]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {x.i: x.s for x in frame.select("i", chat.is_system(F.col("t")).alias("s")).collect()}
+    assert [got[i] for i in range(len(texts))] == [bool(re.search(names, t, re.IGNORECASE)) for t in texts]
+    assert not any("[^:]+" in p for p in chat.SYSTEM_PATTERNS)
