@@ -1,19 +1,27 @@
-"""Language identification by character trigrams: a table of weights, learnt from some texts, that joins the others'."""
+"""Language identification by character trigrams: a table of weights, learnt from some texts, that scores the others."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomline.operators.rounds import stored
 
-MAX_ROWS, MAX_GRAMS, MAX_LANGUAGES = 20_000, 3_000, 500
+MAX_ROWS, MAX_GRAMS, MAX_LANGUAGES, LEARNERS = 20_000, 3_000, 500, 64
 
 
 def trigrams(text: Column) -> Column:
     """All overlapping trigrams of a text's lower-cased words, blanks around each; other characters count as blanks."""
-    plain = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{M}]+", " ")), F.lit(" "))
-    return F.regexp_extract_all(plain, F.lit("(?s)(?=(.{3}))"), F.lit(1))
+    return F.regexp_extract_all(plain(text), F.lit(r"(?s)(?=(.{3}))."), F.lit(1))
+
+
+def plain(text: Column) -> Column:
+    """A text's lower-cased words, one blank between and around them."""
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{M}]+", " ")), F.lit(" "))
 
 
 def learnt(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = MAX_ROWS, grams: int = MAX_GRAMS) -> DataFrame:
@@ -24,7 +32,9 @@ def learnt(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     take no part; more than MAX_LANGUAGES languages are an error.
     """
     some = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("t"), F.xxhash64(id_col).alias("h"))
-    some = some.orderBy("h").limit(most)
+    # the hashes alone are sorted; texts go to LEARNERS tasks, as counting trigrams is the work
+    cut = some.select("h").orderBy("h").limit(most).agg(F.max("h")).first()[0]
+    some = some.where(F.col("h") <= F.lit(cut)).limit(most).repartition(LEARNERS)
     counts = stored(some.select("lang", F.explode(trigrams(F.col("t"))).alias("gram")).groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n")))
     kept = counts.groupBy("gram").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "gram").limit(grams).select("gram")
     languages = sorted(r[0] for r in counts.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
@@ -36,15 +46,43 @@ def learnt(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     return stored(own.select("gram", "lang", F.log(share).alias("weight")))
 
 
+def _codes(grams: np.ndarray) -> np.ndarray:
+    """Three code points as one number, of every place but the last two."""
+    c = grams.astype(np.int64)
+    return (c[:-2] << 42) | (c[1:-1] << 21) | c[2:]
+
+
+def scored(grams: list[str], languages: list[str], weights: np.ndarray) -> Callable[[pd.Series], pd.Series]:
+    """The language of each plain text by weights (grams x languages), texts as arrays of code points."""
+    points = lambda t: np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    codes = np.array([_codes(points(g))[0] for g in grams], dtype=np.int64)
+    order = np.argsort(codes)
+    codes, weights = codes[order], weights[order]
+
+    def one(text: str) -> str | None:
+        found = _codes(points(text))
+        at = np.searchsorted(codes, found)
+        known = at[codes[np.minimum(at, len(codes) - 1)] == found]
+        if not len(known):
+            return None
+        return languages[int(np.argmax(np.bincount(known, minlength=len(codes)) @ weights))]
+
+    return lambda texts: texts.map(one).astype(object)
+
+
 def identified(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with language: the one of the greatest score, the first by name of equal ones; null without a known gram.
 
-    The model has at most MAX_GRAMS rows a language, so it is broadcast; texts stay where they are, and only sums by row
-    are shuffled. Rows that repeat an id are told apart.
+    The model has at most MAX_GRAMS rows a language, so it goes to every task as an array; rows and their texts stay
+    where they are, and nothing is shuffled.
     """
-    row, language = ("row" + "_" * (1 + max(map(len, docs.columns))), "language")
-    numbered = stored(docs.select(F.col(id_col), F.col(text_col).alias("t"), F.monotonically_increasing_id().alias(row)))
-    grams = numbered.select(row, F.explode(trigrams(F.col("t"))).alias("gram"))
-    scores = grams.join(F.broadcast(model), "gram").groupBy(row, "lang").agg(F.sum("weight").alias("score"))
-    best = scores.groupBy(row).agg(F.min_by("lang", F.struct(-F.col("score"), "lang")).alias(language))
-    return numbered.join(best, row, "left").select(id_col, F.col("t").alias(text_col), language)
+    table = model.toPandas().pivot(index="gram", columns="lang", values="weight")
+    if table.empty:
+        return docs.select(id_col, text_col, F.lit(None).cast("string").alias("language"))
+    one = scored(list(table.index), list(table.columns), table.to_numpy())
+
+    @F.pandas_udf("string")
+    def language(texts: pd.Series) -> pd.Series:
+        return one(texts)
+
+    return docs.select(id_col, text_col, language(plain(F.col(text_col))).alias("language"))

@@ -298,3 +298,13 @@ def test_mojibake_marks(spark):
 
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(T.mojibake_repaired("t")).collect()]
     assert got == ['"Hi 日 it\'s...', "“Hi”", "don’t – é"]
+
+
+def test_languages_shuffle_no_trigrams(spark):
+    from loomline.operators import language
+
+    docs = spark.createDataFrame([(1, "ab ab ab", "x"), (2, "cd cd", "y"), (3, "", "y"), (4, None, "x"), (5, "ab \U00010400\U00010401", None), (5, "??", None)], "doc_id int, text string, lang string")
+    assert docs.where("doc_id = 5").select(language.trigrams(F.col("text"))).first()[0] == [" ab", "ab ", "b \U00010428", " \U00010428\U00010429", "\U00010428\U00010429 "]
+    got = language.identified(docs.select("doc_id", "text"), language.learnt(docs.where("lang is not null")))
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert [x.language for x in got.orderBy("doc_id", F.desc("text")).collect()] == ["x", "y", None, None, "x", None]
