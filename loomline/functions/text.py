@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,6 +56,11 @@ PHRASE_RULES = (
     (r"\bOPENAI\b", "OPENAI"),
     (r"\bA[J1I]DARIO\b", "AI DARIO"),
 )
+# of each rule, letters that every text has that it changes
+PHRASE_PARTS = (
+    "swipe", "tapto", "readmore", "watchnow", "linkinbio", "beforein", "hasnever", "havenever", "thathas", "thathave", "predictssomething",
+    "sayssomething", "showssomething", "economichistory", "evolvingai", "anthropicevolving", "openai", "dario",
+)
 LOCAL_WORDS = (
     "guru", "masth", "sari", "aithu", "aythu", "illa", "illva", "ilva", "hu", "huu", "houdu", "howdu", "hange", "hinge",
     "yen", "yenu", "yake", "yaake", "heli", "helu", "nange", "ninge", "namge", "nam", "ninu", "neenu", "naanu", "nanu",
@@ -233,24 +241,26 @@ def is_english(text: Column, language: Column | None = None) -> Column:
 
 
 def spaced(text: Column) -> Column:
-    """Unix line ends, single blanks, at most one blank line, no blank before and one after a mark."""
+    """Unix line ends, single blanks, at most one blank line, no blank before and one after a mark. A text so spaced stays
+    as it is, also with a blank more between two letters."""
     text = F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
     text = replaced(
-        text, (r"[ \t]+", " "), (r" *\n *", "\n"), (r"\n{3,}", "\n\n"), (r"(?U)\s+([,.;:!?])", "$1"), (r"(?U)([,.;:!?])(?=\S)", "$1 ")
+        text, (r"[ \t]{2,}|\t", " "), (r" *\n *", "\n"), (r"\n{3,}", "\n\n"), (r"(?U)\s+([,.;:!?])", "$1"), (r"(?U)([,.;:!?])(?=\S)", "$1 ")
     )
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
 def phrases_repaired(text: Column) -> Column:
-    """Known glued phrases written out."""
-    return replaced(text, *[("(?iU)" + p, by) for p, by in PHRASE_RULES])
+    """Known glued phrases written out; one look tells the texts that have none."""
+    low = F.lower(F.translate(text, "\u017f\u0131\u0130\u212a", "siik"))  # the letters beside ASCII that (?iU) takes for ASCII ones
+    some = evaluated_once(low, lambda x: functools.reduce(operator.or_, [F.contains(x, F.lit(p)) for p in PHRASE_PARTS]))
+    return F.when(some, replaced(text, *[("(?iU)" + p, by) for p, by in PHRASE_RULES])).otherwise(text)
 
 
 def mostly_upper(text: Column) -> Column:
     """At least 12 letters of which 72 % are their own upper case."""
-    letters = F.regexp_replace(text, r"[^\p{L}]", "")
-    upper = F.length(F.regexp_replace(letters, r"[\p{Ll}]", ""))
-    return (F.length(letters) >= 12) & (upper / F.length(letters) >= 0.72)
+    counts = F.struct(F.length(F.regexp_replace(text, r"[^\p{L}]+", "")).alias("letters"), F.length(F.regexp_replace(text, r"[^\p{L}]+|\p{Ll}+", "")).alias("upper"))
+    return evaluated_once(counts, lambda n: (n["letters"] >= 12) & (n["upper"] / n["letters"] >= 0.72))
 
 
 def file_name(text: Column) -> Column:

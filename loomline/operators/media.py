@@ -5,7 +5,9 @@ from __future__ import annotations
 import functools
 import itertools
 import operator
-from collections.abc import Callable, Iterable
+import re
+import textwrap
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -88,16 +90,18 @@ def blocks_split(text: Column) -> Column:
     return F.filter(parts, lambda b: b != "")
 
 
-def segmented(token: str, words: Iterable[str]) -> str:
+def segmented(token: str, words: Iterable[str], lengths: list[int] | None = None) -> str:
     """Glued capitals as known words and runs of unknown letters, or the token itself if too little of it is known.
 
     The best cut of each prefix: known words score WORD_SCORE, letters between them LETTER_SCORE; of equal cuts the one
     whose last part begins first.
     """
     low, size = token.lower(), len(token)
+    known_words = frozenset(words)
+    lengths = lengths or sorted({len(w) for w in known_words})
     best: list[tuple[float, int, bool]] = [(0, 0, True)]  # of the prefix up to j: score, where its last part begins, known
     for j in range(1, size + 1):
-        ends = [(j - len(w), WORD_SCORE(len(w)), True) for w in words if len(w) <= j and low.endswith(w, 0, j)] + [(j - 1, LETTER_SCORE, False)]
+        ends = [(j - n, WORD_SCORE(n), True) for n in lengths if n <= j and low[j - n : j] in known_words] + [(j - 1, LETTER_SCORE, False)]
         value, begin, known = max((best[i][0] + s, -i, known) for i, s, known in ends)
         best.append((value, -begin, known))
     parts, j = [], size
@@ -113,41 +117,56 @@ def segmented(token: str, words: Iterable[str]) -> str:
     return " ".join("".join(t for _, (_, t) in run) for _, run in runs)
 
 
+CAPITALS = re.compile(r"\b[A-Z]{10,}\b")
+
+
 @F.pandas_udf(StringType())
-def capitals_cut(texts: pd.Series) -> pd.Series:
-    """Texts with runs of 10 or more capitals cut into known words where that is sure."""
-    import re
-    from functools import lru_cache
+def capitals_cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Texts with runs of 10 or more capitals cut into known words where that is sure; a token is cut once a task."""
+    words, lengths = frozenset(VOCABULARY), sorted({len(w) for w in VOCABULARY})
+    cut = functools.lru_cache(1 << 17)(lambda token: segmented(token, words, lengths))
+    for texts in batches:
+        yield texts.map(lambda t: None if t is None else CAPITALS.sub(lambda m: cut(m[0]), t))
+
+
+# a word that is wider than a card, or as many words as fit; for lines whose only white space is single blanks
+CARD_LINE = re.compile(rf"([^ ]{{{CARD_WIDTH + 1},}}|.{{1,{CARD_WIDTH}}})(?: |\Z)", re.DOTALL)
+UNEVEN = re.compile(r"  |[\t\x0b\x0c\r]")
+
 
-    cut = lru_cache(1 << 14)(lambda token: segmented(token, VOCABULARY))
-    return texts.map(lambda t: None if t is None else re.sub(r"\b[A-Z]{10,}\b", lambda m: cut(m[0]), t))
+def wrapped(line: str) -> list[str]:
+    """A stripped line in lines of at most a card's width, as textwrap has them; longer words stay whole."""
+    if len(line) <= CARD_WIDTH:
+        return [line]
+    if UNEVEN.search(line):
+        return textwrap.wrap(line, CARD_WIDTH, break_long_words=False, break_on_hyphens=False)
+    return CARD_LINE.findall(line)
 
 
 @F.pandas_udf(StringType())
 def card_wrapped(texts: pd.Series) -> pd.Series:
     """Lines wrapped at the width of a card."""
-    import textwrap
 
     def one(text):
         if text is None:
             return None
         lines = [p.strip() for p in text.split("\n")]
-        wrapped = [w for p in lines if p for w in ([p] if len(p) <= CARD_WIDTH else textwrap.wrap(p, CARD_WIDTH, break_long_words=False, break_on_hyphens=False))]
-        return "\n".join(wrapped).strip()
+        return "\n".join(w for p in lines if p for w in wrapped(p)).strip()
 
     return texts.map(one)
 
 
 def ocr_cleaned(rows: DataFrame, col: str, into: str) -> DataFrame:
     """rows with into: spacing, phrases, glued capitals, spacing, card layout, spacing. Python sees only texts with a
-    run of ten capitals, or mostly upper-case ones; the others pass by."""
+    run of ten capitals, or mostly upper-case ones; the others pass by. Spaced texts are spaced again only after wrapping:
+    phrases and cuts add nothing but single blanks between letters."""
     text = T.phrases_repaired(T.spaced(F.coalesce(F.col(col), F.lit(""))))
     got = rows.withColumn(into, text)
     got = got.withColumn("_need", F.when(F.rlike(into, F.lit(r"\b[A-Z]{10,}\b")), F.col(into)))
-    got = got.withColumn(into, T.spaced(F.coalesce(capitals_cut("_need"), F.col(into))))
+    got = got.withColumn(into, F.coalesce(capitals_cut("_need"), F.col(into)))
     calls = F.regexp_replace(F.col(into), r"(?iU)\s+(SWIPE TO WATCH|WATCH NOW|READ MORE|LINK IN BIO)\b", "\n$1")
     got = got.withColumn("_need", F.when(T.mostly_upper(F.col(into)), calls))
-    return got.withColumn(into, T.spaced(F.coalesce(card_wrapped("_need"), F.col(into)))).drop("_need")
+    return got.withColumn(into, F.coalesce(T.spaced(card_wrapped("_need")), F.col(into))).drop("_need")
 
 
 SHORTCODE = "^[A-Za-z0-9_-]{5,20}$"

@@ -9,6 +9,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from loomline.functions import text as T
 from loomline.operators import match, media, runtime
 from loomline.sources import files
 from loomline.streaming import live
@@ -308,3 +309,21 @@ def test_languages_shuffle_no_trigrams(spark):
     got = language.identified(docs.select("doc_id", "text"), language.learnt(docs.where("lang is not null")))
     assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
     assert [x.language for x in got.orderBy("doc_id", F.desc("text")).collect()] == ["x", "y", None, None, "x", None]
+
+
+def test_ocr_wraps_once_and_spaces_twice(spark):
+    import textwrap
+
+    r = random.Random(2)
+    for _ in range(3000):
+        line = r.choice([" ", " ", "  ", "\x0b"]).join("W" * r.choice([1, 2, 5, 9, 33, 34, 35, 50]) for _ in range(r.randint(1, 9)))
+        assert media.wrapped(line) == ([line] if len(line) <= 34 else textwrap.wrap(line, 34, break_long_words=False, break_on_hyphens=False))
+    parts = ["A", "b", " ", "  ", "\n", "\r\n", "\t", ",", ".", "!", "\u00a0", "\u2003", "SWIPETOWATCH", "\u017fwipe to watch", "LIN\u212aINBIO", "OPENAI", "THATHASNEVER"]
+    frame = spark.createDataFrame([("".join(r.choice(parts) for _ in range(r.randint(0, 12))),) for _ in range(2000)], "t string")
+    once = frame.select(T.spaced(F.col("t")).alias("t"))
+    assert once.where(~T.spaced(F.col("t")).eqNullSafe(F.col("t"))).count() == 0
+    every = T.replaced(F.col("t"), *[("(?iU)" + p, by) for p, by in T.PHRASE_RULES])
+    fixed = once.select(T.phrases_repaired(F.col("t")).alias("t"), every.alias("want"))
+    assert fixed.where("t <> want").count() == 0
+    assert fixed.where(T.spaced(F.col("t")) != F.col("t")).count() == 0
+    assert len(T.PHRASE_PARTS) == len(T.PHRASE_RULES) - 1  # two rules share one
