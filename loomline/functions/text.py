@@ -252,7 +252,10 @@ def spaced(text: Column) -> Column:
 
 def phrases_repaired(text: Column) -> Column:
     """Known glued phrases written out; one look tells the texts that have none."""
-    low = F.lower(F.translate(text, "\u017f\u0131\u0130\u212a", "siik"))  # the letters beside ASCII that (?iU) takes for ASCII ones
+    low = text  # the letters beside ASCII that (?iU) takes for ASCII ones are replaced
+    for other, letter in zip("\u017f\u0131\u0130\u212a", "siik"):
+        low = F.replace(low, F.lit(other), F.lit(letter))
+    low = F.lower(low)
     some = evaluated_once(low, lambda x: functools.reduce(operator.or_, [F.contains(x, F.lit(p)) for p in PHRASE_PARTS]))
     return F.when(some, replaced(text, *[("(?iU)" + p, by) for p, by in PHRASE_RULES])).otherwise(text)
 
