@@ -1,8 +1,8 @@
-"""Language identification by character trigrams: a table of weights, learnt from some texts, that scores the others."""
+"""Language identification by character trigrams: a table of weights, learnt from texts of known language, that scores others."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from loomline.operators.rounds import stored
 
-MAX_ROWS, MAX_GRAMS, MAX_LANGUAGES, LEARNERS = 20_000, 3_000, 500, 64
+MAX_GRAMS, MAX_LANGUAGES, PIECE = 3_000, 500, 1 << 20
 
 
 def trigrams(text: Column) -> Column:
@@ -24,18 +24,35 @@ def plain(text: Column) -> Column:
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{M}]+", " ")), F.lit(" "))
 
 
-def learnt(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = MAX_ROWS, grams: int = MAX_GRAMS) -> DataFrame:
-    """gram, lang, weight: a naive Bayes model of the grams most common in at most so many texts of docs.
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
 
-    Texts are taken by a hash of their id, so that any table gives the same ones. weight is the logarithm of the gram's
-    smoothed share among the language's grams; every language has every gram of the model. Rows without a language
-    take no part; more than MAX_LANGUAGES languages are an error.
+
+def _codes(grams: np.ndarray) -> np.ndarray:
+    """Three code points as one number, of every place but the last two."""
+    c = grams.astype(np.int64)
+    return (c[:-2] << 42) | (c[1:-1] << 21) | c[2:]
+
+
+def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """lang, gram, n: grams of plain texts t by language, in pieces of about PIECE characters, so a batch may be of any length."""
+    for batch in batches:
+        for lang, texts in batch.groupby("lang")["t"]:
+            for _, piece in texts.groupby(texts.str.len().cumsum() // PIECE):
+                codes, n = np.unique(np.concatenate([_codes(_points(t)) for t in piece]), return_counts=True)
+                points = np.stack([codes >> 42, (codes >> 21) & 0x1FFFFF, codes & 0x1FFFFF], axis=1).astype("<u4")
+                yield pd.DataFrame({"lang": lang, "gram": points.view("<U3")[:, 0].astype(object), "n": n})
+
+
+def learnt(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", grams: int = MAX_GRAMS) -> DataFrame:
+    """gram, lang, weight: a naive Bayes model of the grams most common in docs.
+
+    The grams of every text are counted where it is; the pieces' counts are summed. weight is the logarithm of the
+    gram's smoothed share among the language's grams; every language has every gram of the model. Rows without a
+    language take no part; more than MAX_LANGUAGES languages are an error.
     """
-    some = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("t"), F.xxhash64(id_col).alias("h"))
-    # the hashes alone are sorted; texts go to LEARNERS tasks, as counting trigrams is the work
-    cut = some.select("h").orderBy("h").limit(most).agg(F.max("h")).first()[0]
-    some = some.where(F.col("h") <= F.lit(cut)).limit(most).repartition(LEARNERS)
-    counts = stored(some.select("lang", F.explode(trigrams(F.col("t"))).alias("gram")).groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n")))
+    texts = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), plain(F.col(text_col)).alias("t"))
+    counts = stored(texts.mapInPandas(counted, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     kept = counts.groupBy("gram").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "gram").limit(grams).select("gram")
     languages = sorted(r[0] for r in counts.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
     if len(languages) > MAX_LANGUAGES:
@@ -46,21 +63,14 @@ def learnt(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     return stored(own.select("gram", "lang", F.log(share).alias("weight")))
 
 
-def _codes(grams: np.ndarray) -> np.ndarray:
-    """Three code points as one number, of every place but the last two."""
-    c = grams.astype(np.int64)
-    return (c[:-2] << 42) | (c[1:-1] << 21) | c[2:]
-
-
 def scored(grams: list[str], languages: list[str], weights: np.ndarray) -> Callable[[pd.Series], pd.Series]:
     """The language of each plain text by weights (grams x languages), texts as arrays of code points."""
-    points = lambda t: np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    codes = np.array([_codes(points(g))[0] for g in grams], dtype=np.int64)
+    codes = np.array([_codes(_points(g))[0] for g in grams], dtype=np.int64)
     order = np.argsort(codes)
     codes, weights = codes[order], weights[order]
 
     def one(text: str) -> str | None:
-        found = _codes(points(text))
+        found = _codes(_points(text))
         at = np.searchsorted(codes, found)
         known = at[codes[np.minimum(at, len(codes) - 1)] == found]
         if not len(known):

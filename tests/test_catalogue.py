@@ -311,6 +311,36 @@ def test_languages_shuffle_no_trigrams(spark):
     assert [x.language for x in got.orderBy("doc_id", F.desc("text")).collect()] == ["x", "y", None, None, "x", None]
 
 
+def test_languages_learn_from_every_text(spark, monkeypatch):
+    import math
+    from collections import Counter
+
+    import pandas as pd
+
+    from loomline.operators import language
+
+    # 27,000 texts with a language, more than the 20,000 that a model once took; one language has a single text
+    lang = F.when(F.col("id") == 7, "w").otherwise(F.element_at(F.array(F.lit("x"), F.lit("y"), F.lit("z"), F.lit(None)), (F.col("id") % 4 + 1).cast("int")))
+    text = F.when(F.col("id") % 1000 != 3, F.translate(F.concat(F.col("id") * 37, F.lit(" "), F.col("id")), "0123456789", "abcdeé\u0301\U00010428日Z"))
+    docs = spark.range(36_000).select(F.col("id").alias("doc_id"), text.alias("text"), lang.alias("lang")).cache()
+    count = {}
+    for row in docs.where("lang is not null").select("lang", F.explode(language.trigrams(F.col("text"))).alias("gram")).collect():
+        of = count.setdefault(row.gram, dict.fromkeys("wxyz", 0))
+        of[row.lang] += 1
+    kept = sorted(count, key=lambda g: (-sum(count[g].values()), g.encode()))[:700]
+    size = {x: sum(count[g][x] + 0.5 for g in kept) for x in "wxyz"}
+    got = {(r.gram, r.lang): r.weight for r in language.learnt(docs, grams=700).collect()}
+    assert len(count) > 700 and set(got) == {(g, x) for g in kept for x in "wxyz"}
+    assert all(abs(w - math.log((count[g][x] + 0.5) / size[x])) < 1e-9 for (g, x), w in got.items())
+
+    batch = pd.DataFrame({"lang": ["x", "y", "x", "x"], "t": [" abab ", "  ", " a\U00010428 ", " b b " * 9]})
+    want = Counter((x, t[i : i + 3]) for x, t in zip(batch["lang"], batch["t"]) for i in range(len(t) - 2))
+    for size, n_pieces in ((1 << 20, 2), (4, 4)):
+        monkeypatch.setattr(language, "PIECE", size)
+        pieces = list(language.counted(iter([batch])))
+        assert len(pieces) == n_pieces and pd.concat(pieces).groupby(["lang", "gram"])["n"].sum().to_dict() == want
+
+
 def test_ocr_wraps_once_and_spaces_twice(spark):
     import textwrap
 
